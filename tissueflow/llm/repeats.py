@@ -3,8 +3,9 @@
 A suffix-array dedup marks the intervals of suffixes whose common prefix has at least LENGTH bytes. Here each shard
 (a task's documents) is parsed, by its own content, at anchors that every occurrence of a string shares; the shards'
 suffixes at anchors are merged into intervals of equal context, which are refined only where they still mix: first by
-the anchor's core, then by the whole context of the anchor's windows, last window by window. An interval is named by a
-hash of its context, so that a merge needs no order between shards and no suffix is sorted again.
+the anchor's core, then by the whole context of the anchor's windows, then by ever smaller cells of windows, last
+window by window. An interval is named by a hash of its context, so that a merge needs no order between shards and no
+suffix is sorted again; each level is one count of rows by name, for groups of any size alike.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from .common import mixed, powers, saved, table, text_bytes
 LENGTH = 200
 #: Bytes of an anchor's core: the window's bytes hold LENGTH - CORE + 1 cores, of which the least hash is the anchor.
 CORE = 40
-#: Contexts of one core that are compared in one task at most; windows of larger groups are counted by a shuffle.
-GROUP = 1024
-#: Rows of contexts that a task compares at a time.
+#: Widths of the cells of windows that still mixed intervals are cut into, level by level; the last level is single windows.
+WIDTHS = (80, 16)
+#: Rows of contexts that a task works on at a time.
 CHUNK = 4096
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in BASES)
@@ -104,79 +105,70 @@ def _classes(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "uid long, first int, last int, place int, core long, c1 long, c2 long")
 
 
-def _window_keys(context: np.ndarray, lengths: np.ndarray, shift: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, window, key, key) of every window of the contexts, which stand one after the other in ``context``.
-
-    A key names core, distance from window to anchor and the window's bytes."""
-    h, begins, n = Hashes(context), np.cumsum(lengths) - lengths, lengths - LENGTH + 1
-    row = np.repeat(np.arange(len(lengths)), n)
-    window = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    s = begins[row] + window
-    salt = core[row] ^ (shift[row] - window).astype(np.uint64) * BASES[1]
-    return row, window, mixed(h.of(s, s + LENGTH, 0) ^ salt), mixed(h.of(s, s + LENGTH, 1) + salt)
-
-
-def _runs(row: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, last) of the maximal runs of consecutive windows; windows are sorted by row and place."""
-    if not len(row):
-        return row, window, window
-    new = np.concatenate([[True], (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)])
-    at = np.flatnonzero(new)
-    return row[at], window[at], window[np.append(at[1:], len(row)) - 1]
+ROW = "uid long, first int, shift int, n long, context binary"
 
 
 def _columns(b: pa.RecordBatch) -> tuple:
-    """uid, first, shift, core, number of equal contexts, context of each row."""
-    uid, first, shift, core, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-    texts = b.column(5).to_pylist()
-    return uid, first.astype(np.int64), shift.astype(np.int64), core.view(np.uint64), n, np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
+    """uid, first window's place, its distance to the anchor, number of equal contexts, all context bytes, lengths."""
+    uid, first, shift, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+    texts = b.column(4).to_pylist()
+    return uid, first.astype(np.int64), shift.astype(np.int64), n, np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
 
 
-FOUND = "uid long, start int, stop int"
+def _cells(width: int):
+    """Cuts contexts into cells of windows whose distance to the anchor has one quotient by ``width``. The key names
+    the bytes that all windows of the cell share, c1 and c2 all bytes of those windows that the context has."""
 
-
-def _found(uid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["uid", "start", "stop"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, CHUNK):
+                uid, first, shift, n, context, lengths = _columns(b.slice(lo, CHUNK))
+                h, begins = Hashes(context), np.cumsum(lengths) - lengths
+                top, low = shift // width, (shift - lengths + LENGTH) // width
+                count = top - low + 1
+                row = np.repeat(np.arange(len(uid)), count)
+                cell = top[row] - (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
+                far = np.minimum(shift[row], (cell + 1) * width - 1)
+                near = np.maximum(shift[row] - lengths[row] + LENGTH, cell * width)
+                anchor = begins[row] + shift[row]
+                name = cell.astype(np.uint64) * BASES[1] + np.uint64(width)
+                key = mixed(h.of(anchor - cell * width, anchor - (cell + 1) * width + 1 + LENGTH, 0) ^ name)
+                start, stop = anchor - far, anchor - near + LENGTH
+                c1, c2 = (mixed(h.of(start, stop, w) ^ (far.astype(np.uint64) + np.uint64(w + 1)) * BASES[w]) for w in (0, 1))
+                data = context.tobytes()
+                parts = [data[x:y] for x, y in zip(start.tolist(), stop.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array((first[row] + shift[row] - far).astype(np.int32)), pa.array(far.astype(np.int32)), pa.array(n[row]), pa.array(parts, pa.binary()), *map(_signed, (key, c1, c2))], names=["uid", "first", "shift", "n", "context", "key", "c1", "c2"])
+
+    return run
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the contexts by itself, named by its bytes and its distance to the anchor."""
+    for b in batches:
+        for lo in range(0, b.num_rows, CHUNK):
+            uid, first, shift, n, context, lengths = _columns(b.slice(lo, CHUNK))
+            h, begins, count = Hashes(context), np.cumsum(lengths) - lengths, lengths - LENGTH + 1
+            row = np.repeat(np.arange(len(lengths)), count)
+            window = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            s, salt = begins[row] + window, (shift[row] - window).astype(np.uint64) * BASES[1]
+            k1, k2 = (mixed(h.of(s, s + LENGTH, w) ^ salt) for w in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array((first[row] + window).astype(np.int32)), pa.array(n[row]), _signed(k1), _signed(k2)], names=["uid", "start", "n", "k1", "k2"])
 
 
-def _refine_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by core: repeated windows of the contexts that had no equal, by whole groups at a time."""
+def _mixed_groups(groups: DataFrame, key: str) -> DataFrame:
+    """Groups of equal contexts whose interval holds other contexts too, where one of them has no equal yet."""
+    mixes = saved(groups.groupBy(key).agg(F.count(F.lit(1)).alias("variants"), F.min("n").alias("least")).filter("variants > 1 AND least = 1").select(key))
+    return groups.join(mixes, key)
 
-    def solve(b: pa.RecordBatch) -> pa.RecordBatch:
-        uid, first, shift, core, n, context, lengths = _columns(b)
-        row, window, k1, k2 = _window_keys(context, lengths, shift, core)
-        order = np.lexsort((k2, k1))
-        same = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
-        twin = np.zeros(len(order), bool)
-        twin[order[1:]] |= same
-        twin[order[:-1]] |= same
-        twin &= n[row] == 1
-        r, a, z = _runs(row[twin], window[twin])
-        return _found(uid[r], first[r] + a, first[r] + z + LENGTH)
 
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for b in batches:
-        for lo in range(0, b.num_rows, CHUNK):
-            held.append(b.slice(lo, CHUNK))
-            rows += held[-1].num_rows
-            if rows >= 2 * CHUNK:
-                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                core = whole.column(3).to_numpy()
-                cut = int(np.searchsorted(core, core[-1]))
-                if cut:
-                    yield solve(whole.slice(0, cut))
-                held, rows = [whole.slice(cut)], whole.num_rows - cut
-    if rows:
-        yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-
-
-def _all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo in range(0, b.num_rows, CHUNK):
-            uid, first, shift, core, n, context, lengths = _columns(b.slice(lo, CHUNK))
-            row, window, k1, k2 = _window_keys(context, lengths, shift, core)
-            yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array((first[row] + window).astype(np.int32)), _signed(k1), _signed(k2), pa.array(n[row])], names=["uid", "start", "k1", "k2", "n"])
+def _refined(told: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(ranges found, rows that stay open) of one level."""
+    name = ["key", "c1", "c2"]
+    rows = saved(told.mapInArrow(_cells(width), f"{ROW}, key long, c1 long, c2 long"))
+    groups = saved(rows.groupBy(*name).agg(F.sum("n").alias("n"), F.min(F.struct("uid", "first", "shift")).alias("rep"), F.first("context").alias("context")))
+    equal = rows.filter("n = 1").select("uid", "first", F.length("context").alias("bytes"), *name).join(groups.filter("n > 1").select(*name), name)
+    found = equal.select("uid", F.col("first").alias("start"), (F.col("first") + F.col("bytes")).alias("stop"))
+    return found, _mixed_groups(groups, "key").select("rep.*", "n", "context")
 
 
 def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -198,25 +190,25 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     name = ["core", "c1", "c2"]
     contexts = saved(shared.groupBy(*name).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first", "last", "place")).alias("rep")))
     equal = shared.join(contexts.filter("n > 1").select(*name), name).select("uid", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
-    mixes = saved(contexts.groupBy("core").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1"))
-    asked = contexts.join(mixes, "core").select("rep.*", "core", "n", "variants")
-    lists = asked.groupBy("uid").agg(F.collect_list(F.struct("first", "last", "place", "core", "n", "variants")).alias("ask"))
+    asked = _mixed_groups(contexts, "core").select("rep.*", "n")
+    lists = asked.groupBy("uid").agg(F.collect_list(F.struct("first", "last", "place", "n")).alias("ask"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for uid, t, ask in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                out += [(uid, a["first"], a["place"] - a["first"], a["core"], a["n"], t[a["first"] : a["last"] + LENGTH], a["variants"]) for a in ask]
+                out += [(uid, a["first"], a["place"] - a["first"], a["n"], t[a["first"] : a["last"] + LENGTH]) for a in ask]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["uid", "first", "shift", "core", "n", "context", "variants"])
-
-    told = saved(texts.join(lists, "uid").mapInArrow(cut, "uid long, first int, shift int, core long, n long, context binary, variants long"))
-    row = ["uid", "first", "shift", "core", "n", "context"]
-    small = told.filter(F.col("variants") <= GROUP).select(*row).repartition("core").sortWithinPartitions("core").mapInArrow(_refine_groups, FOUND)
-    large = told.filter(F.col("variants") > GROUP).select(*row).mapInArrow(_all_windows, "uid long, start int, k1 long, k2 long, n long")
-    many = saved(large.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("k1", "k2"))
-    hot = large.filter("n = 1").join(many, ["k1", "k2"]).select("uid", "start", (F.col("start") + LENGTH).alias("stop"))
-    return equal.union(small).union(hot)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["uid", "first", "shift", "n", "context"])
+
+    told, found = texts.join(lists, "uid").mapInArrow(cut, ROW), equal
+    for width in WIDTHS:
+        more, told = _refined(told, width)
+        found = found.union(more)
+    windows = saved(told.mapInArrow(_windows, "uid long, start int, n long, k1 long, k2 long"))
+    many = saved(windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("least")).filter("times > 1 AND least = 1").select("k1", "k2"))
+    single = windows.filter("n = 1").join(many, ["k1", "k2"]).select("uid", "start", (F.col("start") + LENGTH).alias("stop"))
+    return found.union(single)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
