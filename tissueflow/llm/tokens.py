@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,13 @@ CACHE = 400_000
 CUT = re.compile(r"(?<=\S) (?=\S)")
 RUN = re.compile(r"\s\s")
 
-_made: dict[str, tuple] = {}
+#: A piece of one word, marks and at most the first word of a next line: each part is a token group of its own.
+PLAIN = re.compile(r"( ?[^\W\d_]+)([.,!?;:#$%&*|]*)(?:(\n)([^\W\d_]*))?")
+#: The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for 256 and on.
+_kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _kept)}
+
+_made: dict[str, Encoder] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -35,7 +42,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian 32-bit bytes, the same as the tokenizer's own ids.
 
-    The text is cut where the tokenizer cuts anyway; the tokenizer encodes each distinct piece once.
+    The text is cut where the tokenizer cuts anyway; each distinct piece is encoded once, by the tokenizer or, for
+    plain words, by its model.
     """
 
     def __init__(self, path: str):
@@ -44,19 +52,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.groups: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(x) for x in texts]
         if len(self.known) > CACHE:
             self.known = {}
         new = list({p for pieces in cut for p in pieces if p not in self.known})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
+        odd = []
+        for p in new:
+            m = PLAIN.fullmatch(p)
+            if m and m[1].strip().isalpha() and (not m[4] or m[4].isalpha()):
+                self.known[p] = b"".join(map(self._group, filter(None, m.groups())))
+            else:
+                odd.append(p)
+        for lo in range(0, len(odd), 4096):
+            part = odd[lo : lo + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[p] = np.array(e.ids, "<u4").tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in cut]
 
+    def _group(self, text: str) -> bytes:
+        """Ids of one token group: the tokenizer's model alone, given the group's bytes in its alphabet."""
+        found = self.groups.get(text)
+        if found is None:
+            if len(self.groups) > CACHE:
+                self.groups = {}
+            tokens = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(ALPHABET))
+            found = self.groups[text] = array("I", [t.id for t in tokens]).tobytes()
+        return found
+
     @staticmethod
     def _pieces(text: str) -> list[str]:
         if not text:
