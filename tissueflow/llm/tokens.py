@@ -51,6 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.groups: dict[str, bytes] = {}
 
@@ -79,7 +80,7 @@ class Encoder:
         if found is None:
             if len(self.groups) > CACHE:
                 self.groups = {}
-            tokens = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(ALPHABET))
+            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(ALPHABET))
             found = self.groups[text] = array("I", [t.id for t in tokens]).tobytes()
         return found
 
