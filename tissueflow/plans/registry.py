@@ -2,5 +2,32 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tissueflow.operators import spatial
+from tissueflow.operators.statements import STATEMENTS
+from tissueflow.sources.section import DRIVER_TABLES, from_driver_tables
+
+
+def duckdb_sql(text: str) -> str:
+    """A statement over the section's frames as DuckDB SQL over the driver tables."""
+    names = [n for n in DRIVER_TABLES if f"{{{n}}}" in text]
+    ctes = ", ".join(f"{n} AS ({DRIVER_TABLES[n]})" for n in names)
+    text = re.sub(r"\bpercentile\(", "quantile_cont(", re.sub(r"\{(\w+)\}", r"\1", text)).replace("AS STRING", "AS VARCHAR")
+    own = re.match(r"\s*WITH\s+(.*)", text, re.S)
+    return f"WITH {ctes}, {own[1]}" if own else f"WITH {ctes} {text}"
+
+
+def _statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: from_driver_tables(spark, sf_dir).sql(text)
+
+
+def _operator(run: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run(from_driver_tables(spark, sf_dir))
+
+
+QUERIES = {k: _statement(v) for k, v in STATEMENTS.items()} | {k: _operator(v) for k, v in spatial.OPERATORS.items()}
+ORACLE_SQL = {k: duckdb_sql(v) for k, v in (STATEMENTS | spatial.SQL).items()}
