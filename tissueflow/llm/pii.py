@@ -144,7 +144,7 @@ def masked(docs: DataFrame) -> DataFrame:
     with it, their rest included. All columns are kept in their order; a null text stays null. It needs no key.
     """
     text = F.col("text")
-    tagged = _with_spans(docs, "text")
+    tagged = _with_spans(docs.select(F.struct(*docs.columns).alias("__row"), "text"), "text")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def put(acc: Column, x: Column) -> Column:
@@ -153,10 +153,16 @@ def masked(docs: DataFrame) -> DataFrame:
 
     rest = F.aggregate("__spans", first, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     clean = F.when(F.size("__spans") > 0, rest).otherwise(text)
-    out = tagged.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    tagged = tagged.select("__row", (F.size("__spans") > 0).alias("__found"), clean.alias("text"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return text
+        if name == "n_chars":
+            return F.when(F.col("__found"), F.length(text).cast(docs.schema[name].dataType)).otherwise(F.col("__row")[name]).alias(name)
+        return F.col("__row")[name].alias(name)
+
+    return tagged.select(*(column(c) for c in docs.columns))
 
 
 def pii_query(spark, sf_dir: str) -> DataFrame:

@@ -128,6 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[
 
     made = rows.mapInArrow(extract, "id string, y int, f binary")
     model = made.repartition(1).sortWithinPartitions(F.xxhash64("id"), "y").mapInArrow(solve, "w binary, slope double, offset double").first()
+    if model is None:
+        return np.zeros(1 << BITS, np.float32), 0.0, shift
     return np.frombuffer(model["w"], np.float32), model["slope"], model["offset"]
 
 

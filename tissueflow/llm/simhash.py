@@ -135,18 +135,19 @@ def near_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
 
 
 def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """Keep one row of each near-duplicate group: that of the smallest doc_id, whole, all columns as they were.
+    """Keep one row of each near-duplicate group, that of the smallest doc_id, all columns as they were.
 
-    Of rows that share that doc_id one stays. Rows of a null doc_id can't be told apart by id and stay only where
-    their group has no other id, one row then. Ties and repeated rows: any of the equal rows.
+    Where ids are null or repeated, rows are numbered first and count as documents of their own; a null id comes
+    after all others, and of rows of one id any one may stay.
     """
-    comps = near_components(docs, words)
-    keep = saved(comps.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")))
-    repeats = keep.agg(F.max("n"), F.max(F.col("doc_id").isNull().cast("int")), F.count(F.lit(1)), F.count_distinct("doc_id")).first()
-    if repeats[0] is None or (repeats[0] == 1 and not repeats[1] and repeats[2] == repeats[3]):
-        return docs.join(keep.select("doc_id"), "doc_id", "left_semi")
-    ids = keep.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi").dropDuplicates(["doc_id"])
+    seen = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if seen[0] == seen[1] == seen[2]:
+        keep = near_components(docs, words).filter("doc_id = component_id").select("doc_id")
+        return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    numbered = saved(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own"), F.col("text").alias("text")))
+    groups = near_components(numbered, words, "uid").join(numbered.select("uid", "own"), "uid")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "uid")).alias("first"))
+    return numbered.join(first.select("first.uid"), "uid", "left_semi").select("row.*")
 
 
 def simhash_query(spark, sf_dir: str) -> DataFrame:

@@ -136,6 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[
 
     ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "y").select("y", "text")
     model = ordered.mapInArrow(solve, "ordinary binary, toxic binary, weights array<double>").first()
+    if model is None:
+        return b"", b"", np.append(np.zeros(WIDTH), shift)
     return bytes(model["ordinary"]), bytes(model["toxic"]), np.array(model["weights"])
 
 

@@ -31,7 +31,7 @@ def plain_text(html: Column) -> Column:
     for a, b in ENTITIES:
         t = F.replace(t, F.lit(a), F.lit(b))
     t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n+", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n+", "\n"), F.lit(" \n"))
 
 
 def _bytes(text: Column) -> Column:
@@ -118,7 +118,7 @@ def _sql() -> str:
     for a, b in ENTITIES:
         t = f"replace({t}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
     t = rf"regexp_replace({t}, '[ \t\r\f]+', ' ', 'g')"
-    t = rf"trim(regexp_replace(regexp_replace({t}, ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g'))"
+    t = rf"trim(regexp_replace(regexp_replace({t}, ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g'), ' ' || chr(10))"
     head = RESPONSE_HEAD.replace(CRLF, "' || crlf || '")
     return rf"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, chr(13) || chr(10) AS crlf FROM pages),
