@@ -18,9 +18,8 @@ from .common import saved, shared_dir, shuffle_partitions, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-#: Pieces of one generation in a worker's cache (some 150 bytes each). When it is full it becomes the old generation,
-#: from which pieces that occur again are taken over, and the one before is dropped.
-CACHE = 200_000
+#: Pieces that a worker keeps at most (some 150 bytes each); it starts afresh beyond that.
+CACHE = 400_000
 #: A single space between other characters always begins a token of its own, so the text may be cut before it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 RUN = re.compile(r"\s\s")
@@ -54,20 +53,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.groups: dict[str, bytes] = {}
-        self.old_groups: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(x) for x in texts]
         if len(self.known) > CACHE:
-            self.known, self.old = {}, self.known
-        if len(self.groups) > CACHE:
-            self.groups, self.old_groups = {}, self.groups
-        new = set().union(*cut).difference(self.known)
-        again = new.intersection(self.old)
-        self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        new -= again
+            self.known = {}
+        new = list({p for pieces in cut for p in pieces if p not in self.known})
         odd = []
         for p in new:
             m = PLAIN.fullmatch(p)
@@ -85,9 +77,9 @@ class Encoder:
     def _group(self, text: str) -> bytes:
         """Ids of one token group: the tokenizer's model alone, given the group's bytes in its alphabet."""
         found = self.groups.get(text)
-        if found is None and (found := self.old_groups.get(text)) is not None:
-            self.groups[text] = found
         if found is None:
+            if len(self.groups) > CACHE:
+                self.groups = {}
             tokens = self.model.tokenize(text.encode().decode("latin-1").translate(ALPHABET))
             found = self.groups[text] = array("I", [t.id for t in tokens]).tobytes()
         return found
