@@ -51,9 +51,40 @@ def test_simhash(table):
     least = {r: min((d for (d, _), x in zip(rows, root, strict=True) if x == r and d is not None), default=None) for r in set(root.tolist())}
     got = [(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_components(table).collect()]
     assert sorted(got, key=str) == sorted(((d, p, least[r]) for (d, _), p, r in zip(rows, prints, root.tolist(), strict=True)), key=str)
+
+
+def alike(texts):
+    """By brute force: the first text that each reaches over shingle sets at least 0.8 alike or fingerprints two bits apart."""
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    value = np.array([simhash.fingerprint(t.encode(), 5) for t in texts], np.uint64)
+    near = [[j for j in range(len(texts)) if len(a & sets[j]) >= 0.8 * max(1, len(a | sets[j])) or (value[i] ^ value[j]).bit_count() <= 2] for i, a in enumerate(sets)]
+    root = list(range(len(texts)))
+    while (new := [min(root[j] for j in n) for n in near]) != root:
+        root = new
+    return root
+
+
+def test_one_of_each(table):
+    rows = texts(table)
     kept = simhash.one_of_each(table)
     assert kept.columns == table.columns
-    assert kept.count() == len(set(root.tolist()))
+    assert kept.count() == len(set(alike([t for _, t in rows])))
+
+
+def test_one_of_each_in_large_groups(spark):
+    """Two bases with 150 copies each, a few words changed in every one, and texts that share only a half."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for b in range(2):
+        base = [f"w{x}" for x in rng.integers(0, 500, 200)]
+        for c in range(150):
+            copy = list(base)
+            for at in rng.integers(0, 200, c % 4):
+                copy[at] = f"new{rng.integers(1 << 30)}"
+            rows.append(" ".join(copy))
+        rows += [" ".join(base[:100] + [f"v{x}" for x in rng.integers(0, 500, 100)]) for _ in range(20)]
+    found = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert found == set(alike(rows))
 
 
 def test_fingerprint_by_definition():

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, text_bytes
 from .components import components
+from .resemblance import similar_links, sketch
 
 SEED = 42
 #: A 64-bit fingerprint as a ring of five segments (offset, width), lowest bits first.
@@ -21,38 +22,51 @@ DISTANCE = 2
 BUCKET = 64
 
 
-def fingerprint(data: bytes, words: int = 3) -> int:
-    """Bit j is 1 if over half of the shingles' XXH64 values have bit j; repeats count; no words give 0.
+def shingle_hashes(data: bytes, words: int = 3) -> np.ndarray:
+    """XXH64 of each shingle, in order, repeats included; the whole sequence where words are fewer, none without words.
 
     ASCII letters are lower-cased, words are runs of bytes other than ASCII white space.
     """
     parts = data.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     text = b" ".join(parts)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(size + 1) - 1
     starts = ends - size
-    n = max(1, len(parts) - words + 1)
+    n, digest = max(1, len(parts) - words + 1), xxhash.xxh64_intdigest
     ends = ends[len(parts) - n :]
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for lo in range(0, n, 1 << 16):
-        hi = min(n, lo + (1 << 16))
-        h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)), "<u8", hi - lo)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return np.fromiter((digest(text[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)), "<u8", n)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit j is 1 if over half of the hashes have bit j; no hashes give 0."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(data: bytes, words: int = 3) -> int:
+    """The SimHash fingerprint of a text: the majority of its shingles' hashes."""
+    return majority(shingle_hashes(data, words))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, fp long)`` for every row; null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", sketched: bool = False) -> DataFrame:
+    """``(id_col, fp long)`` for every row, and ``sketch`` if asked; null and empty texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x, words) for x in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            fp, sketches = np.zeros(b.num_rows, np.uint64), []
+            for i, x in enumerate(b.column(1).to_pylist()):
+                h = shingle_hashes(x, words)
+                fp[i] = majority(h)
+                sketches += [sketch(h)] * sketched
+            columns = [b.column(0), pa.array(fp.view(np.int64)), *[pa.array(sketches, pa.binary())] * sketched]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "fp", "sketch"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_bytes(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(id_col, text_bytes(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, fp long" + ", sketch binary" * sketched)
 
 
 def _signed(x: int) -> int:
@@ -117,6 +131,15 @@ def near_links(fps: DataFrame) -> DataFrame:
     return small.union(hot).distinct()
 
 
+def _named(fps: DataFrame, distinct: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """Each row of ``fps`` with the smallest id that its fingerprint reaches over the links."""
+    roots = saved(components(links))
+    classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = saved(classes.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = saved(classes.join(least, "root").select("fp", "component_id"))
+    return fps.join(named, "fp").select(id_col, "fp", "component_id")
+
+
 def near_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, fp, component_id)`` for every row of ``docs``.
 
@@ -127,25 +150,32 @@ def near_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     """
     fps = saved(fingerprints(docs, words, id_col, text_col))
     distinct = saved(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = saved(components(near_links(distinct.select("fp"))))
-    classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = saved(classes.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = saved(classes.join(least, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select(id_col, "fp", "component_id")
+    return _named(fps, distinct, near_links(distinct.select("fp")), id_col)
+
+
+def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`near_components`, for unique ids, with one more kind of link: shingle sets that are at least 0.8 alike.
+
+    Texts of one fingerprint are one group; one of them, that of the smallest id, stands for it in the comparison of sets.
+    """
+    fps = saved(fingerprints(docs, words, id_col, text_col, sketched=True))
+    distinct = saved(fps.groupBy("fp").agg(F.min(F.struct(F.col(id_col).alias("least"), "sketch")).alias("m")).select("fp", "m.least", "m.sketch"))
+    alike = similar_links(docs, distinct, lambda x: shingle_hashes(x, words), id_col, text_col)
+    return _named(fps.drop("sketch"), distinct.drop("sketch"), near_links(distinct.select("fp")).union(alike), id_col)
 
 
-def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """Keep one row of each near-duplicate group, that of the smallest doc_id, all columns as they were.
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+    """Keep one row of each group of :func:`near_groups`, that of the smallest doc_id, all columns as they were.
 
     Where ids are null or repeated, rows are numbered first and count as documents of their own; a null id comes
     after all others, and of rows of one id any one may stay.
     """
     seen = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if seen[0] == seen[1] == seen[2]:
-        keep = near_components(docs, words).filter("doc_id = component_id").select("doc_id")
+        keep = near_groups(docs, words).filter("doc_id = component_id").select("doc_id")
         return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
     numbered = saved(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own"), F.col("text").alias("text")))
-    groups = near_components(numbered, words, "uid").join(numbered.select("uid", "own"), "uid")
+    groups = near_groups(numbered, words, "uid").join(numbered.select("uid", "own"), "uid")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "uid")).alias("first"))
     return numbered.join(first.select("first.uid"), "uid", "left_semi").select("row.*")
 
