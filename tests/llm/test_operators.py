@@ -87,6 +87,22 @@ def test_one_of_each_in_large_groups(spark):
     assert found == set(alike(rows))
 
 
+@pytest.mark.parametrize("groups, copies, changed", [(60, 12, (3, 9)), (2, 170, (4, 10))])
+def test_one_of_each_near_the_limit(spark, groups, copies, changed):
+    """Copies about as similar as the limit, where an estimate errs: links must not hang on the pairs it prefers."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(groups):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for _ in range(copies):
+            copy = list(base)
+            for at in rng.integers(0, 300, rng.integers(*changed)):
+                copy[at] = f"new{rng.integers(1 << 30)}"
+            rows.append(" ".join(copy))
+    found = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert found == set(alike(rows))
+
+
 def test_fingerprint_by_definition():
     import xxhash
 

@@ -1,7 +1,7 @@
 """Links between texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
 Texts that alike differ in some ten bits of a 64-bit SimHash fingerprint, which no segment filter can search: this
-finds the candidates by bands of minimum hashes and decides each by its shingle sets.
+finds the candidates by prefixes of the shingle sets and decides each by its whole sets. No likely pair is left out.
 """
 
 from __future__ import annotations
@@ -10,112 +10,141 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, saved, text_bytes
-
-SIMILARITY = 0.8
-#: Minimum hashes are kept as a byte each; a band of five makes a key. Texts at a similarity of 0.8 meet in some band
-#: with probability 1 - (1 - 0.8**5)**16 = 0.998.
-BANDS, ROWS = 16, 5
-#: Share of equal bytes from which a pair is worth the exact check: more than three standard deviations below 0.8.
-LIKELY = 0.65
-#: Up to so many texts share a bucket that is compared at once; larger ones are dealt into chunks of about CHUNK texts,
-#: anew in each band, and every text also meets the bucket's hub. The BEST likeliest pairs of such a text go on.
-BUCKET, CHUNK, BEST = 64, 48, 3
-
-_MULTIPLIERS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """A byte of each of BANDS * ROWS minimum hashes of a shingle set (all zero for an empty one)."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(hashes), 2048):
-        np.minimum(least, (hashes[lo : lo + 2048, None] * _MULTIPLIERS).min(axis=0), out=least)
-    return (mixed(least) >> np.uint64(56)).astype(np.uint8).tobytes() if len(hashes) else bytes(BANDS * ROWS)
-
-
-def band_keys(name: str = "sketch"):
-    """The bands as numbers: the band's place before its five bytes."""
-    return F.array(*(F.conv(F.hex(F.concat(F.lit(bytes([i])), F.substring(name, 1 + i * ROWS, ROWS))), 16, 10).cast("long") for i in range(BANDS)))
-
-
-def spanning_links(fps: list[int], sketches: list[bytes]) -> list[tuple[int, int, float]]:
-    """``(a, b, share)``: the likely pairs of one bucket that connect it best, a spanning forest of the greatest shares
-    of equal bytes."""
-    s = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(fps), -1)
-    best, parent, out = np.full(len(fps), -1.0), np.zeros(len(fps), np.int64), []
-    todo = np.ones(len(fps), bool)
-    for _ in fps:
-        i = int(np.where(todo, best, -2).argmax())
-        if best[i] >= LIKELY:
-            out.append((fps[i], fps[int(parent[i])], float(best[i])))
-        todo[i] = False
-        share = (s == s[i]).mean(axis=1)
-        closer = todo & (share > best)
-        best[closer], parent[closer] = share[closer], i
-    return out
-
-
-def _candidates(known: DataFrame) -> DataFrame:
-    """``known(fp, sketch)``, distinct, to pairs ``(a, b)`` to check.
-
-    A bucket gives a spanning forest of its likely pairs. A bucket of over BUCKET texts is dealt into chunks that give a
-    forest each, and each of its texts is compared with the bucket's hub, the text that meets the most others over
-    all bands (copies of one template all meet the template). So rows stay in proportion to texts and no large group
-    is collected. A link between two texts of such a bucket that neither their chunks in some band nor a hub brings
-    together isn't found; in groups of many copies other links connect them.
-    """
-    keyed = known.select("fp", F.explode(band_keys()).alias("key"))
-    counts = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    met = saved(keyed.join(counts, "key"))
-    reach = saved(met.groupBy("fp").agg(F.sum("n").alias("reach")))
-    members = saved(met.join(known.join(reach, "fp"), "fp"))
+from .common import saved, text_bytes
+from .components import components
 
-    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(*x, n) for n, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in spanning_links([m["fp"] for m in v], [m["sketch"] for m in v])]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["a", "b", "share", "n"])
+#: The similarity, 0.8, as a fraction: comparisons are of whole numbers.
+PART, WHOLE = 4, 5
+#: All pairs of a bucket of up to so many sets are candidates. Those of larger ones are, where other links leave them apart.
+BUCKET = 64
+#: Shingles of crowded buckets are marked by so many low bits of their hash, so the marks have a bounded size.
+SLOTS = 1 << 20
+#: Rounds that compare the sets of a crowded bucket with one of its largest component before all that are still apart.
+HUBS = 2
 
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, BANDS * ROWS) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x == y).mean(axis=1)), b.column(4)], names=["a", "b", "share", "n"])
-
-    found = "a long, b long, share double, n long"
-    chunk = F.when(F.col("n") <= BUCKET, 0).otherwise(F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("n") / CHUNK)))
-    dealt = members.groupBy("key", chunk.alias("chunk")).agg(F.first("n").alias("n"), F.collect_list(F.struct("fp", "sketch")).alias("v")).filter(F.size("v") > 1)
-    forests = saved(dealt.select("n", "v").mapInArrow(forest, found))
-    hot = members.filter(F.col("n") > BUCKET)
-    hubs = saved(hot.groupBy("key").agg(F.max(F.struct("reach", F.xxhash64("fp").alias("h"), "fp", "sketch")).alias("m")).select("key", F.col("m.fp").alias("b"), F.col("m.sketch").alias("other")))
-    led = hot.join(hubs, "key").filter("fp <> b").select(F.col("fp").alias("a"), "b", "sketch", "other", "n").mapInArrow(shares, found)
-    crowded = forests.filter(F.col("n") > BUCKET).union(led.filter(F.col("share") >= LIKELY)).select("a", "b", "share").distinct()
-    best = crowded.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("share"), "b"))).filter(F.col("place") <= BEST)
-    both = forests.filter(F.col("n") <= BUCKET).select("a", "b").union(best.select("a", "b"))
-    return saved(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-
-
-def similar_links(docs: DataFrame, known: DataFrame, hashes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links ``(a, b)`` of fingerprints whose texts' shingle sets are at least SIMILARITY alike.
-
-    ``known(fp, least, sketch)`` has one row a fingerprint; ``least`` is the id (unique in ``docs``) of its text.
-    ``hashes`` gives the shingle hashes of a text's bytes. Texts without words have no links here. An empty table gives
-    an empty result.
+
+def prefix(s: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
+    """The first hashes of a sorted set, hashes of marked slots last: as many as two similar sets can't both miss.
+
+    Sets at the similarity share PART / WHOLE of the larger one, so each has one of the shared shingles among its first
+    n - ceil(n * PART / WHOLE) + 1, in any order that is the same for all sets.
     """
-    pairs = _candidates(known.filter(F.col("sketch") != F.lit(bytes(BANDS * ROWS))).select("fp", "sketch"))
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(known.select("fp", "least"), "fp"))
+    n = len(s)
+    k = n - -(-n * PART // WHOLE) + 1 if n else 0
+    if late is not None and n:
+        marked = late[s & np.uint64(SLOTS - 1)]
+        s = np.concatenate([s[~marked], s[marked]])
+    return s[:k]
+
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("least"), text_bytes(text_col).alias("text")).join(wanted, "least").select("sid", "text")
+
+
+def _sets(texts: DataFrame, hashes, cut) -> DataFrame:
+    """``(sid, s)``: of each text the set of its shingles' hashes, passed through ``cut``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                found = [np.unique(hashes(x)).view(np.int64) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fp", "s"])
+                found = [cut(np.unique(hashes(x))).view(np.int64) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["sid", "s"])
+
+    return texts.mapInArrow(run, "sid long, s array<long>")
+
 
-    texts = docs.select(F.col(id_col).alias("least"), text_bytes(text_col).alias("text")).join(wanted, "least").select("fp", "text")
-    held = saved(texts.mapInArrow(sets, "fp long, s array<long>"))
-    joined = pairs.join(held.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+def _prefixes(docs: DataFrame, known: DataFrame, hashes, id_col: str, text_col: str) -> DataFrame:
+    """``(sid, size, key)``: a row for each shingle of a set's prefix, shingles of crowded buckets last in the order."""
+    first = known.select("sid", "least", "size", F.explode("prefix").alias("key"))
+    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1).cast("long"))
+    marks = saved(first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).select(slot.alias("slot")).distinct())
+    late = np.zeros(SLOTS, bool)
+    late[[r["slot"] for r in marks.collect()]] = True  # at most SLOTS rows
+    if not late.any():
+        return first.select("sid", "size", "key")
+    # A marked shingle outside the prefix changes nothing, so only these sets are ordered anew.
+    touched = saved(first.withColumn("slot", slot).join(marks, "slot").select("sid", "least", "size").distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(late))
+    anew = _sets(_texts(docs, touched.select("sid", "least"), id_col, text_col), hashes, lambda s: prefix(s, np.unpackbits(shared.value).view(bool)))
+    anew = saved(anew).join(touched, "sid").select("sid", "size", F.explode("s").alias("key"))
+    return first.join(touched.select("sid"), "sid", "left_anti").select("sid", "size", "key").union(anew)
+
+
+def _near_in_size(a, b):
+    return (WHOLE * F.col(a) >= PART * F.col(b)) & (WHOLE * F.col(b) >= PART * F.col(a))
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """All pairs ``(a, b)`` of each bucket of up to BUCKET sets whose sizes allow the similarity, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            for v in b.column(0).to_pylist():
+                sid, size = np.array([m["sid"] for m in v], np.int64), np.array([m["size"] for m in v], np.int64)
+                i, j = np.nonzero((sid[:, None] < sid) & (WHOLE * size[:, None] >= PART * size) & (WHOLE * size >= PART * size[:, None]))
+                found.append(np.stack([sid[i], sid[j]], axis=1))
+            two = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], names=["a", "b"])
+
+    return members.groupBy("key").agg(F.collect_list(F.struct("sid", "size")).alias("v")).select("v").mapInArrow(run, "a long, b long").distinct()
+
+
+def _checked(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar."""
+    x, y = (held.select(F.col("sid").alias(i), F.col("s").alias(s)) for i, s in (("a", "x"), ("b", "y")))
     common = F.size(F.array_intersect("x", "y"))
-    return joined.select("a", "b", common.alias("both"), (F.size("x") + F.size("y") - common).alias("either")).filter(F.col("both") >= SIMILARITY * F.col("either")).select("a", "b")
+    both = saved(pairs).join(x, "a").join(y, "b").select("a", "b", common.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    return both.filter((PART + WHOLE) * F.col("both") >= PART * F.col("sum")).select("a", "b")
+
+
+def _apart(crowded: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The members of crowded buckets with the component that they are in, and of each bucket the largest component with
+    one of its members, that of the most buckets."""
+    roots = saved(components(links)).withColumnRenamed("node", "sid")
+    members = saved(crowded.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    reach = saved(crowded.groupBy("sid").agg(F.count(F.lit(1)).alias("reach")))
+    best = F.max(F.struct("reach", F.xxhash64("sid", F.lit(turn)).alias("h"), "sid")).alias("m")
+    groups = saved(members.join(reach, "sid").groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), best))
+    hubs = saved(groups.groupBy("key").agg(F.max(F.struct("size", "m", "root")).alias("g"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("key", F.col("g.root").alias("main"), F.col("g.m.sid").alias("hub")))
+    return members, hubs
+
+
+def similar_links(docs: DataFrame, known: DataFrame, hashes, linked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links ``(a, b)`` of shingle sets that, with ``linked``, connect all sets at least PART / WHOLE alike.
+
+    ``known(sid, least, size, prefix)`` has one row a distinct set; ``least`` is the id (unique in ``docs``) of a text that
+    has it. ``hashes`` gives the shingle hashes of a text's bytes. Similar sets meet in a bucket, a shingle of both
+    prefixes. In a bucket of up to BUCKET sets every pair is checked by its whole sets. In a crowded one, members
+    outside its largest component are compared with one member of that, HUBS times; then every member that is still
+    outside is checked against all members of other components, in shares of about BUCKET members. So copies of
+    one template give rows in proportion, and only texts that crowd a bucket without being alike give more. Sets
+    without words have no links here. An empty table gives an empty result.
+    """
+    known = known.filter("size > 0")
+    posts = saved(_prefixes(docs, known, hashes, id_col, text_col))
+    counts = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    met = saved(posts.join(counts, "key"))
+    wanted = met.select("sid").distinct().join(known.select("sid", "least"), "sid")
+    held = saved(_sets(_texts(docs, wanted, id_col, text_col), hashes, lambda s: s))
+    found = saved(_checked(_pairs(met.filter(F.col("n") <= BUCKET)), held))
+    crowded = met.filter(F.col("n") > BUCKET)
+    if crowded.isEmpty():
+        return found
+    for turn in range(HUBS + 1):
+        members, hubs = _apart(crowded, linked.union(found), turn)
+        outside = members.join(hubs, "key").filter("root <> main")
+        if turn < HUBS:
+            pairs = outside.select(F.col("sid").alias("a"), F.col("hub").alias("b"))
+        else:
+            shares = F.ceil(F.col("n") / BUCKET)
+            a = outside.select("key", F.col("sid").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
+            b = members.select("key", F.col("sid").alias("b"), "size", "root", F.pmod(F.xxhash64("sid"), shares).alias("share"))
+            pairs = a.join(b, ["key", "share"]).filter((F.col("root_a") != F.col("root")) & _near_in_size("size_a", "size")).select("a", "b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = saved(found.union(_checked(pairs, held)))
+    return found

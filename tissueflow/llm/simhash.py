@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, text_bytes
 from .components import components
-from .resemblance import similar_links, sketch
+from .resemblance import prefix, similar_links
 
 SEED = 42
 #: A 64-bit fingerprint as a ring of five segments (offset, width), lowest bits first.
@@ -52,21 +52,27 @@ def fingerprint(data: bytes, words: int = 3) -> int:
     return majority(shingle_hashes(data, words))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", sketched: bool = False) -> DataFrame:
-    """``(id_col, fp long)`` for every row, and ``sketch`` if asked; null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """``(id_col, fp long)`` for every row, null and empty texts with fingerprint 0; if asked, of the set of shingles
+    also ``sid`` (64-bit hash), ``size`` and ``prefix``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, sketches = np.zeros(b.num_rows, np.uint64), []
+            fp, own = np.zeros(b.num_rows, np.uint64), []
             for i, x in enumerate(b.column(1).to_pylist()):
                 h = shingle_hashes(x, words)
                 fp[i] = majority(h)
-                sketches += [sketch(h)] * sketched
-            columns = [b.column(0), pa.array(fp.view(np.int64)), *[pa.array(sketches, pa.binary())] * sketched]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "fp", "sketch"][: len(columns)])
+                if sets:
+                    s = np.unique(h)
+                    own.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), prefix(s).view(np.int64)))
+            columns = [b.column(0), pa.array(fp.view(np.int64))]
+            if sets:
+                sid, size, first = zip(*own, strict=True) if own else ((), (), ())
+                columns += [pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "fp", "sid", "size", "prefix"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_bytes(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, fp long" + ", sketch binary" * sketched)
+    return docs.select(id_col, text_bytes(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, fp long" + ", sid long, size int, prefix array<long>" * sets)
 
 
 def _signed(x: int) -> int:
@@ -156,12 +162,15 @@ def near_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
 def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As :func:`near_components`, for unique ids, with one more kind of link: shingle sets that are at least 0.8 alike.
 
-    Texts of one fingerprint are one group; one of them, that of the smallest id, stands for it in the comparison of sets.
+    Each distinct set is compared, also where texts of different sets have one fingerprint.
     """
-    fps = saved(fingerprints(docs, words, id_col, text_col, sketched=True))
-    distinct = saved(fps.groupBy("fp").agg(F.min(F.struct(F.col(id_col).alias("least"), "sketch")).alias("m")).select("fp", "m.least", "m.sketch"))
-    alike = similar_links(docs, distinct, lambda x: shingle_hashes(x, words), id_col, text_col)
-    return _named(fps.drop("sketch"), distinct.drop("sketch"), near_links(distinct.select("fp")).union(alike), id_col)
+    fps = saved(fingerprints(docs, words, id_col, text_col, sets=True))
+    distinct = saved(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
+    least = saved(fps.groupBy("sid").agg(F.min(id_col).alias("least")))
+    known = saved(fps.join(least.select(F.col("least").alias(id_col)), id_col, "left_semi").select(F.col(id_col).alias("least"), "sid", "size", "prefix"))
+    linked = saved(near_links(distinct.select("fp")).union(fps.select(F.col("sid").alias("a"), F.col("fp").alias("b")).distinct()))
+    alike = similar_links(docs, known, lambda x: shingle_hashes(x, words), linked, id_col, text_col)
+    return _named(fps.select(id_col, "fp"), distinct, linked.union(alike), id_col)
 
 
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
