@@ -153,6 +153,12 @@ def test_pii_edges(spark):
     assert found[3] == [] and found[4] == [("email", 0, 54001)]
 
 
+def test_iban_followed_by_capitals_and_context(spark):
+    rows = ["GB82 WEST 1234 5698 7654 32 OK", "GB82 WEST 1234 5698 7654 32 2024 DE89370400440532013000 NEXT", "GB82 WEST 1234 5698 7654 33", "GB8 2WEST 12 345698765432", "see GB82WEST 12 345698765432 now", "account GB82WEST 12 345698765432 now"]
+    found = [[(x.start, x.end) for x in r.pii_spans if x.kind == "iban"] for r in pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)).collect()]
+    assert found == [[(0, 27)], [(0, 27), (33, 55)], [], [], [], [(8, 32)]]
+
+
 def test_masked(spark, odd):
     df = spark.createDataFrame([(1, "é mail a.b@c.de or 1.2.3.4!", 27, "x"), (2, None, 0, "y")], "doc_id long, text string, n_chars long, __spans string")
     assert [tuple(r) for r in pii.masked(df).orderBy("doc_id").collect()] == [(1, "é mail <email> or <ip>!", 23, "x"), (2, None, 0, "y")]

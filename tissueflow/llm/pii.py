@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Account number lengths by country, from the registry of IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_ACCOUNT = "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
 #: The base patterns by kind, in the order in which spans of one start are listed. Quantifiers are
 #: possessive, and a match may only begin where the one before ended or a run of its first characters begins: that
 #: finds the same matches without trying each place of a long run again.
@@ -15,7 +21,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_ACCOUNT})(?![A-Za-z0-9])",
 }
 #: A text without this can't hold the kind.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
@@ -28,8 +34,11 @@ CONTEXT = {
     "iban": r"(?i)\b(?:iban|account|bank|transfer)",
 }
 NEAR = 40
-#: Score of a span that its validator confirms, and what context adds. Added kinds need EXTRA_SCORE.
-BASE_SCORE, CONTEXT_SCORE, EXTRA_SCORE = 0.7, 0.2, 0.7
+#: Score of a span that its validator confirms, of one of an added kind that isn't in its usual form, and what context
+#: adds. Added kinds need EXTRA_SCORE: context decides on those of unusual form.
+BASE_SCORE, ODD_SCORE, CONTEXT_SCORE, EXTRA_SCORE = 0.7, 0.5, 0.2, 0.7
+#: The usual form of an added kind: account numbers without spaces or in groups of four.
+USUAL = {"iban": r"^(?:[A-Z0-9]+|[A-Z0-9]{4}(?: [A-Z0-9]{4})*(?: [A-Z0-9]{1,3})?)$"}
 BASE_KINDS = ("email", "ip", "card", "phone")
 
 
@@ -93,7 +102,8 @@ def _placed(text: Column, kind: str, matches: Column) -> Column:
         end = x["start"] + F.length(x["found"])
         low = F.greatest(x["start"] - NEAR, F.lit(0))
         near = F.concat_ws(" ", F.substring(text, low + 1, x["start"] - low), F.substring(text, end + 1, F.lit(NEAR)))
-        score = F.lit(BASE_SCORE) + F.when(near.rlike(CONTEXT[kind]), F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0))
+        base = F.when(x["found"].rlike(USUAL[kind]), F.lit(BASE_SCORE)).otherwise(F.lit(ODD_SCORE)) if kind in USUAL else F.lit(BASE_SCORE)
+        score = base + F.when(near.rlike(CONTEXT[kind]), F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0))
         return F.struct(x["start"].alias("start"), F.lit(list(PATTERNS).index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
     return F.transform(F.aggregate(pairs, empty, add, lambda acc: acc["out"]), scored)
@@ -123,8 +133,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``(id_col, pii_spans)``: for every row the confirmed spans, struct(kind, start, end, score), sorted by start,
     then by the order of PATTERNS.
 
-    Base kinds (email, ip, card, phone) are all kept once their check passes; IBANs are added where mod-97 and the
-    score allow. Context words near a span raise its score. Places count code points, ends are exclusive. Null and
+    Base kinds (email, ip, card, phone) are all kept once their check passes; IBANs of their country's length are added
+    where mod-97 passes and they are in the usual form or context words are near. Context words near a span raise its score. Places count code points, ends are exclusive. Null and
     empty texts have no spans; rows are independent, so repeated rows and null ids repeat their result; other
     columns aren't read; an empty table gives an empty result.
     """
