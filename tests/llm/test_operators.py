@@ -242,6 +242,19 @@ def test_decontaminate_templates(spark):
     assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()) == [2, 3, 4]
 
 
+def test_decontaminate_changed_items(spark):
+    """Words changed, put in and left out, names of another word count, items of numbers, and a name that comes first."""
+    long = "a farmer keeps brown hens in three red barns near the river and sells every egg at the town market where each buyer pays the same price so how many coins does the farmer bring home on sunday night"
+    short = "the old train leaves the north station at dawn and reaches the harbour before noon"
+    named = "the baker sold twelve loaves to Maria before lunch and gave Maria two more"
+    bench = spark.createDataFrame([(1, long), (2, short), (3, named), (4, "What is 15 + 27 - 8 * 3?"), (5, "Maria has many green apples"), (6, "11 12 13 14 15 16")], "item_id long, text string")
+    w = long.split()
+    rows = [" ".join([*w[:12], "x", *w[13:25], "y", *w[26:]]), " ".join([*w[:19], "really", *w[19:]]), " ".join([*w[:18], *w[19:]]), short.replace("station at", "station sharp at"), named.replace("Maria", "Anna Lopez")]
+    rows += ["compute: What is 15 + 27 - 8 * 3?", "then Peter has many green apples", "11 12 13 14 15 16", "21 22 23 24 25 26", "the old train leaves at nine, and the harbour is closed before noon", named.replace("Maria", "Anna Lopez", 1)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5), (7, 6)}
+
+
 def test_quality_held_out(spark):
     base = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
