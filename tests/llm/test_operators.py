@@ -180,15 +180,90 @@ def test_tokens(table, spark, tmp_path):
     assert [tuple(r) for r in got] == expected
 
 
-def test_encoder_on_odd_strings():
+@pytest.mark.parametrize("pieces, groups", [(600_000, 400_000), (40, 20)])
+def test_encoder_on_odd_strings(monkeypatch, pieces, groups):
+    """Also with tables so small that they forget all the time."""
     import random
 
+    monkeypatch.setattr(tokens, "PIECES", pieces)
+    monkeypatch.setattr(tokens, "GROUPS", groups)
     e = tokens.Encoder(tokens.vocabulary_path())
+    assert e.cuts
     rng = random.Random(3)
     parts = ["a", "B", " ", "  ", "\n", ".", ",", "'s", "'", "é", "ß", "Ⅷ", "²", "9", "#", "\t", "<|endoftext|>", "word", "日本", " ", "\x1c", "-", "_", "́", "\0"]
     for _ in range(2000):
         s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
-        assert e.encode([s])[0] == np.array(e.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), s
+        ids, ends = e.encode([s, "a", s])
+        own = [*e.tokenizer.encode(s, add_special_tokens=False).ids, tokens.END]
+        assert ids.tolist() == [*own, *e.encode(["a"])[0].tolist(), *own] and ends.tolist() == [len(own), len(own) + 2, 2 * len(own) + 2], s
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_of_other_vocabularies(name):
+    """Where a vocabulary isn't of the plain byte-level kind, whole texts go to the tokenizer."""
+    e = tokens.Encoder(tokens.vocabulary_path(name))
+    texts = ["One two,  three.", "", " x", "don't Stop é"]
+    assert e.encode(texts)[0].tolist() == [i for t in texts for i in [*e.tokenizer.encode(t, add_special_tokens=False).ids, 0]]
+
+
+def test_token_files_allow_selective_reads(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs, path = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), str(tmp_path / "ids")
+    tokens.write_token_files(docs, path, row_group_bytes=1 << 14, page_bytes=1 << 12)
+    groups = 0
+    for f in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            groups += 1
+            assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+            assert any("DICTIONARY" in e for e in columns["ids.list.element"].encodings)
+            assert all("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("part", "local_start", "doc_id", "n_tokens"))
+    assert groups > 8
+    wanted = [r.doc_id for r in docs.select("doc_id").orderBy("doc_id").limit(50).collect()][10:12]
+    some = tokens.read_documents(spark, path, F.col("doc_id").between(*wanted))
+    plan = some._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id" in plan and "local_start" not in plan.split("== Physical Plan ==")[1]
+    e = tokens.Encoder(tokens.vocabulary_path())
+    texts_of = dict(texts(docs))
+    assert {r.doc_id: r.ids for r in some.collect()} == {d: e.encode([texts_of[d]])[0].tolist() for d in wanted}
+    assert "ids:array" not in tokens.read_metadata(spark, path)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_packing_fills_windows(spark):
+    """No padding: every sequence is full or a power of two; the best neighbour by plain BM25 follows its seed."""
+    rng = np.random.default_rng(3)
+    idf = rng.random(300).astype(np.float32)
+    tails = [rng.integers(0, 300, int(n)).astype("<u2") for n in rng.integers(1, 900, 60)]
+    shard = packing.Shard(tails, idf, float(np.mean([len(t) for t in tails])))
+    length = collections.Counter()
+    held = collections.defaultdict(list)
+    for doc, before, n, sequence, offset in shard.pack():
+        assert offset == length[sequence]
+        length[sequence] += n
+        held[doc].append((before, n))
+    assert all(n == packing.LENGTH or n & (n - 1) == 0 for n in length.values())
+    for doc, parts in held.items():
+        at = 0
+        for before, n in sorted(parts):
+            assert before == at
+            at += n
+        assert at == len(tails[doc])
+    average = np.mean([len(t) for t in tails])
+    for seed in range(len(tails)):
+        asked = sorted(set(tails[seed].tolist()), key=lambda t: (-idf[t], t))[: packing.QUERY_TERMS]
+        plain = []
+        for i, t in enumerate(tails):
+            count = collections.Counter(t.tolist())
+            plain.append(sum(float(idf[q]) * count[q] * (packing.K1 + 1) / (count[q] + packing.K1 * (1 - packing.B + packing.B * len(t) / average)) for q in asked if count[q]))
+        used = np.zeros(len(tails), bool)
+        used[seed] = True
+        got = shard.neighbours(seed, used)
+        assert set(got.tolist()) == {i for i, x in enumerate(plain) if x > 0 and i != seed}
+        assert np.all(np.diff([plain[i] for i in got]) < 1e-4)
 
 
 def test_packing(table):

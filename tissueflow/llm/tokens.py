@@ -1,34 +1,40 @@
-"""Byte-pair token ids: encoding with a cache of pieces, and a Parquet file format for id lists."""
+"""Byte-pair token ids: encoding with tables of known words, and a Parquet file format for id lists."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, shared_dir, shuffle_partitions, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-#: Pieces that a worker keeps at most (some 150 bytes each); it starts afresh beyond that.
-CACHE = 400_000
-#: A single space between other characters always begins a token of its own, so the text may be cut before it.
+#: Pieces and token groups that a worker keeps at most (some 150 bytes each); beyond that the ones met least go.
+PIECES, GROUPS = 600_000, 400_000
+#: A single space between other characters always begins a token of its own, so the text may be cut there.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 RUN = re.compile(r"\s\s")
+#: Marks a text's first piece, which no space precedes, and the end of a text: neither occurs in valid text.
+FIRST, LAST = "\ud800", "\ud801"
 
 #: A piece of one word, marks and at most the first word of a next line: each part is a token group of its own.
-PLAIN = re.compile(r"( ?[^\W\d_]+)([.,!?;:#$%&*|]*)(?:(\n)([^\W\d_]*))?")
+MARKS = ".,!?;:#$%&*|"
+PLAIN = re.compile(r"([^\W\d_]+)([.,!?;:#$%&*|]*)(?:(\n)([^\W\d_]*))?")
 #: The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for 256 and on.
 _kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _kept)}
+#: What a vocabulary file must say for its texts to be cut at single spaces and its words encoded alone.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 
 _made: dict[str, Encoder] = {}
 
@@ -39,11 +45,78 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Places(dict):
+    """Each string's place, the next free one for a string not met before, which is also listed in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        place = self[key] = len(self)
+        self.new.append(key)
+        return place
+
+
+class Table:
+    """Ids of strings. ``make(strings)`` gives (ids, number of ids of each) of strings that aren't known."""
+
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
+        self.make, self.most = make, most
+        self.places = _Places()
+        self.size, self.at = 0, 0
+        self.flat = np.zeros(1 << 12, np.uint32)
+        self.start, self.count, self.used = (np.zeros(1 << 12, np.int64) for _ in range(3))
+
+    def ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All keys' ids in a row, and the number of ids of each key."""
+        if len(self.places) > self.most:
+            self._forget()
+        place = np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
+        if self.places.new:
+            new, self.places.new = self.places.new, []
+            self._add(*self.make(new))
+        self.used[: self.size] += np.bincount(place, minlength=self.size)
+        return _gathered(self.flat, self.start[place], self.count[place]), self.count[place]
+
+    def _add(self, ids: np.ndarray, count: np.ndarray) -> None:
+        size, at = self.size + len(count), self.at + len(ids)
+        self.flat = _grown(self.flat, at)
+        self.start, self.count, self.used = (_grown(x, size) for x in (self.start, self.count, self.used))
+        self.flat[self.at : at] = ids
+        self.start[self.size : size] = self.at + np.cumsum(count) - count
+        self.count[self.size : size], self.used[self.size : size] = count, 0
+        self.size, self.at = size, at
+
+    def _forget(self) -> None:
+        """Keep what was met more than once, at most half of ``most``, and halve the counts."""
+        used = self.used[: self.size]
+        least = max(2, int(np.partition(used, -self.most // 2)[-self.most // 2]) + 1)
+        keep = np.flatnonzero(used >= least)
+        kept, old = keep.tolist(), list(self.places)
+        ids, count, used = _gathered(self.flat, self.start[keep], self.count[keep]), self.count[keep], used[keep] // 2
+        self.places = _Places()
+        self.places.update((old[i], k) for k, i in enumerate(kept))
+        self.size = self.at = 0
+        self._add(ids, count)
+        self.used[: self.size] = used
+
+
+def _grown(x: np.ndarray, size: int) -> np.ndarray:
+    return x if size <= len(x) else np.concatenate([x, np.zeros(max(size, 2 * len(x)) - len(x), x.dtype)])
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs flat[start:start+count], one after another."""
+    ends = np.cumsum(count)
+    return flat[np.repeat(start - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian 32-bit bytes, the same as the tokenizer's own ids.
+    """``encode(texts)`` gives the ids of all texts, each followed by END, and where each text's end: the same ids as
+    the tokenizer's own.
 
     The text is cut where the tokenizer cuts anyway; each distinct piece is encoded once, by the tokenizer or, for
-    plain words, by its model.
+    plain words, by its model. For vocabularies of another kind than byte-level pairs every text is a piece.
     """
 
     def __init__(self, path: str):
@@ -52,46 +125,82 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.groups: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(x) for x in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        odd = []
-        for p in new:
-            m = PLAIN.fullmatch(p)
-            if m and m[1].strip().isalpha() and (not m[4] or m[4].isalpha()):
-                self.known[p] = b"".join(map(self._group, filter(None, m.groups())))
+        with open(path, encoding="utf-8") as f:
+            says = json.load(f)
+        level, model = says.get("pre_tokenizer") or {}, says["model"]
+        self.cuts = not says.get("normalizer") and not says.get("post_processor") and BYTE_LEVEL.items() <= level.items() and all(model.get(k) == v for k, v in PLAIN_MODEL.items() if v or model.get(k))
+        self.cuts = self.cuts and not any(" " in t["content"] for t in says.get("added_tokens", ()))
+        self.size = self.tokenizer.get_vocab_size()
+        self.pieces, self.groups = Table(self._pieces, PIECES), Table(self._groups, GROUPS)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        keys, ends = [], []
+        for text in texts:
+            if text:
+                words = [text] if not self.cuts else CUT.split(text) if RUN.search(text) else text.split(" ")
+                words[0] = FIRST + words[0]
+                keys += words
+            keys.append(LAST)
+            ends.append(len(keys))
+        ids, count = self.pieces.ids(keys)
+        return ids, np.cumsum(count)[np.array(ends, np.int64) - 1] if ends else np.zeros(0, np.int64)
+
+    def _pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, by their token groups; a group's key is the text that follows a space, or FIRST and the text."""
+        groups: list[str] = []
+        odd, sizes = [], []
+        for p in new if self.cuts else ():
+            if p.isalpha():
+                groups.append(p)
+                sizes.append(1)
+            elif p[-1:] in MARKS and p[:-1].isalpha():
+                groups += (p[:-1], FIRST + p[-1])
+                sizes.append(2)
             else:
-                odd.append(p)
-        for lo in range(0, len(odd), 4096):
-            part = odd[lo : lo + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
-
-    def _group(self, text: str) -> bytes:
-        """Ids of one token group: the tokenizer's model alone, given the group's bytes in its alphabet."""
-        found = self.groups.get(text)
-        if found is None:
-            if len(self.groups) > CACHE:
-                self.groups = {}
-            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(ALPHABET))
-            found = self.groups[text] = array("I", [t.id for t in tokens]).tobytes()
-        return found
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if not text:
-            return []
-        if RUN.search(text):
-            parts = CUT.split(text)
-            return [parts[0], *(" " + p for p in parts[1:])]
-        return [p for p in text.replace(" ", "\0 ").split("\0") if p] if "\0" not in text else [text]
+                first = p[:1] == FIRST
+                m = PLAIN.fullmatch(p, first)
+                if m and m[1].isalpha() and (not m[4] or m[4].isalpha()):
+                    parts = [FIRST + g for g in m.groups() if g]
+                    if not first:
+                        parts[0] = m[1]
+                    groups += parts
+                    sizes.append(len(parts))
+                else:
+                    odd.append(p)
+                    sizes.append(0)
+        if not self.cuts:
+            odd, sizes = new, [0] * len(new)
+        ids, count = self.groups.ids(groups)
+        of = np.array(sizes, np.int64)
+        total = np.zeros(len(new), np.int64)
+        plain = np.flatnonzero(of)
+        if len(plain):
+            total[plain] = np.add.reduceat(count, (np.cumsum(of) - of)[plain])
+        if not odd:
+            return ids, total
+        found = self._tokenized([p if p == LAST else p[1:] if p[:1] == FIRST else " " + p for p in odd])
+        total[of == 0] = [len(x) for x in found]
+        out, from_odd = np.zeros(int(total.sum()), np.uint32), np.repeat(of == 0, total)
+        out[~from_odd] = ids
+        out[from_odd] = np.concatenate(found)
+        return out, total
+
+    def _tokenized(self, texts: list[str]) -> list[np.ndarray]:
+        out = [np.array([END], np.uint32) if t == LAST else None for t in texts]
+        left = [i for i, x in enumerate(out) if x is None]
+        for lo in range(0, len(left), 4096):
+            part = left[lo : lo + 4096]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, np.uint32)
+        return out
+
+    def _groups(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of token groups: the tokenizer's model alone, given each group's bytes in its alphabet."""
+        tokenize, space = self.model.tokenize, chr(ALPHABET[32])
+        plain = [space + g if g.isascii() and g.isalpha() else (g[1:] if g[0] == FIRST else " " + g).encode().decode("latin-1").translate(ALPHABET) for g in new]
+        found = [[t.id for t in tokenize(g)] for g in plain]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((x for f in found for x in f), np.uint32, int(count.sum())), count
 
 
 def encoder(path: str) -> Encoder:
@@ -101,10 +210,12 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, or fewer where texts are long."""
     for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
+        step = max(1, min(rows, size * b.num_rows // max(1, b.nbytes)))
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, row_group_bytes: int = 8 << 20, page_bytes: int = 256 << 10) -> None:
@@ -113,8 +224,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     Columns: part and local_start (place of the document's first id inside its file), doc_id, n_tokens, ids
     array<int> (the text's ids, then the end id 0). Ids are dictionary encoded; the other columns are delta
     encoded (format version 2), which suits ascending numbers. Row groups and pages have the given sizes, and the
-    page indexes let a reader fetch single documents, or metadata without ids. A null text counts as empty; rows
-    that repeat an id are ordered by text.
+    page indexes let a reader fetch single documents (:func:`read_documents`), or metadata without ids
+    (:func:`read_metadata`). A null text counts as empty; rows that repeat an id are ordered by text; an empty table
+    gives files without rows.
     """
     place = vocabulary or vocabulary_path()
     parts = shuffle_partitions(docs.sparkSession)
@@ -122,12 +234,12 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, done = encoder(place), TaskContext.get().partitionId(), 0
         for b in small_batches(batches):
-            found = [x + bytes(4) for x in enc.encode(b.column(1).to_pylist())]
-            sizes = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
-            ends = np.cumsum(sizes)
-            ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part, np.int32)), pa.array(done + ends - sizes), b.column(0), pa.array(sizes), lists], names=["part", "local_start", "doc_id", "n_tokens", "ids"])
+            ids, ends = enc.encode(b.column(1).to_pylist())
+            if not len(ends):
+                continue
+            sizes = np.diff(ends, prepend=0)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), part, np.int32)), pa.array(done + ends - sizes), b.column(0), pa.array(sizes), lists], names=["part", "local_start", "doc_id", "n_tokens", "ids"])
             done += int(ends[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -141,6 +253,19 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     writer.parquet(path)
 
 
+def read_metadata(spark, path: str) -> DataFrame:
+    """``(part, local_start, doc_id, n_tokens)`` of every document; the id lists aren't read."""
+    return spark.read.parquet(path).select("part", "local_start", "doc_id", "n_tokens")
+
+
+def read_documents(spark, path: str, wanted: Column) -> DataFrame:
+    """``(doc_id, ids)`` of the documents where ``wanted``, a condition on doc_id, n_tokens, part or local_start, holds.
+
+    A comparison with values is pushed to the files, whose statistics and page indexes leave only pages that can
+    hold such rows to be read."""
+    return spark.read.parquet(path).filter(wanted).select("doc_id", "ids")
+
+
 def token_index(spark, path: str) -> DataFrame:
     """``(part, base)``: the number of ids in all files before each; one row a file, read without the id lists."""
     sums = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
