@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, powers, saved, table, text_bytes
+from .common import forget, mixed, powers, saved, table, text_bytes
 
 LENGTH = 200
 #: Bytes of an anchor's core: the window's bytes hold LENGTH - CORE + 1 cores, of which the least hash is the anchor.
@@ -157,18 +157,22 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _mixed_groups(groups: DataFrame, key: str) -> DataFrame:
     """Groups of equal contexts whose interval holds other contexts too, where one of them has no equal yet."""
-    mixes = saved(groups.groupBy(key).agg(F.count(F.lit(1)).alias("variants"), F.min("n").alias("least")).filter("variants > 1 AND least = 1").select(key))
-    return groups.join(mixes, key)
+    mixes = groups.groupBy(key).agg(F.count(F.lit(1)).alias("variants"), F.min("n").alias("least")).filter("variants > 1 AND least = 1").select(key)
+    return groups.join(saved(mixes), key)
 
 
 def _refined(told: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(ranges found, rows that stay open) of one level."""
+    """(ranges found, rows that stay open) of one level; ``told`` isn't needed after it."""
     name = ["key", "c1", "c2"]
     rows = saved(told.mapInArrow(_cells(width), f"{ROW}, key long, c1 long, c2 long"))
+    forget(told)
     groups = saved(rows.groupBy(*name).agg(F.sum("n").alias("n"), F.min(F.struct("uid", "first", "shift")).alias("rep"), F.first("context").alias("context")))
     equal = rows.filter("n = 1").select("uid", "first", F.length("context").alias("bytes"), *name).join(groups.filter("n > 1").select(*name), name)
-    found = equal.select("uid", F.col("first").alias("start"), (F.col("first") + F.col("bytes")).alias("stop"))
-    return found, _mixed_groups(groups, "key").select("rep.*", "n", "context")
+    found = saved(equal.select("uid", F.col("first").alias("start"), (F.col("first") + F.col("bytes")).alias("stop")))
+    forget(rows)
+    rest = saved(_mixed_groups(groups, "key").select("rep.*", "n", "context"))
+    forget(groups)
+    return found, rest
 
 
 def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -184,12 +188,14 @@ def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """``(uid, start, stop)``: byte ranges whose every LENGTH-byte string also starts elsewhere; they may overlap."""
-    cores = _classes(texts).select("core").groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
-    cores = saved(cores)
-    shared = saved(_classes(texts).join(cores, "core"))
+    classes = saved(_classes(texts))
+    cores = saved(classes.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"))
+    shared = saved(classes.join(cores, "core"))
+    forget(classes, cores)
     name = ["core", "c1", "c2"]
     contexts = saved(shared.groupBy(*name).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first", "last", "place")).alias("rep")))
-    equal = shared.join(contexts.filter("n > 1").select(*name), name).select("uid", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
+    equal = saved(shared.join(contexts.filter("n > 1").select(*name), name).select("uid", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")))
+    forget(shared)
     asked = _mixed_groups(contexts, "core").select("rep.*", "n")
     lists = asked.groupBy("uid").agg(F.collect_list(F.struct("first", "last", "place", "n")).alias("ask"))
 
@@ -201,13 +207,16 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["uid", "first", "shift", "n", "context"])
 
-    told, found = texts.join(lists, "uid").mapInArrow(cut, ROW), equal
+    told, found = saved(texts.join(lists, "uid").mapInArrow(cut, ROW)), equal
+    forget(contexts)
     for width in WIDTHS:
         more, told = _refined(told, width)
         found = found.union(more)
     windows = saved(told.mapInArrow(_windows, "uid long, start int, n long, k1 long, k2 long"))
+    forget(told)
     many = saved(windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("least")).filter("times > 1 AND least = 1").select("k1", "k2"))
-    single = windows.filter("n = 1").join(many, ["k1", "k2"]).select("uid", "start", (F.col("start") + LENGTH).alias("stop"))
+    single = saved(windows.filter("n = 1").join(many, ["k1", "k2"]).select("uid", "start", (F.col("start") + LENGTH).alias("stop")))
+    forget(windows, many)
     return found.union(single)
 
 
