@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -15,7 +15,7 @@ def _digest(edges: DataFrame) -> tuple:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star round: neighbours of each node are hung on the least of them.
 
-    The least neighbours are written first, so that the join has a plain exchange on both sides and adaptive
+    ``edges`` are deleted then. The least neighbours are written first, so that the join has a plain exchange on both sides and adaptive
     execution can split the rows of a node with very many neighbours.
     """
     if large:
@@ -28,7 +28,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return saved(out.filter("a <> b").distinct())
+    out = saved(out.filter("a <> b").distinct())
+    forget(least, edges)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -10,33 +10,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, text_bytes
+from .common import forget, saved, text_bytes
 from .components import components
 
 #: The similarity, 0.8, as a fraction: comparisons are of whole numbers.
 PART, WHOLE = 4, 5
-#: All pairs of a bucket of up to so many sets are candidates. Those of larger ones are, where other links leave them apart.
+#: Shingles in more than so many prefixes are crowded: the more prefixes hold one, the later it comes in the order.
 BUCKET = 64
-#: Shingles of crowded buckets are marked by so many low bits of their hash, so the marks have a bounded size.
+#: Crowded shingles are marked by so many low bits of their hash, so the marks have a bounded size.
 SLOTS = 1 << 20
-#: Rounds that compare the sets of a crowded bucket with one of its largest component before all that are still apart.
-HUBS = 2
+#: Rounds that put crowded shingles last, as new ones get into prefixes in place of those that were put last.
+ORDERS = 4
+#: Rounds that compare the sets of crowded buckets with up to so many sets of the bucket's largest component, before
+#: all pairs that are still apart are looked at.
+ROUNDS, HUBS = 2, 8
 
 
-def prefix(s: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
-    """The first hashes of a sorted set, hashes of marked slots last: as many as two similar sets can't both miss.
+def prefix(s: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
+    """The first hashes of a sorted set, by their slots' levels and then by value: as many as two similar sets can't
+    both miss.
 
     Sets at the similarity share PART / WHOLE of the larger one, so each has one of the shared shingles among its first
     n - ceil(n * PART / WHOLE) + 1, in any order that is the same for all sets.
     """
     n = len(s)
     k = n - -(-n * PART // WHOLE) + 1 if n else 0
-    if late is not None and n:
-        marked = late[s & np.uint64(SLOTS - 1)]
-        s = np.concatenate([s[~marked], s[marked]])
+    if level is not None and n:
+        s = s[np.argsort(level[s & np.uint64(SLOTS - 1)], kind="stable")]
     return s[:k]
 
 
@@ -58,60 +61,133 @@ def _sets(texts: DataFrame, hashes, cut) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, known: DataFrame, hashes, id_col: str, text_col: str) -> DataFrame:
-    """``(sid, size, key)``: a row for each shingle of a set's prefix, shingles of crowded buckets last in the order."""
-    first = known.select("sid", "least", "size", F.explode("prefix").alias("key"))
-    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1).cast("long"))
-    marks = saved(first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).select(slot.alias("slot")).distinct())
-    late = np.zeros(SLOTS, bool)
-    late[[r["slot"] for r in marks.collect()]] = True  # at most SLOTS rows
-    if not late.any():
-        return first.select("sid", "size", "key")
-    # A marked shingle outside the prefix changes nothing, so only these sets are ordered anew.
-    touched = saved(first.withColumn("slot", slot).join(marks, "slot").select("sid", "least", "size").distinct())
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(late))
-    anew = _sets(_texts(docs, touched.select("sid", "least"), id_col, text_col), hashes, lambda s: prefix(s, np.unpackbits(shared.value).view(bool)))
-    anew = saved(anew).join(touched, "sid").select("sid", "size", F.explode("s").alias("key"))
-    return first.join(touched.select("sid"), "sid", "left_anti").select("sid", "size", "key").union(anew)
+    """``(sid, size, key)``: a row for each shingle of a set's prefix, crowded shingles last in the order.
+
+    A prefix only changes where a shingle in it is marked anew, as marks move shingles to the end alone.
+    """
+    posts = saved(known.select("sid", "least", "size", F.explode("prefix").alias("key")))
+    slot, level = F.col("key").bitwiseAND(F.lit(SLOTS - 1).cast("long")).alias("slot"), np.zeros(SLOTS, np.uint8)
+    for _ in range(ORDERS):
+        many = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET)
+        marks = saved(many.groupBy(slot).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("level")))
+        now = level.copy()
+        for r in marks.collect():  # at most SLOTS rows
+            now[r["slot"]] = max(now[r["slot"]], r["level"])
+        changed = np.packbits(now != level)
+        if not changed.any():
+            break
+        level, held = now, docs.sparkSession.sparkContext.broadcast(now)
+        moved = docs.sparkSession.createDataFrame(pa.table({"slot": pa.array(np.flatnonzero(np.unpackbits(changed)).astype(np.int64))}))
+        touched = saved(posts.withColumn("slot", slot).join(F.broadcast(moved), "slot").select("sid", "least", "size").distinct())
+        anew = saved(_sets(_texts(docs, touched.select("sid", "least"), id_col, text_col), hashes, lambda s, held=held: prefix(s, held.value)))
+        rest = posts.join(touched.select("sid"), "sid", "left_anti").select("sid", "least", "size", "key")
+        before, posts = posts, saved(rest.union(anew.join(touched, "sid").select("sid", "least", "size", F.explode("s").alias("key"))))
+        forget(before, anew, touched, marks)
+    return posts.select("sid", "size", "key")
 
 
 def _near_in_size(a, b):
     return (WHOLE * F.col(a) >= PART * F.col(b)) & (WHOLE * F.col(b) >= PART * F.col(a))
 
 
+def _needed(a, b):
+    """Prefix shingles that two sets of these sizes must share to be similar, at least one.
+
+    All their common shingles up to the earlier prefix's end are in both prefixes, and after it that set has
+    ceil(size * PART / WHOLE) - 1 shingles; in all they need ceil((a + b) * PART / (PART + WHOLE)) common ones.
+    """
+    alike = F.ceil((F.col(a) + F.col(b)) * PART / (PART + WHOLE))
+    return F.greatest(alike - F.ceil(F.greatest(a, b) * PART / WHOLE) + 1, F.lit(1))
+
+
 def _pairs(members: DataFrame) -> DataFrame:
-    """All pairs ``(a, b)`` of each bucket of up to BUCKET sets whose sizes allow the similarity, once each."""
+    """``(a, b, size_a, size_b)``, one row for each bucket of up to BUCKET sets that holds both, of the pairs whose
+    roots differ and whose sizes allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.zeros((0, 2), np.int64)]
+            found = [np.zeros((0, 4), np.int64)]
             for v in b.column(0).to_pylist():
-                sid, size = np.array([m["sid"] for m in v], np.int64), np.array([m["size"] for m in v], np.int64)
-                i, j = np.nonzero((sid[:, None] < sid) & (WHOLE * size[:, None] >= PART * size) & (WHOLE * size >= PART * size[:, None]))
-                found.append(np.stack([sid[i], sid[j]], axis=1))
-            two = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], names=["a", "b"])
+                sid, size, root = (np.array([m[c] for m in v], np.int64) for c in ("sid", "size", "root"))
+                i, j = np.nonzero((sid[:, None] < sid) & (root[:, None] != root) & (WHOLE * size[:, None] >= PART * size) & (WHOLE * size >= PART * size[:, None]))
+                found.append(np.stack([sid[i], sid[j], size[i], size[j]], axis=1))
+            out = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, i]) for i in range(4)], names=["a", "b", "size_a", "size_b"])
 
-    return members.groupBy("key").agg(F.collect_list(F.struct("sid", "size")).alias("v")).select("v").mapInArrow(run, "a long, b long").distinct()
+    lists = members.groupBy("key").agg(F.collect_list(F.struct("sid", "size", "root")).alias("v"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    return lists.select("v").mapInArrow(run, "a long, b long, size_a long, size_b long")
 
 
-def _checked(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar."""
+def _checked(pairs: DataFrame, docs: DataFrame, known: DataFrame, hashes, id_col: str, text_col: str) -> DataFrame:
+    """The pairs ``(a, b)`` whose whole sets are similar. Sets are made from the texts of these pairs alone."""
+    pairs = saved(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(known.select("sid", "least"), "sid")
+    held = saved(_sets(_texts(docs, saved(wanted), id_col, text_col), hashes, lambda s: s))
     x, y = (held.select(F.col("sid").alias(i), F.col("s").alias(s)) for i, s in (("a", "x"), ("b", "y")))
-    common = F.size(F.array_intersect("x", "y"))
-    both = saved(pairs).join(x, "a").join(y, "b").select("a", "b", common.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return both.filter((PART + WHOLE) * F.col("both") >= PART * F.col("sum")).select("a", "b")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    out = saved(both.filter((PART + WHOLE) * F.col("both") >= PART * F.col("sum")).select("a", "b"))
+    forget(held, pairs)
+    return out
 
 
-def _apart(crowded: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """The members of crowded buckets with the component that they are in, and of each bucket the largest component with
-    one of its members, that of the most buckets."""
+def _rooted(met: DataFrame, links: DataFrame) -> DataFrame:
+    """``met`` with the component that each set is in."""
     roots = saved(components(links)).withColumnRenamed("node", "sid")
-    members = saved(crowded.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    reach = saved(crowded.groupBy("sid").agg(F.count(F.lit(1)).alias("reach")))
-    best = F.max(F.struct("reach", F.xxhash64("sid", F.lit(turn)).alias("h"), "sid")).alias("m")
-    groups = saved(members.join(reach, "sid").groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), best))
-    hubs = saved(groups.groupBy("key").agg(F.max(F.struct("size", "m", "root")).alias("g"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("key", F.col("g.root").alias("main"), F.col("g.m.sid").alias("hub")))
-    return members, hubs
+    return saved(met.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+
+
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """For each set at most one pair with the hub that it shares most buckets with, of those of another component.
+
+    The hub of a bucket is its first set in an order by hash, so sets that share most shingles mostly meet one hub.
+    """
+    first = F.min(F.struct(F.xxhash64("sid").alias("order"), "sid", "root", "size")).alias("hub")
+    hubs = saved(members.groupBy("key").agg(first).select("key", F.col("hub.sid").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.size").alias("hub_size")))
+    apart = members.join(hubs, "key").filter(F.col("root") != F.col("hub_root"))
+    return _best(apart).groupBy("sid").agg(F.max(F.struct("n", "hub")).alias("m")).select(F.col("sid").alias("a"), F.col("m.hub").alias("b"))
+
+
+def _best(apart: DataFrame) -> DataFrame:
+    """``(sid, hub, n)``: the pairs of ``apart(sid, size, hub, hub_size)``, a row for each bucket, that are likely alike."""
+    near = apart.filter(_near_in_size("size", "hub_size"))
+    return near.groupBy("sid", "hub", "size", "hub_size").agg(F.count(F.lit(1)).alias("n")).filter(2 * F.col("n") >= _needed("size", "hub_size"))
+
+
+def _main(crowded: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with the root of the bucket's largest one, ``main``."""
+    groups = saved(crowded.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")))
+    main = saved(groups.groupBy("key").agg(F.max(F.struct("n", "root")).alias("g"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("key", F.col("g.root").alias("main")))
+    return saved(crowded.join(main, "key"))
+
+
+def _main_pairs(crowded: DataFrame, turn: int) -> DataFrame:
+    """For each set of a crowded bucket outside its largest component, pairs with up to HUBS sets of that one."""
+    open_ = _main(crowded)
+    kin = open_.filter("root = main").groupBy("key", F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(HUBS)).alias("class")).agg(F.min(F.struct(F.xxhash64("sid", F.lit(-1 - turn)).alias("order"), "sid", "size")).alias("hub"))
+    hubs = saved(kin.select("key", F.col("hub.sid").alias("hub"), F.col("hub.size").alias("hub_size")))
+    found = _best(open_.filter("root <> main").join(hubs, "key"))
+    place = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("n"), "hub"))
+    pairs = found.withColumn("place", place).filter(F.col("place") <= HUBS)
+    return pairs.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
+
+
+def _crowded_pairs(crowded: DataFrame, own: DataFrame) -> DataFrame:
+    """``(a, b)``: the pairs of sets of different components that meet in buckets of over BUCKET sets and share as many
+    prefix shingles as similar sets must.
+
+    In each bucket the members outside its largest component meet all members of other components, in shares of about
+    BUCKET members. ``own(sid, keys, met)`` has a set's crowded shingles in order and the number of its other prefix
+    shingles that any set shares, so that a pair is decided, and told once, in its first common bucket.
+    """
+    open_, shares = saved(_main(crowded).join(own, "sid")), F.ceil(F.col("n") / BUCKET)
+    parts = ("sid", "size", "root", "keys", "met")
+    a = open_.filter("root <> main").select("key", *(F.col(c).alias(f"{c}_x") for c in parts), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
+    b = open_.select("key", *(F.col(c).alias(f"{c}_y") for c in parts), (F.col("root") == F.col("main")).alias("inside"), F.pmod(F.xxhash64("sid"), shares).alias("share"))
+    common = F.array_intersect("keys_x", "keys_y")
+    once = F.col("inside") | (F.col("sid_x") < F.col("sid_y"))
+    able = F.size(common) + F.least("met_x", "met_y") >= _needed("size_x", "size_y")
+    met = a.join(b, ["key", "share"]).filter((F.col("root_x") != F.col("root_y")) & once & _near_in_size("size_x", "size_y") & (common[0] == F.col("key")) & able)
+    return met.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b"))
 
 
 def similar_links(docs: DataFrame, known: DataFrame, hashes, linked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,32 +195,32 @@ def similar_links(docs: DataFrame, known: DataFrame, hashes, linked: DataFrame,
 
     ``known(sid, least, size, prefix)`` has one row a distinct set; ``least`` is the id (unique in ``docs``) of a text that
     has it. ``hashes`` gives the shingle hashes of a text's bytes. Similar sets meet in a bucket, a shingle of both
-    prefixes. In a bucket of up to BUCKET sets every pair is checked by its whole sets. In a crowded one, members
-    outside its largest component are compared with one member of that, HUBS times; then every member that is still
-    outside is checked against all members of other components, in shares of about BUCKET members. So copies of
-    one template give rows in proportion, and only texts that crowd a bucket without being alike give more. Sets
-    without words have no links here. An empty table gives an empty result.
+    prefixes. First each set is compared with the hub it meets most often, and those of crowded buckets with HUBS sets
+    of the bucket's largest component, ROUNDS times, so that copies of one template join one component at few
+    comparisons each. Then every pair of sets that meet, are of different components and share as many prefix shingles
+    as similar sets must is checked by its whole sets: no similar pair is left apart. Rows grow more than in
+    proportion only where many texts crowd a bucket without being alike. Sets without words have no links here. An
+    empty table gives an empty result.
     """
     known = known.filter("size > 0")
-    posts = saved(_prefixes(docs, known, hashes, id_col, text_col))
+    posts = _prefixes(docs, known, hashes, id_col, text_col)
     counts = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     met = saved(posts.join(counts, "key"))
-    wanted = met.select("sid").distinct().join(known.select("sid", "least"), "sid")
-    held = saved(_sets(_texts(docs, wanted, id_col, text_col), hashes, lambda s: s))
-    found = saved(_checked(_pairs(met.filter(F.col("n") <= BUCKET)), held))
-    crowded = met.filter(F.col("n") > BUCKET)
-    if crowded.isEmpty():
-        return found
-    for turn in range(HUBS + 1):
-        members, hubs = _apart(crowded, linked.union(found), turn)
-        outside = members.join(hubs, "key").filter("root <> main")
-        if turn < HUBS:
-            pairs = outside.select(F.col("sid").alias("a"), F.col("hub").alias("b"))
-        else:
-            shares = F.ceil(F.col("n") / BUCKET)
-            a = outside.select("key", F.col("sid").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
-            b = members.select("key", F.col("sid").alias("b"), "size", "root", F.pmod(F.xxhash64("sid"), shares).alias("share"))
-            pairs = a.join(b, ["key", "share"]).filter((F.col("root_a") != F.col("root")) & _near_in_size("size_a", "size")).select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = saved(found.union(_checked(pairs, held)))
+    forget(posts, counts)
+    members = _rooted(met, linked)
+    found = _checked(_hub_pairs(members), docs, known, hashes, id_col, text_col)
+    for turn in range(ROUNDS):
+        crowded = _rooted(met.filter(F.col("n") > BUCKET), linked.union(found))
+        found = found.union(_checked(_main_pairs(crowded, turn), docs, known, hashes, id_col, text_col))
+        forget(crowded)
+    forget(members)
+    members = _rooted(met, linked.union(found))
+    forget(met)
+    large = F.col("n") > BUCKET
+    own = members.groupBy("sid").agg(F.sort_array(F.collect_list(F.when(large, F.col("key")))).alias("keys"), F.count(F.when(~large, 1)).alias("met")).filter(F.size("keys") > 0)
+    crowded = _crowded_pairs(members.filter(large), saved(own))
+    pairs = _pairs(members.filter(~large)).groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"))
+    few = pairs.filter(F.col("n") >= _needed("size_a", "size_b"))  # all common ones, but for pairs that meet in crowds too
+    found = found.union(_checked(few.select("a", "b").union(crowded).distinct(), docs, known, hashes, id_col, text_col))
+    forget(members)
     return found
