@@ -7,15 +7,15 @@ import pytest
 
 from tissueflow.plans.registry import ORACLE_SQL, QUERIES
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "embeddings")
 
 
 def rows(found, columns):
-    out = [tuple(None if isinstance(v, float) and math.isnan(v) else round(float(v), 3) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r) for r in found]
+    out = [tuple(None if isinstance(v, float) and math.isnan(v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r) for r in found]
     return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r)), columns
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows(spark, small, name):
     con = duckdb.connect()
     for t in TABLES:

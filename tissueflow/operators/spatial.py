@@ -2,29 +2,62 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tissueflow.sources.section import Section
 
-K, RADIUS = 6, 400.0
+K, K_LABELS, RADIUS = 6, 15, 400.0
+
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the folder of ``spark.checkpoint.dir``; one machine without that setting takes a temporary one."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
 
-def neighbours(cells: DataFrame, radius: float = RADIUS, k: int | None = K) -> DataFrame:
-    """``(src, dst, d)``: of each cell the ``k`` nearest others (all, for None) at most ``radius`` away.
 
-    Cells are bucketed by squares of the radius; each is met with the nine squares around it, an equi-join that a
-    crowded square doesn't spread beyond. Ties in distance go to the smaller id.
+def within(cells: DataFrame, radius: float, of: DataFrame | None = None) -> DataFrame:
+    """``(src, dst, d)``: for each cell (of ``of``, if given) all others at most ``radius`` away.
+
+    Cells are bucketed by squares of the radius; each is met with the nine squares around it, an equi-join.
     """
-    at = cells.select("cell", "x", "y", F.floor(F.col("x") / radius).alias("gx"), F.floor(F.col("y") / radius).alias("gy"))
+    square = lambda df: df.filter("x IS NOT NULL AND y IS NOT NULL").select("cell", "x", "y", F.floor(F.col("x") / radius).alias("gx"), F.floor(F.col("y") / radius).alias("gy"))
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    a = at.select(F.col("cell").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), "gx", "gy", F.explode(steps).alias("s")).select("src", "ax", "ay", (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy"))
-    b = at.withColumnRenamed("cell", "dst")
-    near = a.join(b, ["gx", "gy"]).filter("src <> dst").withColumn("d", F.sqrt((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2)).filter(F.col("d") <= radius).select("src", "dst", "d")
-    if k is None:
-        return near
+    a = square(cells if of is None else of).select(F.col("cell").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), "gx", "gy", F.explode(steps).alias("s")).select("src", "ax", "ay", (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy"))
+    b = square(cells).withColumnRenamed("cell", "dst")
+    return a.join(b, ["gx", "gy"]).filter("src <> dst").withColumn("d", F.sqrt((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2)).filter(F.col("d") <= radius).select("src", "dst", "d")
+
+
+def neighbours(cells: DataFrame, k: int = K) -> DataFrame:
+    """``(src, dst, d)``: the ``k`` nearest other cells of each, or all others where there are fewer. Ties in distance go to
+    the smaller id; cells without coordinates have none and are nobody's.
+
+    The first radius holds some 2 k cells at the mean density, so that a square's size follows the data; cells that have
+    fewer than k within it look again at twice the radius, until all have theirs. ``cells`` are read once.
+    """
+    cells = _kept(cells.select("cell", "x", "y").filter("x IS NOT NULL AND y IS NOT NULL"))
+    n, w, h = cells.agg(F.count(F.lit(1)), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    if n < 2:
+        return cells.limit(0).select(F.col("cell").alias("src"), F.col("cell").alias("dst"), F.lit(0.0).alias("d"))
+    extent = max(w, h, 1e-9)
+    radius, k_most = max((2 * k * max(w, extent * 1e-3) * max(h, extent * 1e-3) / (3.14159 * n)) ** 0.5, extent * 1e-6), min(k, n - 1)
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.round("d", 6), "dst"))
-    return near.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+    of, found = cells, None
+    while True:
+        near = _kept(within(cells, radius, of).withColumn("place", place).filter(F.col("place") <= k_most).drop("place"))
+        full = near.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k_most).select("src")
+        done = near.join(full, "src", "left_semi")
+        found = done if found is None else found.union(done)
+        of = _kept(of.join(full, of["cell"] == full["src"], "left_anti"))
+        if of.isEmpty():
+            return found
+        radius *= 2
 
 
 def neighbour_graph(section: Section) -> DataFrame:
@@ -39,12 +72,12 @@ def _labelled(section: Section, edges: DataFrame) -> DataFrame:
 
 def coherence(section: Section) -> DataFrame:
     """Share of each cell's neighbours of its own label, and whether it lies apart from its kind."""
-    out = _labelled(section, neighbours(section["cells"])).groupBy("src").agg(F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 6).alias("coherence"))
+    out = _labelled(section, neighbours(section["cells"], K_LABELS)).groupBy("src").agg(F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 6).alias("coherence"))
     return out.select(F.col("src").alias("cell"), "coherence", (F.col("coherence") < 0.2).alias("apart"))
 
 
 def neighbourhood_composition(section: Section) -> DataFrame:
-    n = _labelled(section, neighbours(section["cells"])).groupBy("src", "b").agg(F.count(F.lit(1)).alias("n"))
+    n = _labelled(section, neighbours(section["cells"], K_LABELS)).groupBy("src", "b").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("src"))
     return n.select(F.col("src").alias("cell"), F.col("b").alias("label"), "n", F.round(F.col("n") / total, 6).alias("share"))
 
@@ -71,7 +104,7 @@ def enrichment(section: Section) -> DataFrame:
 
 def co_occurrence(section: Section) -> DataFrame:
     """Pairs of labels by distance bin, and how much likelier a label is given the other at that distance."""
-    near = neighbours(section["cells"], k=None).select("src", "dst", F.least(F.floor(F.col("d") / (RADIUS / 4)), F.lit(3)).alias("bin"))
+    near = within(section["cells"], RADIUS).select("src", "dst", F.least(F.floor(F.col("d") / (RADIUS / 4)), F.lit(3)).alias("bin"))
     label = section["cells"].select("cell", "label")
     n = near.join(label.toDF("src", "a"), "src").join(label.toDF("dst", "b"), "dst").groupBy("bin", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     by = lambda *c: F.sum("n").over(Window.partitionBy(*c))
@@ -79,8 +112,10 @@ def co_occurrence(section: Section) -> DataFrame:
 
 
 def spatial_genes(section: Section) -> DataFrame:
-    """Moran's I of each gene on the directed neighbour graph; every sum touches non-zero counts only."""
-    edges, counts = neighbours(section["cells"]).select("src", "dst"), section["counts"].withColumn("value", F.col("value").cast("double"))
+    """Moran's I of each gene on the symmetric neighbour graph; every sum touches non-zero counts only."""
+    one = neighbours(section["cells"]).select("src", "dst")
+    edges = _kept(one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    counts = section["counts"].withColumn("value", F.col("value").cast("double"))
     n, s0 = section["cells"].agg(F.count(F.lit(1)).cast("double").alias("n")), edges.agg(F.count(F.lit(1)).cast("double").alias("s0"))
     weight = edges.select(F.col("src").alias("cell")).union(edges.select(F.col("dst").alias("cell"))).groupBy("cell").agg(F.count(F.lit(1)).alias("w"))
     cross = counts.select(F.col("cell").alias("src"), "gene", F.col("value").alias("u")).join(edges, "src").join(counts.select(F.col("cell").alias("dst"), "gene", F.col("value").alias("v")), ["dst", "gene"]).groupBy("gene").agg(F.sum(F.col("u") * F.col("v")).alias("uv"))
@@ -90,16 +125,42 @@ def spatial_genes(section: Section) -> DataFrame:
     return t.select("gene", F.round(i, 6).alias("moran"))
 
 
-OPERATORS = {"neighbour_graph": neighbour_graph, "spatial_coherence": coherence, "neighbourhood_composition": neighbourhood_composition, "neighbourhood_enrichment": enrichment, "co_occurrence": co_occurrence, "spatial_genes": spatial_genes}
+def exclusion(section: Section, limit: float = 2.0) -> DataFrame:
+    """How each label stands to each other one: excluded, infiltrated, or neither, by the z of their common edges."""
+    z = F.col("z")
+    return enrichment(section).filter("a < b").select("a", "b", "z", F.when(z < -limit, "excluded").when(z > limit, "infiltrated").otherwise("neutral").alias("verdict"))
+
+
+def neighbourhood_sanity(section: Section) -> DataFrame:
+    """Each label's strongest partner by z, and whether that is another label."""
+    best = enrichment(section).filter("z IS NOT NULL").groupBy("a").agg(F.min(F.struct((-F.col("z")).alias("order"), "b")).alias("m"))
+    return best.select(F.col("a").alias("label"), F.col("m.b").alias("partner"), (-F.col("m.order")).alias("z"), (F.col("m.b") != F.col("a")).alias("suspect"))
+
+
+def niches(section: Section, k: int = 8, seed: int = 0) -> DataFrame:
+    """``(cell, niche)``: k-means over the shares of labels among each cell's neighbours."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    labels = [r["label"] for r in section["cells"].select("label").distinct().orderBy("label").collect()]  # types
+    wide = neighbourhood_composition(section).groupBy("cell").pivot("label", labels).agg(F.first("share")).fillna(0.0)
+    rows = _kept(wide.select("cell", array_to_vector(F.array(*(F.col(f"`{x}`").cast("double") for x in labels))).alias("features")))
+    return KMeans(k=k, seed=seed).fit(rows).transform(rows).select("cell", F.col("prediction").alias("niche"))
+
+
+OPERATORS = {"neighbour_graph": neighbour_graph, "spatial_coherence": coherence, "neighbourhood_composition": neighbourhood_composition, "neighbourhood_enrichment": enrichment, "co_occurrence": co_occurrence, "spatial_genes": spatial_genes, "exclusion_readout": exclusion, "neighbourhood_sanity": neighbourhood_sanity}
+#: Operators that SQL can't express.
+ITERATIVE = {"spatial_niches": niches}
 
 _NEAR = f"SELECT a.cell AS src, b.cell AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM {{cells}} a JOIN {{cells}} b ON a.cell <> b.cell AND abs(a.x - b.x) <= {RADIUS} AND abs(a.y - b.y) <= {RADIUS} WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= {RADIUS}"
-_KNN = f"SELECT src, dst, d FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 6), dst) AS place FROM ({_NEAR}) t) u WHERE place <= {K}"
+_ALL = "SELECT a.cell AS src, b.cell AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM {cells} a JOIN {cells} b ON a.cell <> b.cell"
+_KNN, _KNN_LABELS = (f"SELECT src, dst, d FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 6), dst) AS place FROM ({_ALL}) t) u WHERE place <= {k}" for k in (K, K_LABELS))
 _LABELLED = "SELECT e.src, e.dst, a.label AS a, b.label AS b FROM edges e JOIN {cells} a ON a.cell = e.src JOIN {cells} b ON b.cell = e.dst"
 #: The same by brute force over all pairs, for DuckDB.
 SQL = {
     "neighbour_graph": f"SELECT src, dst, round(d, 4) AS d FROM ({_KNN}) t",
-    "spatial_coherence": f"WITH edges AS ({_KNN}) SELECT src AS cell, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) AS coherence, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) < 0.2 AS apart FROM ({_LABELLED}) t GROUP BY src",
-    "neighbourhood_composition": f"WITH edges AS ({_KNN}) SELECT src AS cell, b AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY src), 6) AS share FROM ({_LABELLED}) t GROUP BY src, b",
+    "spatial_coherence": f"WITH edges AS ({_KNN_LABELS}) SELECT src AS cell, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) AS coherence, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) < 0.2 AS apart FROM ({_LABELLED}) t GROUP BY src",
+    "neighbourhood_composition": f"WITH edges AS ({_KNN_LABELS}) SELECT src AS cell, b AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY src), 6) AS share FROM ({_LABELLED}) t GROUP BY src, b",
     "neighbourhood_enrichment": f"""WITH knn AS ({_KNN}), edges AS (SELECT src, dst FROM knn UNION SELECT dst, src FROM knn), dg AS (SELECT src, count(*) AS w FROM edges GROUP BY src), s AS (SELECT sum(w)::DOUBLE AS s0, sum(w * w)::DOUBLE AS dd FROM dg),
       sz AS (SELECT label, count(*)::DOUBLE AS n FROM {{cells}} GROUP BY label), tot AS (SELECT count(*)::DOUBLE AS n FROM {{cells}}), c AS (SELECT a, b, count(*)::DOUBLE AS c FROM ({_LABELLED}) t GROUP BY a, b),
       m AS (SELECT x.label AS a, y.label AS b, coalesce(c.c, 0) AS c, x.n AS na, y.n AS nb, tot.n AS n, s0, dd, s0 * s0 + 2 * s0 - 4 * dd AS rest FROM sz x CROSS JOIN sz y CROSS JOIN tot CROSS JOIN s LEFT JOIN c ON c.a = x.label AND c.b = y.label),
@@ -109,8 +170,10 @@ SQL = {
       SELECT a, b, c::BIGINT AS n_edges, round(mean, 4) AS expected, round((c - mean) / sqrt(sq - mean * mean), 4) AS z FROM e""",
     "co_occurrence": f"""WITH edges AS ({_NEAR}), n AS (SELECT least(floor(e.d / {RADIUS / 4}), 3)::BIGINT AS bin, a.label AS a, b.label AS b, count(*) AS n FROM edges e JOIN {{cells}} a ON a.cell = e.src JOIN {{cells}} b ON b.cell = e.dst GROUP BY 1, 2, 3)
       SELECT bin, a, b, n, round((n / sum(n) OVER (PARTITION BY bin, a)) / (sum(n) OVER (PARTITION BY bin, b) / sum(n) OVER (PARTITION BY bin)), 6) AS ratio FROM n""",
-    "spatial_genes": f"""WITH edges AS ({_KNN}), tot AS (SELECT count(*)::DOUBLE AS n FROM {{cells}}), s AS (SELECT count(*)::DOUBLE AS s0 FROM edges), wt AS (SELECT cell, count(*) AS w FROM (SELECT src AS cell FROM edges UNION ALL SELECT dst FROM edges) t GROUP BY cell),
+    "spatial_genes": f"""WITH knn AS ({_KNN}), edges AS (SELECT src, dst FROM knn UNION SELECT dst, src FROM knn), tot AS (SELECT count(*)::DOUBLE AS n FROM {{cells}}), s AS (SELECT count(*)::DOUBLE AS s0 FROM edges), wt AS (SELECT cell, count(*) AS w FROM (SELECT src AS cell FROM edges UNION ALL SELECT dst FROM edges) t GROUP BY cell),
       cr AS (SELECT u.gene, sum(u.value * v.value)::DOUBLE AS uv FROM edges e JOIN {{counts}} u ON u.cell = e.src JOIN {{counts}} v ON v.cell = e.dst AND v.gene = u.gene GROUP BY u.gene),
       sm AS (SELECT k.gene, sum(k.value)::DOUBLE AS s1, sum(k.value * k.value)::DOUBLE AS s2, sum(k.value * coalesce(wt.w, 0))::DOUBLE AS xw FROM {{counts}} k LEFT JOIN wt ON wt.cell = k.cell GROUP BY k.gene)
       SELECT sm.gene, round(n / s0 * (coalesce(uv, 0) - s1 / n * xw + s1 / n * s1 / n * s0) / (s2 - n * (s1 / n) * (s1 / n)), 6) AS moran FROM sm LEFT JOIN cr ON cr.gene = sm.gene CROSS JOIN tot CROSS JOIN s""",
 }
+SQL["exclusion_readout"] = f"SELECT a, b, z, CASE WHEN z < -2 THEN 'excluded' WHEN z > 2 THEN 'infiltrated' ELSE 'neutral' END AS verdict FROM ({SQL['neighbourhood_enrichment']}) q WHERE a < b"
+SQL["neighbourhood_sanity"] = f"SELECT a AS label, b AS partner, z, a <> b AS suspect FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY z DESC, b) AS place FROM ({SQL['neighbourhood_enrichment']}) q WHERE z IS NOT NULL) r WHERE place = 1"
