@@ -94,6 +94,14 @@ def hierarchical_accuracy(items: DataFrame, parents: DataFrame, predicted: str,
     return t.agg(F.count(F.lit(1)).alias("n"), F.avg(same.cast("double")).alias("accuracy"), F.avg(F.when(same, 1.0).when(kin, partial).otherwise(0.0)).alias("hierarchical"))
 
 
+def _pearson(x: str, y: str) -> Column:
+    """Correlation, null where one of the columns is constant."""
+    a, b = (F.col(c) for c in (x, y))
+    n = F.count(F.lit(1))
+    spread = F.sqrt(F.greatest((n * F.sum(a * a) - F.sum(a) ** 2) * (n * F.sum(b * b) - F.sum(b) ** 2), F.lit(0.0)))
+    return (n * F.sum(a * b) - F.sum(a) * F.sum(b)) / F.when(spread > 1e-12, spread)
+
+
 def _entropy(p: Column, q: Column) -> Column:
     m = (p + q) / 2
     part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
@@ -106,7 +114,7 @@ def composition_accuracy(items: DataFrame, predicted: str, truth: str) -> DataFr
     both = side(predicted, "p").join(side(truth, "q"), "label", "full").fillna(0.0, ["p", "q"])
     total = both.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
     s = both.crossJoin(F.broadcast(total)).select((F.col("p") / F.col("tp")).alias("p"), (F.col("q") / F.col("tq")).alias("q"))
-    return s.agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("l1"), F.corr("p", "q").alias("pearson"), F.sum(_entropy(F.col("p"), F.col("q"))).alias("jsd"))
+    return s.agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("l1"), _pearson("p", "q").alias("pearson"), F.sum(_entropy(F.col("p"), F.col("q"))).alias("jsd"))
 
 
 def deconvolution_scores(estimated: DataFrame, true: DataFrame) -> DataFrame:
@@ -119,7 +127,7 @@ def deconvolution_scores(estimated: DataFrame, true: DataFrame) -> DataFrame:
     spread = F.col("s2") - F.col("s") ** 2 / F.col("n")
     r2 = types.agg(F.avg(F.when(spread > 1e-12, 1 - F.col("e") / spread)).alias("r2"))
     spots = p.groupBy("spot").agg(F.sum(_entropy(F.col("p"), F.col("q"))).alias("j")).agg(F.avg("j").alias("jsd_by_spot"))
-    return p.agg(F.sqrt(F.avg(err)).alias("rmse"), F.corr("p", "q").alias("pearson")).crossJoin(spots).crossJoin(r2)
+    return p.agg(F.sqrt(F.avg(err)).alias("rmse"), _pearson("p", "q").alias("pearson")).crossJoin(spots).crossJoin(r2)
 
 
 def conformal_sets(calibration_rows: DataFrame, probabilities: DataFrame, alpha: float = 0.1) -> DataFrame:

@@ -72,7 +72,7 @@ def confidence(cells: DataFrame, scores: DataFrame, lights: DataFrame, n_panel:
         soft += [1 - 0.35 * F.coalesce(F.col("stability"), F.lit(0.0))]
     soft += _factor("scanvi_weight", 0.7, have) + _factor("rctd_weight", 0.7, have)
     mean_soft = sum(soft, F.lit(0.0)) / len(soft) if soft else F.lit(1.0)
-    score = F.greatest(F.least(posterior * (1 - contam) * cap, F.lit(1.0)), F.lit(0.0)) * mean_soft
+    score = F.when(posterior.isNotNull(), F.greatest(F.least(posterior * (1 - contam) * cap, F.lit(1.0)), F.lit(0.0))) * mean_soft
     if {"agreement", "n_methods"} <= set(have):
         score = score * F.when(F.coalesce(F.col("n_methods"), F.lit(0)) >= TRUSTED_METHODS, 0.5 + 0.5 * F.coalesce(F.col("agreement"), F.lit(1.0))).otherwise(1.0)
     t = t.withColumn("confidence", F.coalesce(score, F.lit(0.0)))

@@ -55,7 +55,7 @@ def read_triplets(spark: SparkSession, path: str, section: str) -> tuple[DataFra
     """
 
     def numbered(name: str, columns: list[str]) -> DataFrame:
-        lines = spark.read.option("wholetext", True).text(f"{path}/{name}.tsv*").select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("at", "line"))
+        lines = spark.read.text(f"{path}/{name}.tsv*", wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n")).alias("at", "line"))
         parts = F.split("line", "\t")
         return lines.select((F.col("at") + 1).cast("long").alias("at"), *(F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Zeros are implicit. Each text is SQL over the raw tables.
 DRIVER_TABLES = {
     "counts": "SELECT o_custkey AS cell, l_partkey AS gene, sum(l_quantity) AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey",
-    "cells": "SELECT c_custkey AS cell, c_mktsegment AS label, c_nationkey AS batch, c_acctbal AS x, coalesce(y, 0) AS y FROM customer LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice) / 100, 2) AS y FROM orders GROUP BY o_custkey) t ON o_custkey = c_custkey",
+    "cells": "SELECT c_custkey AS cell, c_mktsegment AS label, c_nationkey AS batch, c_acctbal AS x, coalesce(y, 0) AS y FROM customer LEFT JOIN (SELECT o_custkey, floor(sum(round(o_totalprice * 100)) / 100 + 0.5e0) / 100 AS y FROM orders GROUP BY o_custkey) t ON o_custkey = c_custkey",
     "genes": "SELECT p_partkey AS gene, p_brand AS marker_set, p_type = 'ECONOMY' AND p_size % 10 = 0 AS control, p_size AS position FROM part",
     "votes": "SELECT o_custkey AS cell, 'status' AS method, o_orderstatus AS label FROM orders UNION ALL SELECT o_custkey, 'flag', l_returnflag FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT o_custkey, 'line', l_linestatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
     "truth": "SELECT cell, min(label) AS label FROM (SELECT o_custkey AS cell, o_orderstatus AS label, count(*) AS n, max(count(*)) OVER (PARTITION BY o_custkey) AS most FROM orders GROUP BY o_custkey, o_orderstatus) t WHERE n = most GROUP BY cell",
