@@ -62,7 +62,7 @@ def _hashed(n: int):
 
 
 def _windows(df: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
-    """One row per window of ``df(t, tokens)``: ``keep``, t, tokens, pos (from 0), n, h (64-bit hash of its tokens).
+    """One row per window of ``df(tokens)``: the columns ``keep``, pos (from 0), n, h (64-bit hash of its tokens).
 
     Outer explode and no filter on the arrays: either would have the optimizer compute them a second time, to test them.
     """
@@ -71,18 +71,17 @@ def _windows(df: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
     def windows(n: int) -> Column:
         return F.when(F.size("hashes") >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size("hashes") - n, F.lit(0))), _hashed(n)))
 
-    out = [rows.select(*keep, "t", "tokens", F.posexplode_outer(windows(n)).alias("pos", "h")).withColumn("n", F.lit(n)).filter("h IS NOT NULL") for n in lengths]
+    out = [rows.select(*keep, F.posexplode_outer(windows(n)).alias("pos", "h")).withColumn("n", F.lit(n)).filter("h IS NOT NULL") for n in lengths]
     for more in out[1:]:
         out[0] = out[0].union(more)
     return out[0]
 
 
-def _slots() -> Column:
-    """Placeholder values of the current window, in order of their place in it."""
-    tokens, words = (F.slice(x, F.col("pos") + 1, F.col("n")) for x in (F.col("tokens"), _words(_plain(F.col("t")))))
+def _slots(tokens: Column, words: Column, pos: Column, n: Column) -> Column:
+    """Placeholder values of one window, in order of their place in it."""
+    tokens, words = F.slice(tokens, pos + 1, n), F.slice(words, pos + 1, n)
     both = F.filter(F.arrays_zip(tokens.alias("t"), words.alias("r")), lambda x: x["t"].isin(*PLACEHOLDERS))
-    values = F.transform(both, lambda x: F.concat_ws(" ", x["t"], x["r"]))
-    return F.when(F.exists(tokens, lambda x: x.isin(*PLACEHOLDERS)), values).otherwise(F.array().cast("array<string>"))
+    return F.transform(both, lambda x: F.concat_ws(" ", x["t"], x["r"]))
 
 
 def _literals(tokens: Column) -> Column:
@@ -101,11 +100,11 @@ def benchmark_windows(bench: DataFrame) -> tuple[DataFrame, list[int]]:
     lengths = sorted({WINDOW} | {r[0] for r in items.select("length").distinct().collect()})  # lengths of items
     named = F.col("t").rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}") & ~F.col("tokens")[0].isin(*PLACEHOLDERS)
     other = F.concat(F.array(F.lit(PLACEHOLDERS[1])), F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))))
-    items, keep = items.withColumn("made", F.lit(0)), ["item_id", "length", "made"]
+    items, keep = items.withColumn("made", F.lit(0)), ["item_id", "length", "made", "t", "tokens"]
     rows = _windows(items, keep, lengths).unionByName(_windows(items.filter(named).withColumn("tokens", other).withColumn("made", F.lit(1)), keep, lengths).filter("pos = 0"))
     literals = _literals(F.slice("tokens", F.col("pos") + 1, F.col("n"))) + F.col("made")
     rows = rows.filter((F.col("n") == F.col("length")) & ((literals >= LITERALS) | (F.size("tokens") == F.col("n"))))
-    rows = saved(rows.select("item_id", F.col("pos").alias("item_pos"), "n", "h", _slots().alias("item_slots"), ((F.size("tokens") == F.col("n")) & (literals < FREE)).alias("own")))
+    rows = saved(rows.select("item_id", F.col("pos").alias("item_pos"), "n", "h", _slots(F.col("tokens"), _words(_plain(F.col("t"))), F.col("pos"), F.col("n")).alias("item_slots"), ((F.size("tokens") == F.col("n")) & (literals < FREE)).alias("own")))
     places = F.array_distinct(F.flatten(F.collect_set(F.sequence("item_pos", F.col("item_pos") + F.col("n") - 1))))
     total = rows.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"), F.size(places).alias("n_tokens"))
     return rows.join(total, "item_id"), lengths
@@ -126,14 +125,15 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     windows, lengths = benchmark_windows(bench)
     windows = saved(windows)
     n = windows.count()
-    texts = docs.select("doc_id", F.col("text").alias("t")).filter("t <> ''").withColumn("tokens", _template(F.col("t")))
-    found = _windows(texts, ["doc_id"], lengths)
-    if n <= MAX_BROADCAST:
-        known = windows.select("h").distinct()
-        found = found.join(F.broadcast(known), "h", "left_semi").select("doc_id", "pos", "h", _slots().alias("slots"))
-    else:
-        found = found.select("doc_id", "pos", "h", _slots().alias("slots"))
-    met = saved(found.join(windows, "h").filter(~F.col("own") | (F.col("item_slots") == F.col("slots")))).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    texts = docs.select("doc_id", F.col("text").alias("t")).filter("t <> ''").withColumn("row", F.xxhash64("doc_id", "t"))
+    known = windows.select("h").distinct()
+    found = _windows(texts.withColumn("tokens", _template(F.col("t"))), ["row"], lengths).join(F.broadcast(known) if n <= MAX_BROADCAST else known, "h", "left_semi")
+    hits = saved(found.select("row", "pos", "n", "h").distinct().groupBy("row").agg(F.collect_list(F.struct("pos", "n", "h")).alias("hits")))
+    # Texts with hits alone are read again; a row holds a text once, however many windows were hit.
+    held = saved(texts.join(hits, "row").select("doc_id", "hits", _template(F.col("t")).alias("tokens"), _words(_plain(F.col("t"))).alias("words")))
+    slots = F.transform("hits", lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), _slots(F.col("tokens"), F.col("words"), x["pos"], x["n"]).alias("slots")))
+    placed = held.select("doc_id", F.explode(slots).alias("x")).select("doc_id", "x.*")
+    met = saved(placed.join(windows, "h").filter(~F.col("own") | (F.col("item_slots") == F.col("slots")))).withColumn("shift", F.col("pos") - F.col("item_pos"))
     key = ["doc_id", "item_id", "n_windows", "n_tokens"]
     sets = [F.collect_set(x) for x in ("item_pos", F.sequence("item_pos", F.col("item_pos") + F.col("n") - 1), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))]
     runs = met.groupBy(*key, "shift").agg(sets[0].alias("at"), F.array_distinct(F.flatten(sets[1])).alias("held"), F.array_distinct(F.flatten(sets[2])).alias("pairs"))
