@@ -27,6 +27,8 @@ ORDERS = 4
 #: Rounds that compare the sets of crowded buckets with up to so many sets of the bucket's largest component, before
 #: all pairs that are still apart are looked at.
 ROUNDS, HUBS = 2, 8
+#: Sets of up to so many bytes in all are broadcast to the pairs that they are checked for; more are joined by a shuffle.
+SMALL = 24 << 20
 
 
 def prefix(s: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
@@ -121,9 +123,12 @@ def _pairs(members: DataFrame) -> DataFrame:
 def _checked(pairs: DataFrame, docs: DataFrame, known: DataFrame, hashes, id_col: str, text_col: str) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets are similar. Sets are made from the texts of these pairs alone."""
     pairs = saved(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(known.select("sid", "least"), "sid")
+    sides = pairs.select(F.col("a").alias("sid")).distinct().union(pairs.select(F.col("b").alias("sid")).distinct()).distinct()
+    wanted = sides.join(known.select("sid", "least"), "sid")
     held = saved(_sets(_texts(docs, saved(wanted), id_col, text_col), hashes, lambda s: s))
-    x, y = (held.select(F.col("sid").alias(i), F.col("s").alias(s)) for i, s in (("a", "x"), ("b", "y")))
+    total = held.agg(F.sum(F.size("s"))).first()[0] or 0
+    side = F.broadcast if 8 * total <= SMALL else lambda df: df
+    x, y = (side(held.select(F.col("sid").alias(i), F.col("s").alias(s))) for i, s in (("a", "x"), ("b", "y")))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
     out = saved(both.filter((PART + WHOLE) * F.col("both") >= PART * F.col("sum")).select("a", "b"))
     forget(held, pairs)
@@ -172,8 +177,8 @@ def _main_pairs(crowded: DataFrame, turn: int) -> DataFrame:
 
 
 def _crowded_pairs(crowded: DataFrame, own: DataFrame) -> DataFrame:
-    """``(a, b)``: the pairs of sets of different components that meet in buckets of over BUCKET sets and share as many
-    prefix shingles as similar sets must.
+    """``(a, b, size_a, size_b, n)``: the pairs of sets of different components that share ``n`` shingles of over BUCKET
+    prefixes, and with all other shared ones of theirs may have as many in common as similar sets must.
 
     In each bucket the members outside its largest component meet all members of other components, in shares of about
     BUCKET members. ``own(sid, keys, met)`` has a set's crowded shingles in order and the number of its other prefix
@@ -187,7 +192,9 @@ def _crowded_pairs(crowded: DataFrame, own: DataFrame) -> DataFrame:
     once = F.col("inside") | (F.col("sid_x") < F.col("sid_y"))
     able = F.size(common) + F.least("met_x", "met_y") >= _needed("size_x", "size_y")
     met = a.join(b, ["key", "share"]).filter((F.col("root_x") != F.col("root_y")) & once & _near_in_size("size_x", "size_y") & (common[0] == F.col("key")) & able)
-    return met.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b"))
+    swap = F.col("sid_x") > F.col("sid_y")
+    pick = lambda c, x, y: F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).cast("long")
+    return met.select(pick("sid", "x", "y").alias("a"), pick("sid", "y", "x").alias("b"), pick("size", "x", "y").alias("size_a"), pick("size", "y", "x").alias("size_b"), F.size(common).cast("long").alias("n"))
 
 
 def similar_links(docs: DataFrame, known: DataFrame, hashes, linked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,8 +226,8 @@ def similar_links(docs: DataFrame, known: DataFrame, hashes, linked: DataFrame,
     large = F.col("n") > BUCKET
     own = members.groupBy("sid").agg(F.sort_array(F.collect_list(F.when(large, F.col("key")))).alias("keys"), F.count(F.when(~large, 1)).alias("met")).filter(F.size("keys") > 0)
     crowded = _crowded_pairs(members.filter(large), saved(own))
-    pairs = _pairs(members.filter(~large)).groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"))
-    few = pairs.filter(F.col("n") >= _needed("size_a", "size_b"))  # all common ones, but for pairs that meet in crowds too
-    found = found.union(_checked(few.select("a", "b").union(crowded).distinct(), docs, known, hashes, id_col, text_col))
+    met = crowded.union(_pairs(members.filter(~large)).withColumn("n", F.lit(1).cast("long")))
+    enough = met.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n")).filter(F.col("n") >= _needed("size_a", "size_b"))
+    found = found.union(_checked(enough.select("a", "b"), docs, known, hashes, id_col, text_col))
     forget(members)
     return found
