@@ -19,7 +19,7 @@ from .common import saved, shared_dir, shuffle_partitions, table
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 #: Pieces and token groups that a worker keeps at most (some 150 bytes each); beyond that the ones met least go.
-PIECES, GROUPS = 600_000, 400_000
+PIECES, GROUPS = 900_000, 600_000
 #: A single space between other characters always begins a token of its own, so the text may be cut there.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 RUN = re.compile(r"\s\s")
@@ -210,7 +210,7 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows, or fewer where texts are long."""
     for b in batches:
         step = max(1, min(rows, size * b.num_rows // max(1, b.nbytes)))
