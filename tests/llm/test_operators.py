@@ -351,6 +351,22 @@ def test_classifiers_on_odd_rows(spark, odd, none, scores, label):
     assert {round(r.score, 6) for r in scores(odd, labels.filter("false")).collect()} == {0.5}
 
 
+def test_toxicity_lengths_and_dictionaries():
+    rng = np.random.default_rng(5)
+    vocabulary = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(400)]
+    text = lambda bad: b" ".join([vocabulary[i] for i in rng.integers(0, 400, 120)] + [b"zzscoundrel"] * bad)
+    samples = [(i % 2, text(i % 2)) for i in range(120)]
+    ordinary, toxic, weights = toxicity.fit(samples, 0.0)
+    assert b"zzsco" in toxic and b"zzsco" not in ordinary and len(ordinary) == len(toxic)
+    for data in (b"", b"x", text(1), text(0) * 9, "é".encode() * 400):
+        parts = toxicity.windows(data)
+        assert b"".join(parts) == data and all(len(p) <= toxicity.WINDOW for p in parts)
+        plain = [len(toxicity.compressor(ordinary).compress(p)) - len(toxicity.compressor(toxic).compress(p)) for p in parts]
+        assert toxicity.gains((toxicity.compressor(ordinary), toxicity.compressor(toxic)), data).tolist() == plain
+    again = toxicity.fit(samples, 0.0)
+    assert again[:2] == (ordinary, toxic) and np.allclose(again[2], weights)
+
+
 def test_toxicity_finds_words(spark):
     rng = np.random.default_rng(5)
     words = [f"word{i}" for i in range(400)]

@@ -15,11 +15,17 @@ from .common import table, text_bytes
 from .labelled import SAMPLE, logistic_fit, prior_shift, remainder, sigmoid, training_rows
 
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-#: Bytes of a window (it ends at white space where there is some) and of each trained part of a dictionary.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 128, 112 << 10, 512
+#: Bytes of a window (it ends at white space where there is some) and of the ordinary dictionary's trained content.
+WINDOW, ORDINARY_BYTES = 128, 112 << 10
+#: Bytes of the toxic dictionary's own content that are tried; the training rows' own folds choose one.
+TOXIC_BYTES = (256, 384)
+#: Training rows are split into so many folds to choose and calibrate by; held-out rows have no part in it.
+FOLDS = 3
 #: A word is telling where at least so many of a hundred toxic documents hold it, and its share of them is so many
-#: times that of the ordinary ones; the toxic dictionary is trained on what stands around telling words.
+#: times that of the ordinary ones; the toxic dictionary's own content is trained on toxic texts' telling words.
 SUPPORT, RATIO = 2, 10
+#: The start offsets of matches, 1, 4 and 8, which end a trained dictionary's tables.
+OFFSETS = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
 #: Least bytes of a match.
 MATCH = 4
 #: Bytes of a word's beginnings that may be telling for all words that begin so.
@@ -70,31 +76,34 @@ def summary(g: np.ndarray) -> np.ndarray:
     return np.array([g.max() / 4, g.mean(), np.log1p(len(g)) / 4, *(np.log1p((g >= t).sum()) for t in GAINS)])
 
 
-def content(parts: list[bytes], size: int) -> bytes:
-    """The frequent content of the windows, as zstandard's dictionary training finds it; few windows are used raw."""
+def content(parts: list[bytes], size: int, segment: int = 32, unit: int = 6) -> bytes:
+    """The frequent content of the parts, as zstandard's dictionary training finds it; few parts are used raw.
+
+    More is trained than kept: the commonest content stands last, where a match costs least. The tables of codes that
+    stand before the content are left out.
+    """
     try:
-        return zstandard.train_dictionary(size, parts, k=32, d=6).as_bytes()[-size:]
+        trained = zstandard.train_dictionary(max(size, 16 << 10), parts, k=segment, d=unit).as_bytes()
+        return trained.rpartition(OFFSETS)[2][-size:]
     except zstandard.ZstdError:
         return b"".join(parts)[-size:]
 
 
-def telling_content(ordinary: list[bytes], toxic: list[bytes]) -> bytes:
-    """Up to TOXIC_BYTES of the toxic texts' telling words, the commonest last, where a match costs least.
-
-    A common beginning stands for words that share it, unless one of them makes up half of its documents.
-    """
+def telling_passages(ordinary: list[bytes], toxic: list[bytes]) -> list[bytes]:
+    """Of each toxic text what its telling words hold: the longest telling beginning of each, else the whole word."""
     df = [Counter(w for t in texts for w in _stems(t)) for texts in (ordinary, toxic)]
     least = max(3, SUPPORT * len(toxic) / 100)
-    told = {w: n for w, n in df[1].items() if n >= least and n / len(toxic) >= RATIO * (df[0][w] + 1) / (len(ordinary) + 1)}
-    begins = {w: [w[:n] for n in STEMS if n < len(w) and w[:n] in told] for w in told}
-    covered = {b for w, all_ in begins.items() for b in all_ if 2 * told[w] >= told[b]}
-    kept = [w for w in told if w not in covered and not any(2 * told[w] < told[b] for b in begins[w])]
-    out = b""
-    for w in sorted(kept, key=lambda w: (-told[w], w)):
-        if len(out) + len(w) + 2 > TOXIC_BYTES:
-            break
-        out = b" " + w + out
-    return out + b" "
+    told = {w for w, n in df[1].items() if n >= least and n / len(toxic) >= RATIO * (df[0][w] + 1) / (len(ordinary) + 1)}
+    out = []
+    for t in toxic:
+        kept = []
+        for w in t.lower().split():
+            begins = [n for n in STEMS if w[:n] in told]
+            if begins or w in told:
+                kept.append(w[: max(begins)] if begins else w)
+        if kept:
+            out.append(b" " + b" ".join(kept) + b" ")
+    return out
 
 
 def _stems(text: bytes) -> set[bytes]:
@@ -102,26 +111,47 @@ def _stems(text: bytes) -> set[bytes]:
     return words.union(*({w[:n] for w in words if len(w) > n} for n in STEMS))
 
 
+def dictionaries(ordinary: list[bytes], toxic: list[bytes], sizes: tuple[int, ...] = TOXIC_BYTES) -> list[tuple[bytes, bytes]]:
+    """An (ordinary, toxic) pair of dictionaries for each size.
+
+    Toxic documents are mostly ordinary text, so the toxic dictionary's own content is trained on their telling
+    passages. Before it stands the ordinary dictionary's content, at the same distance in both, so that ordinary
+    text costs the same by either.
+    """
+    common, passages = content([w for t in ordinary for w in windows(t)], ORDINARY_BYTES), telling_passages(ordinary, toxic)
+    told = [content(passages, size, 12) for size in sizes]
+    return [(common + common[: len(x)], common + x) for x in told]
+
+
 def fit(samples: list[tuple[int, bytes]], shift: float) -> tuple[bytes, bytes, np.ndarray]:
     """(ordinary dictionary, toxic dictionary, calibration weights).
 
-    Toxic documents are mostly ordinary text, so the toxic dictionary's own part is trained on the places of their
-    telling words alone. Before it stands the ordinary dictionary's content, at the same distance in both, so that
-    ordinary text costs the same by either. One row in three is kept from training, to fit the calibration on.
+    Each fold is scored by dictionaries of the others; the calibration is fitted on those scores, and the size whose
+    calibrated scores lose least is taken. The dictionaries returned are trained on all rows.
     """
-    y = np.array([s[0] for s in samples])
-    held = np.arange(len(y)) % 3 == 2
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+    y = np.array([s[0] for s in samples], int)
+    fold = np.arange(len(y)) % FOLDS
+    if any(len(set(y[fold != f].tolist())) < 2 for f in range(FOLDS)):
         return b"", b"", np.append(np.zeros(WIDTH), shift)
-    texts = [[t for (label, t), h in zip(samples, held, strict=True) if label == c and not h] for c in (0, 1)]
-    common = content([w for t in texts[0] for w in windows(t)], ORDINARY_BYTES)
-    told = telling_content(*texts)
-    toxic, ordinary = common + told, common + common[: len(told)]
-    pair = compressor(ordinary), compressor(toxic)
-    x = np.array([summary(gains(pair, t)) for (_, t), h in zip(samples, held, strict=True) if h])
-    weights = logistic_fit(x, y[held], ridge=1e-1)
-    weights[-1] += shift
-    return ordinary, toxic, weights
+    texts = lambda c, f=-1: [t for (label, t), g in zip(samples, fold, strict=True) if label == c and g != f]
+    x = np.zeros((len(TOXIC_BYTES), len(y), WIDTH))
+    for f in range(FOLDS):
+        for i, (ordinary, toxic) in enumerate(dictionaries(texts(0, f), texts(1, f))):
+            pair = compressor(ordinary), compressor(toxic)
+            for j in np.flatnonzero(fold == f):
+                x[i, j] = summary(gains(pair, samples[j][1]))
+    weights = [logistic_fit(x_, y, ridge=1e-1) for x_ in x]
+    losses = [_loss(x_, y, w) for x_, w in zip(x, weights, strict=True)]
+    best = int(np.argmin(losses))
+    weights[best][-1] += shift
+    return *dictionaries(texts(0), texts(1), TOXIC_BYTES[best : best + 1])[0], weights[best]
+
+
+def _loss(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
+    """The mean log-loss of the two classes, which weigh alike."""
+    p = sigmoid(np.hstack([x, np.ones((len(x), 1))]) @ weights)
+    cost = -np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-9, 1))
+    return float(cost[y == 1].mean() + cost[y == 0].mean())
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[bytes, bytes, np.ndarray]:
