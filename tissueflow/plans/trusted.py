@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tissueflow.operators import calibrate, embedding, trust
+from tissueflow.operators import calibrate, embedding, grouping, trust
 from tissueflow.operators.labels import ABSTAIN, log_odds
 from tissueflow.operators.statements import BALLOT, METRICS, SCORES, STATEMENTS, WINNERS
 from tissueflow.sources.section import Section
@@ -77,6 +77,10 @@ QUERIES = {
     "classification_scores": lambda s: _rounded(calibrate.classification_scores(s["votes"].select("cell", "label").join(s["truth"].withColumnRenamed("label", "truth"), "cell"), "label", "truth"), accuracy=6, balanced_accuracy=6, macro_f1=6, weighted_f1=6, kappa=6),
     "composition_accuracy": lambda s: _rounded(calibrate.composition_accuracy(s["votes"].select("cell", "label").join(s["truth"].withColumnRenamed("label", "truth"), "cell"), "label", "truth"), l1=6, pearson=6, jsd=6),
     "calibration_report": lambda s: calibrate.calibration_report(s["judged"]),
+    "gene_sharing": lambda s: grouping.gene_sharing(s["counts"].join(s["cells"].select("cell", F.col("label").alias("marker_set")), "cell").select("marker_set", "gene")),
+    "merge_groups": lambda s: grouping.label_groups(s["vectors"].select("label"), embedding.adjacent_clusters(s["vectors"], 1)),
+    "marker_overview": lambda s: grouping.marker_overview(s["counts"].join(s["cells"].select("cell", "label"), "cell").groupBy("label", "gene").agg(F.sum("value").alias("total")), s["cells"].groupBy("label").agg(F.count(F.lit(1)).alias("n"))),
+    "cluster_splits": lambda s: _rounded(grouping.split_test(s["vectors"]), bimodality=4),
     "section_summaries": lambda s: s.sql(METRICS).join(s["cells"].select("cell", F.col("batch").alias("section")), "cell").groupBy("section").agg(F.count(F.lit(1)).alias("n_cells"), F.percentile("n_genes", F.lit(0.5)).alias("median_genes"), F.percentile("total", F.lit(0.5)).alias("median_total")),
     "adjacent_clusters": lambda s: _rounded(embedding.adjacent_clusters(s["vectors"]), d=6),
     "cluster_separation": lambda s: embedding.separation(s["vectors"], embedding.adjacent_clusters(s["vectors"])),
@@ -133,6 +137,13 @@ SQL = {
       round((max(n.h / n.n) - sum(p * t) / max(n.n * n.n)) / (1 - sum(p * t) / max(n.n * n.n)), 6) AS kappa FROM x CROSS JOIN n""",
     "composition_accuracy": f"""WITH {_PAIRED}, k AS (SELECT label AS k FROM j UNION SELECT truth FROM j), x AS (SELECT (SELECT count(*) FROM j WHERE label = k.k) / (SELECT count(*) FROM j) AS p, (SELECT count(*) FROM j WHERE truth = k.k) / (SELECT count(*) FROM j) AS q FROM k)
       SELECT round(sum(abs(p - q)), 6) AS l1, round(corr(p, q), 6) AS pearson, round(sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2), 6) AS jsd FROM x""",
+    "gene_sharing": "WITH m AS (SELECT DISTINCT c.label AS marker_set, k.gene FROM {counts} k JOIN {cells} c ON c.cell = k.cell WHERE c.label IS NOT NULL), n AS (SELECT gene, count(*) AS n_sets FROM m GROUP BY gene) SELECT m.marker_set, m.gene, n.n_sets, n.n_sets = 1 AS private FROM m JOIN n ON n.gene = m.gene",
+    "merge_groups": """WITH x AS (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM {vectors}), c AS (SELECT label, dim, avg(v) AS m FROM x GROUP BY label, dim),
+      d AS (SELECT a.label, b.label AS other, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM c a JOIN c b ON a.dim = b.dim AND a.label <> b.label GROUP BY a.label, b.label),
+      n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(d, 9), other) AS place FROM d), e AS (SELECT label, other FROM n WHERE place = 1 UNION SELECT other, label FROM n WHERE place = 1),
+      p AS (SELECT DISTINCT a.label, b.other AS reached FROM e a JOIN e b ON a.label = b.label OR a.other = b.label), q AS (SELECT label, reached FROM p UNION SELECT label, label FROM c),
+      q2 AS (SELECT DISTINCT a.label, b.reached FROM q a JOIN q b ON a.reached = b.label), q3 AS (SELECT DISTINCT a.label, b.reached FROM q2 a JOIN q2 b ON a.reached = b.label), q4 AS (SELECT DISTINCT a.label, b.reached FROM q3 a JOIN q3 b ON a.reached = b.label)
+      SELECT label, min(reached) AS root FROM q4 GROUP BY label""",
     "section_summaries": f"SELECT c.batch AS section, count(*) AS n_cells, median(m.n_genes) AS median_genes, median(m.total)::DOUBLE AS median_total FROM ({METRICS}) m JOIN {{cells}} c ON c.cell = m.cell GROUP BY c.batch",
     "adjacent_clusters": """WITH x AS (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM {vectors}), c AS (SELECT label, dim, avg(v) AS m FROM x GROUP BY label, dim),
       d AS (SELECT a.label, b.label AS other, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM c a JOIN c b ON a.dim = b.dim AND a.label <> b.label GROUP BY a.label, b.label),
