@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tissueflow.operators import grouping, references
+from tissueflow.operators import grouping, references, spillover
 
 
 def rows(df, *columns):
@@ -117,3 +117,23 @@ def test_ontology_and_corpus_markers(spark):
     canonical = spark.createDataFrame([("1", "CD8A", 1), ("1", "CD2", 9), ("1", "CD5", 10), ("2", "CD19", 5)], "term string, symbol string, citations long")
     assert rows(references.corpus_markers(canonical, computed, h)) == [("1", "CD2", 3, "canonical"), ("1", "CD5", 2, "canonical"), ("1", "CD8A", 1, "canonical"), ("2", "MS4A1", 1, "computed")]
     assert rows(references.corpus_markers(canonical, computed, "Mus musculus")) == []
+
+
+def test_spillover(spark):
+    cells = spark.createDataFrame([(1, "T"), (2, "B"), (3, "B"), (4, None), (5, "X")], "cell long, lineage string")
+    markers = spark.createDataFrame([("T", "CD3"), ("B", "MS4A1"), ("T", "PTPRC"), ("B", "PTPRC"), ("Y", "GONE")], "marker_set string, gene string")
+    edges = spark.createDataFrame([(2, 1), (1, 2), (4, 1), (3, 5), (5, 3)], "cell long, neighbour long")
+    counts = spark.createDataFrame([(1, "CD3", 5), (1, "MS4A1", 2), (2, "CD3", 3), (2, "CD3", 3), (2, "PTPRC", 4), (3, "CD3", 1), (4, "CD3", 7), (5, "MS4A1", 6), (5, "GONE", 1), (9, "CD3", 1)], "cell long, gene string, value long")
+    out = spillover.spillover_removed(counts, cells, markers, edges)
+    assert rows(out) == sorted([(1, "CD3", 5, 5), (1, "MS4A1", 2, 0), (2, "CD3", 3, 0), (2, "CD3", 3, 0), (2, "PTPRC", 4, 4), (3, "CD3", 1, 1), (4, "CD3", 7, 0), (5, "MS4A1", 6, 0), (5, "GONE", 1, 1), (9, "CD3", 1, 1)], key=str)
+    assert rows(spillover.coexpression(out, cells, markers)) == [("B", "T", 1.0, 0.5), ("T", "B", 1.0, 0.0), ("X", "B", 1.0, 0.0), ("X", "Y", 1.0, 1.0)]
+    assert rows(spillover.spillover_removed(counts.limit(0), cells, markers, edges)) == []
+
+
+def test_panel_warnings(spark):
+    coverage = spark.createDataFrame([("T", "green", 5, 5), ("B", "amber", 2, 5), ("N", "red", 0, 4), ("M", "amber", 1, 2)], "label string, light string, n_present long, n_markers long")
+    pairs = spark.createDataFrame([("T", "B"), ("B", "T"), (None, "T")], "a string, b string")
+    cells = spark.createDataFrame([("T",), ("T",), ("B",), ("M",)], "label string")
+    out = spillover.panel_warnings(coverage, pairs, cells, spark.createDataFrame([("M",)], "label string")).collect()
+    assert [(r["kind"], r["label"], r["other"], r["n_present"], r["n_cells"]) for r in out] == [("confusable", "B", "T", None, 3), ("coverage", "B", None, 2, 1), ("coverage", "N", None, 0, 0)]
+    assert out[1]["message"] == "B is weakly resolved on this panel (only 2 of 5 canonical markers present)."
