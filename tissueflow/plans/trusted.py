@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tissueflow.operators import calibrate, embedding, grouping, trust
+from tissueflow.operators import calibrate, embedding, grouping, spatial, spillover, trust
 from tissueflow.operators.labels import ABSTAIN, log_odds
 from tissueflow.operators.statements import BALLOT, METRICS, SCORES, STATEMENTS, WINNERS
 from tissueflow.sources.section import Section
@@ -48,6 +48,12 @@ def ledger(section: Section) -> DataFrame:
     return trust.trust_ledger(_verified(section), _typable(section), agreed).select("label", "n", "resolvable", "coherent", "agreed", "cause", F.array_join("flags", ",").alias("flags"))
 
 
+def spillover_removed(section: Section) -> DataFrame:
+    markers = section["genes"].filter("NOT control").join(F.broadcast(section.sql(PROGRAMS)), "marker_set").select(F.col("label").alias("marker_set"), "gene")
+    edges = spatial.neighbours(section["cells"]).select(F.col("src").alias("cell"), F.col("dst").alias("neighbour"))
+    return spillover.spillover_removed(section["counts"], section["cells"].select("cell", F.col("label").alias("lineage")), markers, edges)
+
+
 def method_reliability(section: Section) -> DataFrame:
     return _rounded(trust.reliability(section.sql(BALLOT).filter("method <> 'status'"), section["truth"]), reliability=6)
 
@@ -81,6 +87,7 @@ QUERIES = {
     "merge_groups": lambda s: grouping.label_groups(s["vectors"].select("label"), embedding.adjacent_clusters(s["vectors"], 1)),
     "marker_overview": lambda s: grouping.marker_overview(s["counts"].join(s["cells"].select("cell", "label"), "cell").groupBy("label", "gene").agg(F.sum("value").alias("total")), s["cells"].groupBy("label").agg(F.count(F.lit(1)).alias("n"))),
     "cluster_splits": lambda s: _rounded(grouping.split_test(s["vectors"]), bimodality=4),
+    "spillover_removed": spillover_removed,
     "section_summaries": lambda s: s.sql(METRICS).join(s["cells"].select("cell", F.col("batch").alias("section")), "cell").groupBy("section").agg(F.count(F.lit(1)).alias("n_cells"), F.percentile("n_genes", F.lit(0.5)).alias("median_genes"), F.percentile("total", F.lit(0.5)).alias("median_total")),
     "adjacent_clusters": lambda s: _rounded(embedding.adjacent_clusters(s["vectors"]), d=6),
     "cluster_separation": lambda s: embedding.separation(s["vectors"], embedding.adjacent_clusters(s["vectors"])),
@@ -144,6 +151,9 @@ SQL = {
       p AS (SELECT DISTINCT a.label, b.other AS reached FROM e a JOIN e b ON a.label = b.label OR a.other = b.label), q AS (SELECT label, reached FROM p UNION SELECT label, label FROM c),
       q2 AS (SELECT DISTINCT a.label, b.reached FROM q a JOIN q b ON a.reached = b.label), q3 AS (SELECT DISTINCT a.label, b.reached FROM q2 a JOIN q2 b ON a.reached = b.label), q4 AS (SELECT DISTINCT a.label, b.reached FROM q3 a JOIN q3 b ON a.reached = b.label)
       SELECT label, min(reached) AS root FROM q4 GROUP BY label""",
+    "spillover_removed": f"""WITH b AS ({PROGRAMS}), m AS (SELECT DISTINCT b.label AS own, g.gene FROM {{genes}} g JOIN b ON b.marker_set = g.marker_set WHERE NOT g.control), p AS (SELECT gene, min(own) AS own FROM m GROUP BY gene HAVING count(*) = 1),
+      e AS ({spatial.SQL["neighbour_graph"]}), r AS (SELECT DISTINCT e.src AS cell, c.label AS near FROM e JOIN {{cells}} c ON c.cell = e.dst)
+      SELECT k.cell, k.gene, k.value, CASE WHEN r.cell IS NOT NULL AND p.own <> c.label THEN 0 ELSE k.value END AS corrected FROM {{counts}} k JOIN {{cells}} c ON c.cell = k.cell LEFT JOIN p ON p.gene = k.gene LEFT JOIN r ON r.cell = k.cell AND r.near = p.own""",
     "section_summaries": f"SELECT c.batch AS section, count(*) AS n_cells, median(m.n_genes) AS median_genes, median(m.total)::DOUBLE AS median_total FROM ({METRICS}) m JOIN {{cells}} c ON c.cell = m.cell GROUP BY c.batch",
     "adjacent_clusters": """WITH x AS (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM {vectors}), c AS (SELECT label, dim, avg(v) AS m FROM x GROUP BY label, dim),
       d AS (SELECT a.label, b.label AS other, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM c a JOIN c b ON a.dim = b.dim AND a.label <> b.label GROUP BY a.label, b.label),
