@@ -29,8 +29,6 @@ WORDS = 5
 DEALS = 8
 #: Members of a segment that are compared at a time.
 CELL = 64
-#: Rounds in which sets are compared with one other only, so that copies of one text join at few comparisons.
-ROUNDS = 3
 #: Whole sets of up to so many bytes in all are broadcast to the pairs that they are checked for.
 SMALL = 24 << 20
 
@@ -122,71 +120,52 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, f"id {kind}, d1 long, d2 long, size int, deals array<struct<info:int,keys:array<long>>>, sketch array<long>")
 
 
-def _rooted(met: DataFrame, links: DataFrame) -> DataFrame:
-    roots = saved(components(links)).withColumnRenamed("node", "sid")
-    out = saved(met.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    forget(roots)
-    return out
-
-
-def _needed(n, t, info_n, info_t):
-    """Equal segments that similar sets of these sizes must have."""
-    d = F.floor((F.col(n) + F.col(t)) * (WHOLE - PART) / (WHOLE + PART))
-    return F.greatest(F.floor(F.greatest(info_n, info_t) / 64) - d, F.lit(1))
-
-
-def _possible(n, t, info):
-    """Whether the sizes allow the similarity, and the pair belongs into the band that it meets in."""
-    return (WHOLE * F.least(n, t) >= PART * F.greatest(n, t)) & (F.pow(F.lit(2.0), F.col(info).bitwiseAND(63)) <= F.greatest(n, t))
-
-
-def _main(members: DataFrame) -> DataFrame:
-    """The members of segments that hold several components, with the segment's largest one as ``main``."""
-    groups = saved(members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")))
-    main = saved(groups.groupBy("key").agg(F.max(F.struct("m", "root")).alias("g"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("key", F.col("g.root").alias("main")))
-    out = saved(members.join(main, "key"))
-    forget(groups, main)
-    return out
-
+def _hub_pairs(met: DataFrame, known: DataFrame) -> DataFrame:
+    """At most one pair for each set: with the hub, a segment's first set, that it has most segments in common with. Pairs
+    whose sizes or common segments rule the similarity out are left away."""
+    n = met.filter("sid <> hub").groupBy("sid", "size", "info", "hub").agg(F.count(F.lit(1)).alias("n"))
+    t = n.join(known.select(F.col("sid").alias("hub"), F.col("size").alias("hub_size")), "hub")
+    least, most_ = F.least("size", "hub_size"), F.greatest("size", "hub_size")
+    differ = F.floor((F.col("size") + F.col("hub_size")) * (WHOLE - PART) / (WHOLE + PART))
+    own_band = F.pow(F.lit(2.0), F.col("info").bitwiseAND(63)) <= most_
+    likely = t.filter((WHOLE * least >= PART * most_) & own_band & (F.col("n") >= F.greatest(F.floor(F.col("info") / 64) - differ, F.lit(1))))
+    return likely.groupBy("sid").agg(F.max(F.struct("n", "hub")).alias("m")).select(F.col("sid").alias("a"), F.col("m.hub").alias("b"))
 
-def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """At most one pair for each set: with the hub, of another component, that it has most segments in common with.
-
-    The hub of a segment is the least set of its largest component in an order by hash, another in each turn.
-    """
-    open_ = _main(members)
-    first = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("order"), "sid", "size", "info")).alias("hub")
-    hubs = saved(open_.filter("root = main").groupBy("key").agg(first).select("key", F.col("hub.sid").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.info").alias("hub_info")))
-    apart = open_.filter("root <> main").join(hubs, "key").filter(_possible("size", "hub_size", "info"))
-    met = apart.groupBy("sid", "hub", "size", "hub_size").agg(F.count(F.lit(1)).alias("n"), F.max("info").alias("info"), F.max("hub_info").alias("hub_info")).filter(F.col("n") >= _needed("size", "hub_size", "info", "hub_info"))
-    return met.groupBy("sid").agg(F.max(F.struct("n", "hub")).alias("m")).select(F.col("sid").alias("a"), F.col("m.hub").alias("b"))
 
-
-def _cell_pairs(outer: list[dict], inner: list[dict]) -> np.ndarray:
+def _cell_pairs(outer: list[dict], inner: list[dict], spanning: bool) -> np.ndarray:
     """``(a, b, needed)`` of the pairs of two lists of members that are of different components, may be similar by their
-    sizes, and whose bit sketches differ in no more bits than such sets can."""
+    sizes, and whose bit sketches differ in no more bits than such sets can; if asked, the likeliest of two components only."""
     x, y = ({c: np.array([m[c] for m in side], np.int64) for c in ("sid", "size", "info", "root")} for side in (outer, inner))
     words = min(len(m["sketch"]) for m in outer + inner)
     xs, ys = (np.stack([folded(np.array(m["sketch"], np.int64).view(np.uint64), words) for m in side]) for side in (outer, inner))
     n, t = x["size"][:, None], y["size"][None, :]
     ok = (x["root"][:, None] != y["root"]) & (WHOLE * np.minimum(n, t) >= PART * np.maximum(n, t)) & ((1 << (x["info"][:, None] & 63)) <= np.maximum(n, t))
     i, j = np.nonzero(ok)
-    near = np.bitwise_count(xs[i] ^ ys[j]).sum(axis=1, dtype=np.int64) <= budget(x["size"][i], y["size"][j])
-    i, j = i[near], j[near]
+    apart, room = np.bitwise_count(xs[i] ^ ys[j]).sum(axis=1, dtype=np.int64), budget(x["size"][i], y["size"][j])
+    near = apart <= room
+    i, j, apart = i[near], j[near], (apart / np.maximum(room, 1))[near]
+    if spanning and len(i):
+        p, q = x["root"][i], y["root"][j]
+        order = np.lexsort((apart, np.maximum(p, q), np.minimum(p, q)))
+        p, q = np.minimum(p, q)[order], np.maximum(p, q)[order]
+        order = order[np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])])]
+        i, j = i[order], j[order]
     needed = np.maximum(np.maximum(x["info"][i] >> 6, y["info"][j] >> 6) - budget(x["size"][i], y["size"][j]), 1)
     a, b = x["sid"][i], y["sid"][j]
     return np.stack([np.minimum(a, b), np.maximum(a, b), needed], axis=1)
 
 
-def _all_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """``(a, b)``: all pairs of sets of different components that can be similar by the segments and bits they share.
+def _cross_pairs(met: DataFrame, roots: DataFrame, sketches: DataFrame, spanning: bool) -> DataFrame:
+    """``(a, b)``: pairs of sets of different components that can be similar by the segments and bits they share, all or one
+    for each two components that meet in a cell.
 
     In each segment the members outside the largest component meet all members, in cells of about CELL by CELL.
     """
-    open_ = _main(members)
-    open_ = saved(open_.join(sketches, "sid"))
-    sizes = saved(open_.groupBy("key").agg(F.count(F.when(F.col("root") != F.col("main"), 1)).alias("outer_n"), F.count(F.lit(1)).alias("inner_n")))
-    dealt = open_.join(sizes, "key").select("key", F.struct("sid", "size", "info", "root", "sketch").alias("member"), (F.col("root") != F.col("main")).alias("out"), *(F.greatest(F.ceil(F.col(c) / CELL), F.lit(1)).cast("int").alias(k) for c, k in (("outer_n", "rows"), ("inner_n", "columns"))))
+    members = met.select("key", "sid", "size", "info").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    groups = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    main = saved(groups.groupBy("key").agg(F.max(F.struct("m", "root")).alias("g"), F.sum("m").alias("inner_n"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("key", F.col("g.root").alias("main"), (F.col("inner_n") - F.col("g.m")).alias("outer_n"), "inner_n"))
+    open_ = saved(members.join(main, "key"))
+    dealt = open_.join(sketches, "sid").select("key", F.struct("sid", "size", "info", "root", "sketch").alias("member"), (F.col("root") != F.col("main")).alias("out"), *(F.ceil(F.col(c) / CELL).cast("int").alias(k) for c, k in (("outer_n", "rows"), ("inner_n", "columns"))))
     turn = F.xxhash64("key", "member.sid")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     outer = dealt.filter("out").select("key", "member", F.lit(True).alias("outer"), F.pmod(turn, F.col("rows")).cast("int").alias("i"), every("columns").alias("j"))
@@ -195,14 +174,26 @@ def _all_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
-            found = [_cell_pairs(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            found = [_cell_pairs(x, y, spanning) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             p = np.concatenate([np.zeros((0, 3), np.int64), *found])
             yield pa.RecordBatch.from_arrays([pa.array(p[:, c]) for c in range(3)], names=["a", "b", "needed"])
 
     met = cells.filter(F.size("x") * F.size("y") > 0).select("x", "y").mapInArrow(run, "a long, b long, needed long")
+    if spanning:
+        return met.select("a", "b").distinct()
     return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed")).filter("n >= needed").select("a", "b")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``(sid, root)`` after links between the components of ``roots``; sets of no link have no row."""
+    side = lambda c: roots.select(F.col("sid").alias(c), F.col("root").alias(f"root_{c}"))
+    edges = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    up = saved(components(edges)).select("node", F.col("root").alias("up"))
+    moved = roots.join(up, F.col("root") == F.col("node"), "left").select("sid", F.coalesce("up", "root").alias("root"))
+    new = up.join(roots.select(F.col("sid").alias("node")), "node", "left_anti").select(F.col("node").alias("sid"), F.col("up").alias("root"))
+    return saved(moved.union(new))
+
+
 def _checked(pairs: DataFrame, docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose whole sets are similar. Sets are made from the texts of these pairs alone, and only texts of
     the right digest count, should several have one id."""
@@ -236,24 +227,24 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts, and those without words, have no shingles and are linked with nothing. Rows with equal sets are
     linked. Rows without an id have no component and link nothing; several texts of one id are rows of their own. An empty
-    table gives an empty result. Other columns are not read. Each distinct set is compared once, and first with one likely
-    other a round; then every pair of sets still apart that meets often enough is checked, so that no link is lost.
+    table gives an empty result. Other columns are not read. Each distinct set is first compared with one likely other, so that
+    copies join at few comparisons, then likely pairs of components, one for each two that meet; then every pair of sets
+    still apart that meets often enough is checked, so that no link is lost.
     """
     each = saved(_described(docs, id_col, text_col))
     kinds = each.filter("id IS NOT NULL AND size > 0").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("deals").alias("deals"), F.first("sketch").alias("sketch"))
     known = saved(kinds.withColumn("sid", F.monotonically_increasing_id()))
     posts = known.select("sid", "size", F.explode("deals").alias("deal")).select("sid", "size", "deal.info", F.explode("deal.keys").alias("key"))
-    shared = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    shared = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("hub")).filter("n > 1").select("key", "hub"))
     met = saved(posts.join(shared, "key"))
     forget(shared)
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    members = met.withColumn("root", F.col("sid"))
-    for turn in range(ROUNDS):
-        links = links.union(_checked(_hub_pairs(members, turn), docs, known, id_col, text_col))
-        members = _rooted(met, links)
-    links = links.union(_checked(_all_pairs(members, known.select("sid", "sketch")), docs, known, id_col, text_col))
-    roots = saved(components(links))
-    kind = saved(known.select("sid", "d1", "d2", "least").join(roots, F.col("sid") == F.col("node"), "left").select("d1", "d2", "least", F.coalesce("root", "sid").alias("root")))
+    roots = docs.sparkSession.createDataFrame([], "sid long, root long")
+    for pairs in (lambda: _hub_pairs(met, known), *(lambda s=s: _cross_pairs(met, roots, known.select("sid", "sketch"), s) for s in (True, False))):
+        links = _checked(pairs(), docs, known, id_col, text_col)
+        if not links.isEmpty():
+            roots = _joined(roots, links)
+    forget(met)
+    kind = saved(known.select("sid", "d1", "d2", "least").join(roots, "sid", "left").select("d1", "d2", "least", F.coalesce("root", "sid").alias("root")))
     least = saved(kind.groupBy("root").agg(F.min("least").alias("component_id")))
     named = saved(kind.join(least, "root").select("d1", "d2", "component_id"))
     own = F.when(F.col("id").isNull() | (F.col("size") == 0), F.col("id")).otherwise(F.col("component_id"))
