@@ -29,6 +29,10 @@ WORDS = 5
 DEALS = 8
 #: Members of a segment that are compared at a time.
 CELL = 64
+#: Segments of a set, the least by hash, in which it first meets others.
+FIRST = 8
+#: 64-bit words of a bit sketch at most; a longer one is folded, and tells less about sets of several thousand tokens.
+SKETCH = 32
 #: Whole sets of up to so many bytes in all are broadcast to the pairs that they are checked for.
 SMALL = 24 << 20
 
@@ -67,7 +71,7 @@ def postings(s: np.ndarray) -> list[tuple[int, np.ndarray]]:
             continue
         k = np.uint64(segments(band))
         for deal in range(DEALS):
-            token = mixed(s + np.uint64(deal + 1) * MIX1)
+            token = mixed(s + np.uint64((deal + 1) * int(MIX1) & (1 << 64) - 1))
             segment = ((token >> np.uint64(32)) * k) >> np.uint64(32)
             order = np.argsort(segment, kind="stable")
             full, first = np.unique(segment[order], return_index=True)
@@ -83,11 +87,11 @@ def postings(s: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the tokens of each bit, 4 to 8 bits a token, as 64-bit words; a power of two, so that a long sketch
-    folds to a shorter one."""
+    """Parity of the tokens of each bit, 4 to 8 bits a token, as up to SKETCH 64-bit words; a power of two, so that a long
+    sketch folds to a shorter one."""
     bits = max(64, 8 << band_of(len(s)))
     ones = np.bincount((mixed(s ^ MIX1) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(ones.astype(np.uint8), bitorder="little").view("<u8")
+    return folded(np.packbits(ones.astype(np.uint8), bitorder="little").view("<u8"), SKETCH)
 
 
 def folded(sketch: np.ndarray, words: int) -> np.ndarray:
@@ -129,7 +133,7 @@ def _hub_pairs(met: DataFrame, known: DataFrame) -> DataFrame:
     differ = F.floor((F.col("size") + F.col("hub_size")) * (WHOLE - PART) / (WHOLE + PART))
     own_band = F.pow(F.lit(2.0), F.col("info").bitwiseAND(63)) <= most_
     likely = t.filter((WHOLE * least >= PART * most_) & own_band & (F.col("n") >= F.greatest(F.floor(F.col("info") / 64) - differ, F.lit(1))))
-    return likely.groupBy("sid").agg(F.max(F.struct("n", "hub")).alias("m")).select(F.col("sid").alias("a"), F.col("m.hub").alias("b"))
+    return saved(likely.groupBy("sid").agg(F.max(F.struct("n", "hub")).alias("m")).select(F.col("sid").alias("a"), F.col("m.hub").alias("b")))
 
 
 def _cell_pairs(outer: list[dict], inner: list[dict], spanning: bool) -> np.ndarray:
@@ -155,16 +159,20 @@ def _cell_pairs(outer: list[dict], inner: list[dict], spanning: bool) -> np.ndar
     return np.stack([np.minimum(a, b), np.maximum(a, b), needed], axis=1)
 
 
-def _cross_pairs(met: DataFrame, roots: DataFrame, sketches: DataFrame, spanning: bool) -> DataFrame:
-    """``(a, b)``: pairs of sets of different components that can be similar by the segments and bits they share, all or one
-    for each two components that meet in a cell.
-
-    In each segment the members outside the largest component meet all members, in cells of about CELL by CELL.
-    """
-    members = met.select("key", "sid", "size", "info").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+def _open(members: DataFrame) -> DataFrame:
+    """``members(key, sid, size, info, root)`` of segments that hold several components, with the segment's largest one, ``main``,
+    and how many sets are outside it and in all. Saved."""
     groups = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    main = saved(groups.groupBy("key").agg(F.max(F.struct("m", "root")).alias("g"), F.sum("m").alias("inner_n"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("key", F.col("g.root").alias("main"), (F.col("inner_n") - F.col("g.m")).alias("outer_n"), "inner_n"))
-    open_ = saved(members.join(main, "key"))
+    main = groups.groupBy("key").agg(F.max(F.struct("m", "root")).alias("g"), F.sum("m").alias("inner_n"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    main = saved(main.select("key", F.col("g.root").alias("main"), (F.col("inner_n") - F.col("g.m")).alias("outer_n"), "inner_n"))
+    out = saved(members.join(main, "key"))
+    forget(main)
+    return out
+
+
+def _cells(open_: DataFrame, sketches: DataFrame, spanning: bool) -> DataFrame:
+    """``(a, b, needed)``, a row for each segment that both are in: pairs of sets of different components that can be similar
+    by their sizes and bits. The members outside the largest component meet all, in cells of about CELL by CELL."""
     dealt = open_.join(sketches, "sid").select("key", F.struct("sid", "size", "info", "root", "sketch").alias("member"), (F.col("root") != F.col("main")).alias("out"), *(F.ceil(F.col(c) / CELL).cast("int").alias(k) for c, k in (("outer_n", "rows"), ("inner_n", "columns"))))
     turn = F.xxhash64("key", "member.sid")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -178,10 +186,49 @@ def _cross_pairs(met: DataFrame, roots: DataFrame, sketches: DataFrame, spanning
             p = np.concatenate([np.zeros((0, 3), np.int64), *found])
             yield pa.RecordBatch.from_arrays([pa.array(p[:, c]) for c in range(3)], names=["a", "b", "needed"])
 
-    met = cells.filter(F.size("x") * F.size("y") > 0).select("x", "y").mapInArrow(run, "a long, b long, needed long")
-    if spanning:
-        return met.select("a", "b").distinct()
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed")).filter("n >= needed").select("a", "b")
+    return cells.filter(F.size("x") * F.size("y") > 0).select("x", "y").mapInArrow(run, "a long, b long, needed long")
+
+
+def _small(open_: DataFrame) -> DataFrame:
+    """As :func:`_cells` for segments of up to CELL sets, by their sizes alone: a row of three numbers for each two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.zeros((0, 3), np.int64)]
+            for v in b.column(0).to_pylist():
+                sid, size, info, root = (np.array([m[c] for m in v], np.int64) for c in ("sid", "size", "info", "root"))
+                n, t = size[:, None], size[None, :]
+                i, j = np.nonzero((sid[:, None] < sid) & (root[:, None] != root) & (WHOLE * np.minimum(n, t) >= PART * np.maximum(n, t)) & ((1 << (info[:, None] & 63)) <= np.maximum(n, t)))
+                needed = np.maximum(np.maximum(info[i] >> 6, info[j] >> 6) - budget(size[i], size[j]), 1)
+                found.append(np.stack([sid[i], sid[j], needed], axis=1))
+            p = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, c]) for c in range(3)], names=["a", "b", "needed"])
+
+    return open_.groupBy("key").agg(F.collect_list(F.struct("sid", "size", "info", "root")).alias("v")).select("v").mapInArrow(run, "a long, b long, needed long")
+
+
+def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
+    return met.select("key", "sid", "size", "info").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+
+def _likely_pairs(met: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``(a, b)``: for each two components that meet in the first segments of their sets, a pair that is likely similar. Saved."""
+    first = met.groupBy("sid", "size", "info").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST).alias("keys")).select("sid", "size", "info", F.explode("keys").alias("key"))
+    open_ = _open(_rooted(first, roots))
+    out = saved(_cells(open_, sketches, True).select("a", "b").distinct())
+    forget(open_)
+    return out
+
+
+def _all_pairs(met: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``(a, b)``: all pairs of sets of different components that share as many segments as similar ones must, and in crowded
+    segments can be similar by their bits. Saved."""
+    open_ = _open(_rooted(met, roots))
+    large = F.col("inner_n") > CELL
+    pairs = _small(open_.filter(~large)).union(_cells(open_.filter(large), sketches, False))
+    out = saved(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed")).filter("n >= needed").select("a", "b"))
+    forget(open_)
+    return out
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -195,8 +242,8 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose whole sets are similar. Sets are made from the texts of these pairs alone, and only texts of
-    the right digest count, should several have one id."""
+    """The ``pairs``, saved ones and then forgotten, whose whole sets are similar. Sets are made from the texts of these pairs
+    alone, and only texts of the right digest count, should several have one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
@@ -208,7 +255,6 @@ def _checked(pairs: DataFrame, docs: DataFrame, known: DataFrame, id_col: str, t
             sid, s = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(s, pa.list_(pa.int64()))], names=["sid", "s"])
 
-    pairs = saved(pairs)
     sides = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = saved(sides.join(known.select("sid", "least", "d1", "d2"), "sid"))
     texts = docs.select(F.col(id_col).alias("least"), text_bytes(text_col).alias("text")).join(wanted, "least").select("sid", "d1", "d2", "text")
@@ -231,15 +277,18 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies join at few comparisons, then likely pairs of components, one for each two that meet; then every pair of sets
     still apart that meets often enough is checked, so that no link is lost.
     """
-    each = saved(_described(docs, id_col, text_col))
-    kinds = each.filter("id IS NOT NULL AND size > 0").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("deals").alias("deals"), F.first("sketch").alias("sketch"))
-    known = saved(kinds.withColumn("sid", F.monotonically_increasing_id()))
-    posts = known.select("sid", "size", F.explode("deals").alias("deal")).select("sid", "size", "deal.info", F.explode("deal.keys").alias("key"))
+    whole = saved(_described(docs, id_col, text_col))
+    kinds = whole.filter("id IS NOT NULL AND size > 0").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("deals").alias("deals"), F.first("sketch").alias("sketch"))
+    dealt = saved(kinds.withColumn("sid", F.monotonically_increasing_id()))
+    each = saved(whole.select("id", "d1", "d2", "size"))
+    forget(whole)
+    posts = dealt.select("sid", "size", F.explode("deals").alias("deal")).select("sid", "size", "deal.info", F.explode("deal.keys").alias("key"))
     shared = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("hub")).filter("n > 1").select("key", "hub"))
     met = saved(posts.join(shared, "key"))
-    forget(shared)
-    roots = docs.sparkSession.createDataFrame([], "sid long, root long")
-    for pairs in (lambda: _hub_pairs(met, known), *(lambda s=s: _cross_pairs(met, roots, known.select("sid", "sketch"), s) for s in (True, False))):
+    known = saved(dealt.drop("deals"))
+    forget(shared, dealt)
+    sketches, roots = known.select("sid", "sketch"), docs.sparkSession.createDataFrame([], "sid long, root long")
+    for pairs in (lambda: _hub_pairs(met, known), lambda: _likely_pairs(met, roots, sketches), lambda: _all_pairs(met, roots, sketches)):
         links = _checked(pairs(), docs, known, id_col, text_col)
         if not links.isEmpty():
             roots = _joined(roots, links)
