@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissueflow.durable import saved
+from tissueflow.durable import forget, saved
 
 
 def centroids(items: DataFrame) -> DataFrame:
@@ -57,6 +58,67 @@ def principal_axes(items: DataFrame, k: int = 50) -> DataFrame:
     return PCA(k=min(k, len(head["v"])), inputCol="v", outputCol="p").fit(rows).transform(rows).select("item", vector_to_array("p").alias("pca"))
 
 
+@dataclass
+class SparseRows:
+    """``rows(cell, at, v)``, each cell's places among ``genes`` and its values there; cells without any have no row."""
+
+    rows: DataFrame
+    genes: list
+    mean: np.ndarray
+    n: int
+
+    def dense(self):
+        """A function for tasks that gives a few rows with their zeros."""
+        width = len(self.genes)
+
+        def run(at: list, v: list) -> np.ndarray:
+            x = np.zeros((len(at), width))
+            x[np.repeat(np.arange(len(at)), list(map(len, at))), np.concatenate(at).astype(np.int64)] = np.concatenate(v)
+            return x
+
+        return run
+
+    def summed(self, shape: tuple[int, ...], add: Callable[[np.ndarray, np.ndarray], None], size: int = 512) -> np.ndarray:
+        """The sum over all rows of what ``add(out, x)`` adds to a matrix for a few dense rows: one matrix a task, summed by
+        place, so that the driver sees that matrix alone."""
+        dense = self.dense()
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros(shape)
+            for p in parts:
+                for lo in range(0, len(p), size):
+                    add(out, dense(*(p[c].iloc[lo : lo + size].tolist() for c in ("at", "v"))))
+            yield pd.DataFrame({"i": np.arange(out.size), "s": out.ravel()})
+
+        total = np.zeros(int(np.prod(shape)))
+        for r in self.rows.select("at", "v").mapInPandas(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
+            total[r["i"]] = r["s"]
+        return total.reshape(shape)
+
+
+def normalised(counts: DataFrame) -> DataFrame:
+    """``(cell, gene, v)``: counts scaled to the median of the cells' totals, log1p. Counts that aren't positive go."""
+    own = counts.filter("value > 0").groupBy("cell", "gene").agg(F.sum(F.col("value").cast("double")).alias("value"))
+    totals = own.groupBy("cell").agg(F.sum("value").alias("total"))
+    target = totals.agg(F.percentile("total", F.lit(0.5)).alias("target"))
+    return own.join(totals, "cell").crossJoin(F.broadcast(target)).select("cell", "gene", F.log1p(F.col("value") * F.col("target") / F.col("total")).alias("v"))
+
+
+def variable_rows(counts: DataFrame, cells: DataFrame, genes: DataFrame, top: int = 2000) -> SparseRows:
+    """The normalised values of ``cells(cell)`` on the ``top`` of ``genes(gene)`` whose variance is largest for their mean."""
+    cells = cells.select("cell").distinct()
+    values = saved(normalised(counts.join(cells, "cell").join(genes.select("gene").distinct(), "gene")))
+    n = cells.count()
+    square = F.sum(F.col("v") * F.col("v"))
+    stats = values.groupBy("gene").agg((F.sum("v") / n).alias("mean"), ((square - F.sum("v") ** 2 / n) / max(n - 1, 1)).alias("var"))
+    spread = F.log(F.col("var") / F.col("mean"))
+    picked = stats.filter("var > 0").orderBy(F.desc(F.round(spread, 9)), "gene").limit(top).select("gene", "mean").collect()  # at most top rows
+    place = values.sparkSession.createDataFrame([(r["gene"], i) for i, r in enumerate(picked)], f"gene {dict(genes.dtypes)['gene']}, at int")
+    rows = saved(values.join(F.broadcast(place), "gene").groupBy("cell").agg(F.collect_list("at").alias("at"), F.collect_list("v").alias("v")))
+    forget(values)
+    return SparseRows(rows, [r["gene"] for r in picked], np.array([r["mean"] for r in picked]), n)
+
+
 def cell_vectors(counts: DataFrame, cells: DataFrame, genes: DataFrame, k: int = 50, top: int = 2000, passes: int = 4, seed: int = 0) -> DataFrame:
     """``(item, embedding)``: each of ``cells(cell)`` on the ``k`` main axes of its normalised, log-scaled counts over the ``top``
     most variable of ``genes(gene)``.
@@ -65,45 +127,19 @@ def cell_vectors(counts: DataFrame, cells: DataFrame, genes: DataFrame, k: int =
     the driver sees that matrix alone. Cells without counts lie where all their values are zero.
     """
     spark, cells = counts.sparkSession, cells.select("cell").distinct()
-    own = counts.join(cells, "cell").join(genes.select("gene").distinct(), "gene").filter("value > 0")
-    totals = own.groupBy("cell").agg(F.sum(F.col("value").cast("double")).alias("total"))
-    target = totals.agg(F.percentile("total", F.lit(0.5)).alias("target"))
-    values = own.join(totals, "cell").crossJoin(F.broadcast(target)).select("cell", "gene", F.log1p(F.col("value") * F.col("target") / F.col("total")).alias("v"))
-    n = cells.count()
-    square = F.sum(F.col("v") * F.col("v"))
-    stats = values.groupBy("gene").agg((F.sum("v") / n).alias("mean"), ((square - F.sum("v") ** 2 / n) / max(n - 1, 1)).alias("var"))
-    spread = F.log(F.col("var") / F.col("mean"))
-    chosen = stats.filter("var > 0").orderBy(F.desc(F.round(spread, 9)), "gene").limit(top)
-    picked = chosen.select("gene", "mean").collect()  # at most top rows
-    kind = dict(cells.dtypes)["cell"]
-    if not picked:
+    x = variable_rows(counts, cells, genes, top)
+    mean, n, kind = x.mean, x.n, dict(cells.dtypes)["cell"]
+    if not x.genes:
         return cells.select(F.col("cell").alias("item"), F.array(F.lit(0.0)).alias("embedding"))
-    mean = np.array([r["mean"] for r in picked])
-    place = spark.createDataFrame([(r["gene"], i) for i, r in enumerate(picked)], f"gene {dict(genes.dtypes)['gene']}, at int")
-    rows = saved(values.join(F.broadcast(place), "gene").groupBy("cell").agg(F.collect_list("at").alias("at"), F.collect_list("v").alias("v")))
-
-    def dense(at: list, v: list) -> np.ndarray:
-        """A few rows with their zeros."""
-        x = np.zeros((len(at), len(mean)))
-        x[np.repeat(np.arange(len(at)), list(map(len, at))), np.concatenate(at).astype(np.int64)] = np.concatenate(v)
-        return x
 
     def spread_along(axes: np.ndarray) -> np.ndarray:
         """The covariance times ``axes``."""
         held = spark.sparkContext.broadcast(axes)
 
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = np.zeros(held.value.shape)
-            for p in parts:
-                for lo in range(0, len(p), 512):
-                    x = dense(*(p[c].iloc[lo : lo + 512].tolist() for c in ("at", "v")))
-                    out += x.T @ (x @ held.value)
-            yield pd.DataFrame({"i": np.arange(out.size), "s": out.ravel()})
+        def add(out: np.ndarray, x: np.ndarray) -> None:
+            out += x.T @ (x @ held.value)
 
-        total = np.zeros(axes.size)
-        for r in rows.select("at", "v").mapInPandas(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():  # genes x axes
-            total[r["i"]] = r["s"]
-        return total.reshape(axes.shape) / n - np.outer(mean, mean @ axes)
+        return x.summed(axes.shape, add) / n - np.outer(mean, mean @ axes)
 
     width = min(len(mean), k + 10)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(mean), width)))[0]
@@ -115,10 +151,11 @@ def cell_vectors(counts: DataFrame, cells: DataFrame, genes: DataFrame, k: int =
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
     held, origin = spark.sparkContext.broadcast(axes), (-(mean @ axes)).tolist()
 
+    dense = x.dense()
+
     def project(at: pd.Series, v: pd.Series) -> pd.Series:
         rows = (dense(at.iloc[lo : lo + 512].tolist(), v.iloc[lo : lo + 512].tolist()) @ held.value for lo in range(0, len(at), 512))
         return pd.Series([y for part in rows for y in part + np.array(origin)])
 
-    placed = rows.select("cell", F.pandas_udf(project, "array<double>")("at", "v").alias("embedding"))
-    out = cells.join(placed, "cell", "left").select(F.col("cell").cast(kind).alias("item"), F.coalesce("embedding", F.array(*map(F.lit, origin))).alias("embedding"))
-    return out
+    placed = x.rows.select("cell", F.pandas_udf(project, "array<double>")("at", "v").alias("embedding"))
+    return cells.join(placed, "cell", "left").select(F.col("cell").cast(kind).alias("item"), F.coalesce("embedding", F.array(*map(F.lit, origin))).alias("embedding"))
