@@ -92,7 +92,7 @@ def rejection_reasons(judged: DataFrame, lights: DataFrame, confusable: DataFram
     """``judged`` (see :func:`confidence`) with ``rejection`` and ``detail`` for cells whose verdict isn't PASS, else
     empty and null.
 
-    The first reason that holds, in the order of REASONS; columns that aren't there (area_flag, vsi, coherence,
+    The first reason that holds, in the order of REASONS, else what the verdict's own reason says; columns that aren't there (area_flag, vsi, coherence,
     agreement) give no reason. ``lights(label, light)`` and ``confusable(a, b)`` are over the labels.
     """
     have = judged.columns
@@ -116,13 +116,14 @@ def rejection_reasons(judged: DataFrame, lights: DataFrame, confusable: DataFram
         "method_disagreement": has("agreement", (F.col("agreement") < AGREEMENT_FLOOR) & (F.col("n_methods") >= TRUSTED_METHODS) if {"agreement", "n_methods"} <= set(have) else None, False),
         "spatially_incoherent": has("coherence", F.col("coherence") < COHERENCE_FLOOR if "coherence" in have else None, False),
     }
-    code = F.coalesce(*(F.when(test, name) for name, test in tests.items()), F.lit("low_margin"))
+    coarse = F.when(F.col("reason") == "unresolvable_panel", "panel_cannot_resolve").when(F.col("reason") == "ambiguous_mixed", "mixed_lineages")
+    code = F.coalesce(*(F.when(test, name) for name, test in tests.items()), coarse, F.lit("low_margin"))
     t = t.withColumn("rejection", F.when(F.col("verdict") == "PASS", "").otherwise(code))
     say = lambda form, *c: F.format_string(form, *c)
     detail = (
         F.when(F.col("rejection") == "too_few_counts", say(f"%.0f counts, at least {max(floor, COUNT_FLOOR):g} are needed", F.coalesce(F.col("total"), F.lit(0)).cast("double")))
         .when(F.col("rejection") == "too_few_genes", say(f"%d genes, at least {GENE_FLOOR} are needed", F.coalesce(F.col("n_genes"), F.lit(0)).cast("long")))
-        .when(F.col("rejection") == "high_background", say(f"%.1f %% of counts on controls, over {CONTROL_MAX:g} %%", F.coalesce(F.col("pct_control"), F.lit(0.0)).cast("double")))
+        .when(F.col("rejection") == "high_background", say(f"%.1f %% of counts on controls, over {CONTROL_MAX:g} %%", (F.coalesce(F.col("pct_control"), F.lit(0.0)) if "pct_control" in have else F.lit(0.0)).cast("double")))
         .when(F.col("rejection") == "panel_cannot_separate", say("%s and %s have no marker of their own", F.col("label"), F.col("__partner")))
         .when(F.col("rejection") == "panel_cannot_resolve", say("the panel's coverage of %s is %s", F.col("label"), F.col("__light")))
     )
@@ -176,12 +177,13 @@ def identifiability(cells: DataFrame, scores: DataFrame, programs: DataFrame) ->
     return one_against_rest(own.select("type", "score", F.coalesce(F.col("label") == F.col("type"), F.lit(False)).alias("positive")))
 
 
-def self_verify(cells: DataFrame, scores: DataFrame, programs: DataFrame, lights: DataFrame, confusable: DataFrame | None = None, least: int = 20) -> DataFrame:
+def self_verify(cells: DataFrame, scores: DataFrame, programs: DataFrame, lights: DataFrame, confusable: DataFrame | None = None, least: int = 20, placed: DataFrame | None = None) -> DataFrame:
     """``(label, n, agreement, own_is_top, auc, confused_with, confused_share, status, cause, merge_target)`` a type.
 
     A type without a program is unscoreable, one of fewer than ``least`` cells is skipped. It fails where under half of
     its cells score highest on its own program and that program isn't the highest on average or separates at under 0.6.
-    Causes in order: a confusable partner (panel_gap), one other program that takes half of the misses (mislabel), weak
+    Causes in order: a confusable partner (panel_gap; with ``placed``, of :func:`grouping.compartments`, one of no other
+    compartment, and low_signal where all are of others), one other program that takes half of the misses (mislabel), weak
     coverage or separation near chance (low_signal), else heterogeneous.
     """
     top = best_two(scores).select("cell", "best")
@@ -192,13 +194,19 @@ def self_verify(cells: DataFrame, scores: DataFrame, programs: DataFrame, lights
     means = scores.select("cell", "marker_set", "score").join(cells.select("cell", "label"), "cell").groupBy("label", "marker_set").agg(F.round(F.avg("score"), 9).alias("mean"))
     ahead = means.groupBy("label").agg(F.max_by("marker_set", F.struct("mean", F.hash("marker_set"))).alias("mean_top"))
     names = programs.groupBy(F.col("marker_set").alias("confused_set")).agg(F.min("label").alias("confused_with"))
-    pairs = confusable.select("a", "b").union(confusable.select("b", "a")).groupBy(F.col("a").alias("label")).agg(F.min("b").alias("merge_target")) if confusable is not None else None
+    pairs = None
+    if confusable is not None:
+        from tissueflow.operators.grouping import mergeable
+
+        known = confusable.select("a", "b") if placed is None else mergeable(confusable.select("a", "b"), placed)
+        known = known.withColumn("ok", F.lit(True) if placed is None else F.coalesce("mergeable", F.lit(True))).select("a", "b", "ok")
+        pairs = known.union(known.select("b", "a", "ok")).groupBy(F.col("a").alias("label")).agg(F.min(F.when(F.col("ok"), F.col("b"))).alias("merge_target"), F.lit(True).alias("__paired"))
     out = size.join(worst, "label", "left").join(ahead, "label", "left").join(F.broadcast(names), "confused_set", "left").join(identifiability(cells, scores, programs).select(F.col("type").alias("label"), "auc"), "label", "left").join(F.broadcast(lights.select("label", "light")), "label", "left")
-    out = out.join(F.broadcast(pairs), "label", "left") if pairs is not None else out.withColumn("merge_target", F.lit(None).cast("string"))
+    out = out.join(F.broadcast(pairs), "label", "left") if pairs is not None else out.withColumn("merge_target", F.lit(None).cast("string")).withColumn("__paired", F.lit(None).cast("boolean"))
     own_top = F.coalesce(F.col("mean_top") == F.col("own"), F.lit(False))
     failed = (F.col("agreement") < 0.5) & (~own_top | (F.coalesce("auc", F.lit(0.0)) < 0.6))
     status = F.when(F.col("own").isNull(), "unscoreable").when(F.col("n") < least, "skipped_small").when(failed, "fail").otherwise("ok")
-    cause = F.when(F.col("merge_target").isNotNull(), "panel_gap").when(~own_top & (F.col("confused_share") >= 0.5), "mislabel").when(F.coalesce("light", F.lit("green")).isin("red", "amber") | (F.coalesce("auc", F.lit(0.0)) <= 0.55), "low_signal").otherwise("heterogeneous")
+    cause = F.when(F.col("merge_target").isNotNull(), "panel_gap").when(F.coalesce("__paired", F.lit(False)), "low_signal").when(~own_top & (F.col("confused_share") >= 0.5), "mislabel").when(F.coalesce("light", F.lit("green")).isin("red", "amber") | (F.coalesce("auc", F.lit(0.0)) <= 0.55), "low_signal").otherwise("heterogeneous")
     return out.select("label", "n", "agreement", own_top.alias("own_is_top"), "auc", "confused_with", "confused_share", status.alias("status"), F.when(status == "fail", cause).alias("cause"), "merge_target")
 
 

@@ -13,14 +13,21 @@ from tissueflow.sources.section import Section
 PROGRAMS = STATEMENTS["label_by_markers"]
 
 
+def _kept(section: Section) -> Section:
+    """The section with its frames kept that the operators below read again and again."""
+    section.keep("counts", "cells", "genes", "votes")
+    return section
+
+
 def judged(section: Section) -> DataFrame:
-    v = trust.vote(section.sql(BALLOT))
-    cells = section.sql(METRICS).join(v.select("cell", "agreement", "n_methods"), "cell", "left")
-    return trust.confidence(cells, section.sql(SCORES), section.sql(STATEMENTS["panel_coverage"]), section["genes"].filter("NOT control").count())
+    _kept(section)
+    v = trust.vote(section.once(BALLOT))
+    cells = section.once(METRICS).join(v.select("cell", "agreement", "n_methods"), "cell", "left")
+    return trust.confidence(cells, section.once(SCORES), section.once(STATEMENTS["panel_coverage"]), section["genes"].filter("NOT control").count())
 
 
 def reasoned(section: Section) -> DataFrame:
-    lights = section.sql(PROGRAMS).join(section.sql(STATEMENTS["panel_coverage"]).select("marker_set", "light"), "marker_set").select("label", "light")
+    lights = section.once(PROGRAMS).join(section.once(STATEMENTS["panel_coverage"]).select("marker_set", "light"), "marker_set").select("label", "light")
     return trust.rejection_reasons(judged(section), lights)
 
 
@@ -33,33 +40,33 @@ def confidence(section: Section) -> DataFrame:
 
 
 def _verified(section: Section) -> DataFrame:
-    lights = section.sql(PROGRAMS).join(section.sql(STATEMENTS["panel_coverage"]).select("marker_set", "light"), "marker_set").select("label", "light")
-    return trust.self_verify(section["cells"], section.sql(SCORES), section.sql(PROGRAMS).select("label", "marker_set"), lights, section.sql(STATEMENTS["confusable_pairs"]).filter("confusable"))
+    lights = section.once(PROGRAMS).join(section.once(STATEMENTS["panel_coverage"]).select("marker_set", "light"), "marker_set").select("label", "light")
+    return trust.self_verify(section["cells"], section.once(SCORES), section.once(PROGRAMS).select("label", "marker_set"), lights, section.once(STATEMENTS["confusable_pairs"]).filter("confusable"))
 
 
 def _typable(section: Section) -> DataFrame:
-    coverage = section.sql(PROGRAMS).join(section.sql(STATEMENTS["panel_coverage"]), "marker_set").select("label", "n_markers", "n_present")
-    auc = trust.identifiability(section["cells"], section.sql(SCORES), section.sql(PROGRAMS).select("label", "marker_set"))
+    coverage = section.once(PROGRAMS).join(section.once(STATEMENTS["panel_coverage"]), "marker_set").select("label", "n_markers", "n_present")
+    auc = trust.identifiability(section["cells"], section.once(SCORES), section.once(PROGRAMS).select("label", "marker_set"))
     return trust.typability(coverage, auc, sizes=section["cells"].groupBy("label").agg(F.count(F.lit(1)).alias("n")))
 
 
 def ledger(section: Section) -> DataFrame:
-    agreed = trust.vote(section.sql(BALLOT)).join(section["cells"].select("cell", F.col("label").alias("type")), "cell").groupBy(F.col("type").alias("label")).agg(F.avg("agreement").alias("agreed"))
+    agreed = trust.vote(section.once(BALLOT)).join(section["cells"].select("cell", F.col("label").alias("type")), "cell").groupBy(F.col("type").alias("label")).agg(F.avg("agreement").alias("agreed"))
     return trust.trust_ledger(_verified(section), _typable(section), agreed).select("label", "n", "resolvable", "coherent", "agreed", "cause", F.array_join("flags", ",").alias("flags"))
 
 
 def spillover_removed(section: Section) -> DataFrame:
-    markers = section["genes"].filter("NOT control").join(F.broadcast(section.sql(PROGRAMS)), "marker_set").select(F.col("label").alias("marker_set"), "gene")
+    markers = section["genes"].filter("NOT control").join(F.broadcast(section.once(PROGRAMS)), "marker_set").select(F.col("label").alias("marker_set"), "gene")
     edges = spatial.neighbours(section["cells"]).select(F.col("src").alias("cell"), F.col("dst").alias("neighbour"))
     return spillover.spillover_removed(section["counts"], section["cells"].select("cell", F.col("label").alias("lineage")), markers, edges)
 
 
 def method_reliability(section: Section) -> DataFrame:
-    return _rounded(trust.reliability(section.sql(BALLOT).filter("method <> 'status'"), section["truth"]), reliability=6)
+    return _rounded(trust.reliability(section.once(BALLOT).filter("method <> 'status'"), section["truth"]), reliability=6)
 
 
 def weighted_vote(section: Section) -> DataFrame:
-    ballot = section.sql(BALLOT)
+    ballot = section.once(BALLOT)
     weights = trust.reliability(ballot, section["truth"]).select("method", log_odds(F.col("reliability")).alias("weight"))
     return _rounded(trust.vote(ballot, weights), weight=6, agreement=6)
 
@@ -72,11 +79,11 @@ QUERIES = {
     "self_verify": lambda s: _rounded(_verified(s).select("label", "n", "agreement", "own_is_top", "auc", "status"), agreement=6, auc=6),
     "typability": lambda s: _typable(s),
     "trust_ledger": ledger,
-    "identifiability": lambda s: _rounded(trust.identifiability(s["cells"], s.sql(SCORES), s.sql(PROGRAMS).select("label", "marker_set")), auc=6, cohen_d=5),
+    "identifiability": lambda s: _rounded(trust.identifiability(s["cells"], s.once(SCORES), s.once(PROGRAMS).select("label", "marker_set")), auc=6, cohen_d=5),
     "remediation_plan": lambda s: trust.remediation_plan(_verified(s)),
-    "dominant_states": lambda s: _rounded(trust.dominant_state(s.sql(SCORES)), z=5),
-    "malignant_scores": lambda s: _rounded(trust.malignant_scores(s.sql(SCORES).join(s["genes"].agg(F.min("marker_set").alias("marker_set")), "marker_set").select("cell", "score")), malignant_score=5),
-    "state_by_type": lambda s: _rounded(trust.state_by_type(s["cells"], s.sql(SCORES)), mean=6),
+    "dominant_states": lambda s: _rounded(trust.dominant_state(s.once(SCORES)), z=5),
+    "malignant_scores": lambda s: _rounded(trust.malignant_scores(s.once(SCORES).join(s["genes"].agg(F.min("marker_set").alias("marker_set")), "marker_set").select("cell", "score")), malignant_score=5),
+    "state_by_type": lambda s: _rounded(trust.state_by_type(s["cells"], s.once(SCORES)), mean=6),
     "method_reliability": method_reliability,
     "weighted_vote": weighted_vote,
     "abstention_curve": lambda s: _rounded(calibrate.abstention_gate(s["judged"]), share=6, accuracy=6, gain=6),
@@ -88,7 +95,7 @@ QUERIES = {
     "marker_overview": lambda s: grouping.marker_overview(s["counts"].join(s["cells"].select("cell", "label"), "cell").groupBy("label", "gene").agg(F.sum("value").alias("total")), s["cells"].groupBy("label").agg(F.count(F.lit(1)).alias("n"))),
     "cluster_splits": lambda s: _rounded(grouping.split_test(s["vectors"]), bimodality=4),
     "spillover_removed": spillover_removed,
-    "section_summaries": lambda s: s.sql(METRICS).join(s["cells"].select("cell", F.col("batch").alias("section")), "cell").groupBy("section").agg(F.count(F.lit(1)).alias("n_cells"), F.percentile("n_genes", F.lit(0.5)).alias("median_genes"), F.percentile("total", F.lit(0.5)).alias("median_total")),
+    "section_summaries": lambda s: s.once(METRICS).join(s["cells"].select("cell", F.col("batch").alias("section")), "cell").groupBy("section").agg(F.count(F.lit(1)).alias("n_cells"), F.percentile("n_genes", F.lit(0.5)).alias("median_genes"), F.percentile("total", F.lit(0.5)).alias("median_total")),
     "adjacent_clusters": lambda s: _rounded(embedding.adjacent_clusters(s["vectors"]), d=6),
     "cluster_separation": lambda s: embedding.separation(s["vectors"], embedding.adjacent_clusters(s["vectors"])),
     "principal_axes": lambda s: embedding.principal_axes(s["vectors"], 8),
@@ -117,7 +124,7 @@ SQL = {
     "verdict_summary": f"""WITH {_JUDGED} SELECT count(*) AS n, round(avg(CASE WHEN verdict = 'PASS' THEN 1.0 ELSE 0.0 END), 6) AS share_pass, round(avg(CASE WHEN verdict = 'WARN' THEN 1.0 ELSE 0.0 END), 6) AS share_warn, round(avg(CASE WHEN verdict = 'FAIL' THEN 1.0 ELSE 0.0 END), 6) AS share_fail,
       round(avg(confidence), 6) AS mean_confidence, 0.0::DOUBLE AS share_conflict, CASE WHEN avg(CASE WHEN verdict = 'FAIL' THEN 1.0 ELSE 0.0 END) > 0.5 THEN 'fail' WHEN avg(CASE WHEN verdict = 'FAIL' THEN 1.0 ELSE 0.0 END) > 0.25 THEN 'warn' ELSE 'ok' END AS usability FROM f""",
     "rejection_breakdown": f"""WITH {_JUDGED}, b AS ({PROGRAMS}), x AS (SELECT CASE WHEN f.total < 10 THEN 'too_few_counts' WHEN f.n_genes < 5 THEN 'too_few_genes' WHEN f.impure THEN 'mixed_lineages' WHEN f.pct_control > 5 THEN 'high_background' WHEN l2.light IN ('red', 'amber') THEN 'panel_cannot_resolve'
-      WHEN f.agreement < 0.5 AND f.voters >= 3 THEN 'method_disagreement' ELSE 'low_margin' END AS rejection FROM f LEFT JOIN b ON b.label = f.label LEFT JOIN l l2 ON l2.marker_set = b.marker_set WHERE f.verdict <> 'PASS')
+      WHEN f.agreement < 0.5 AND f.voters >= 3 THEN 'method_disagreement' WHEN f.reason = 'unresolvable_panel' THEN 'panel_cannot_resolve' WHEN f.reason = 'ambiguous_mixed' THEN 'mixed_lineages' ELSE 'low_margin' END AS rejection FROM f LEFT JOIN b ON b.label = f.label LEFT JOIN l l2 ON l2.marker_set = b.marker_set WHERE f.verdict <> 'PASS')
       SELECT rejection, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM x GROUP BY rejection""",
     "confidence_by_type": f"WITH {_JUDGED} SELECT label, count(*) AS n, round(quantile_cont(confidence, 0.25), 6) AS q25, round(quantile_cont(confidence, 0.5), 6) AS q50, round(quantile_cont(confidence, 0.75), 6) AS q75 FROM f GROUP BY label HAVING count(*) >= 10 ORDER BY n DESC, label LIMIT 12",
     "identifiability": f"""WITH {_OWN}, g AS (SELECT type, avg(score) FILTER (pos) AS m1, avg(score) FILTER (NOT pos) AS m0, var_samp(score) FILTER (pos) AS v1, var_samp(score) FILTER (NOT pos) AS v0 FROM o GROUP BY type)

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tissueflow.durable import saved
+
 #: How the driver tables take the parts of a section: a customer is a cell, a part is a gene, quantities are counts.
 #: Zeros are implicit. Each text is SQL over the raw tables.
 DRIVER_TABLES = {
@@ -27,10 +29,26 @@ class Section:
 
     spark: SparkSession
     frames: dict[str, DataFrame] = field(default_factory=dict)
+    kept: dict[str, DataFrame] = field(default_factory=dict)
 
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{k: v for k, v in self.frames.items() if f"{{{k}}}" in text})
 
+    def once(self, text: str) -> DataFrame:
+        """As :meth:`sql`, but made once and kept as a table in the shared folder, from frames kept likewise: what several operators
+        ask for isn't made again by each."""
+        if text not in self.kept:
+            for name in {k for k in self.frames if f"{{{k}}}" in text}:
+                self.keep(name)
+            self.kept[text] = saved(self.sql(text))
+        return self.kept[text]
+
+    def keep(self, *names: str) -> None:
+        """Make these frames once; later statements and operators read the table."""
+        for name in names:
+            if name not in self.kept:
+                self.kept[name] = self.frames[name] = saved(self.frames[name])
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
 
