@@ -166,11 +166,14 @@ def test_parity_bounds():
             a, b = np.unique(np.concatenate([both, rest[:cut]])), np.unique(np.concatenate([both, rest[cut : n - len(both)]]))
             if len(np.intersect1d(a, b)) * 5 < 4 * len(np.union1d(a, b)) or (a.tolist() == b.tolist()):
                 continue
-            keys = [{(i & 63, k) for i, ks in parity_join.postings(s) for k in ks.tolist()} for s in (a, b)]
             band = parity_join.band_of(max(len(a), len(b)))
-            met = {k for k in keys[0] & keys[1] if k[0] == band}
-            full = max(i >> 6 for s in (a, b) for i, _ in parity_join.postings(s) if i & 63 == band)
-            assert len(met) >= max(1, full - parity_join.budget(len(a), len(b)))
-            x, y = parity_join.bit_sketch(a), parity_join.bit_sketch(b)
-            words = min(len(x), len(y))
-            assert np.bitwise_count(parity_join.folded(x, words) ^ parity_join.folded(y, words)).sum() <= parity_join.budget(len(a), len(b))
+            dealt = [{i >> 6: (d, set(ks.tolist())) for i, d, ks in parity_join.postings(s) if i & 63 == band} for s in (a, b)]
+            differ = parity_join.budget(len(a), len(b))
+            common = [deal for deal in dealt[0].keys() & dealt[1].keys() if max(len(x[deal][1]) for x in dealt) > differ]
+            assert common and all(x[deal][0] >= differ for x in dealt for deal in common)
+            assert all(len(dealt[0][deal][1] & dealt[1][deal][1]) >= max(len(x[deal][1]) for x in dealt) - differ for deal in common)
+            x, y = (parity_join.bit_sketch(s).view(np.uint32) for s in (a, b))
+            sparse = max(len(a), len(b)) <= parity_join.SPARSE
+            if not sparse:
+                x, y = (v if len(s) > parity_join.SPARSE else parity_join._folded(v) for v, s in ((x, a), (y, b)))
+            assert parity_join.distances([x], [y], sparse)[0, 0] <= len(np.setxor1d(a, b)) <= differ

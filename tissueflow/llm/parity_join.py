@@ -1,9 +1,9 @@
 """Similarity join of shingle sets by parity sketches.
 
 A set's tokens are dealt by hash to the segments of its size band, and each segment keeps the parity of its tokens: their
-hashes XORed. A token of the symmetric difference of two sets changes one segment at most, so sets that differ in no more
-than ``d`` tokens have all but ``d`` segments equal: they meet in one of them, and in as many as are left. Pairs that
-meet so often are compared by bit sketches (the parity of the tokens of each bit), whose Hamming distance can't pass the
+hashes XORed. A token of the symmetric difference of two sets changes one segment at most, so of two sets that differ in no
+more than ``d`` tokens, any ``d + 1`` segments of one hold one that is equal in the other; each set keeps its rarest.
+Pairs that meet are compared by bit sketches (the parity of the tokens of each bit), whose Hamming distance can't pass the
 symmetric difference, and those that pass by their whole sets.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import MIX1, forget, mixed, saved, table, text_bytes
@@ -31,8 +31,8 @@ DEALS = 8
 CELL = 64
 #: Segments of a set, the least by hash, in which it first meets others.
 FIRST = 8
-#: 64-bit words of a bit sketch at most; a longer one is folded, and tells less about sets of several thousand tokens.
-SKETCH = 32
+#: Sets of up to so many tokens have a bit sketch of 2**32 bits, as the places of its ones; larger ones fold it to BITS bits.
+SPARSE, BITS = 512, 2048
 #: Whole sets of up to so many bytes in all are broadcast to the pairs that they are checked for.
 SMALL = 24 << 20
 
@@ -57,17 +57,19 @@ def most(n: int, band: int) -> int:
     return budget(n, min(n * WHOLE // PART, (2 << band) - 1))
 
 
-def postings(s: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """``(info, keys)`` for each way in which a set (sorted distinct hashes) is dealt: its full segments by their parities.
+def postings(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """``(info, most, keys)`` for each way in which a set (sorted distinct hashes) is dealt: its full segments by their parities, and
+    in how many tokens it may differ from a similar set in pairs that meet there.
 
-    A pair meets in the band of its larger set, so a set near its band's end is dealt in the next one too. ``info`` holds
-    64 times the number of full segments of the first deal, plus the band. If either of two similar sets has more full
-    segments than their budget, one of these is equal in both; else both go on to the next deal. After the last, sets meet
-    in a key of the band alone, which doesn't happen in practice. Sets that may not differ at all have no keys.
+    A pair meets in the band of its larger set, so a set near its band's end is dealt in the next one too; ``info`` is 64
+    times the deal, plus the band. If either of two similar sets has more full segments than they may differ in, one of
+    these is equal in both; else both go on to the next deal. After the last, sets meet in a key of the band alone, which
+    doesn't happen in practice. Sets that may not differ at all have no keys.
     """
     n, out = len(s), []
     for band in (band_of(n), band_of(n) + 1):
-        if n * WHOLE // PART < 1 << band or not most(n, band):
+        differ = most(n, band)
+        if n * WHOLE // PART < 1 << band or not differ:
             continue
         k = np.uint64(segments(band))
         for deal in range(DEALS):
@@ -76,28 +78,38 @@ def postings(s: np.ndarray) -> list[tuple[int, np.ndarray]]:
             order = np.argsort(segment, kind="stable")
             full, first = np.unique(segment[order], return_index=True)
             parity = np.bitwise_xor.reduceat(mixed(token)[order], first)
-            if not deal:
-                info = len(full) << 6 | band
-            out.append((info, mixed(parity ^ mixed(full + np.uint64(1 + (band << 40) + (deal << 48)))).view(np.int64)))
-            if len(full) > most(n, band):
+            out.append((deal << 6 | band, differ, mixed(parity ^ mixed(full + np.uint64(1 + (band << 40) + (deal << 48)))).view(np.int64)))
+            if len(full) > differ:
                 break
         else:
-            out.append((info, np.array([band], np.int64)))
+            out.append((DEALS << 6 | band, differ, np.array([band], np.int64)))
     return out
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the tokens of each bit, 4 to 8 bits a token, as up to SKETCH 64-bit words; a power of two, so that a long
-    sketch folds to a shorter one."""
-    bits = max(64, 8 << band_of(len(s)))
-    ones = np.bincount((mixed(s ^ MIX1) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return folded(np.packbits(ones.astype(np.uint8), bitorder="little").view("<u8"), SKETCH)
+    """Parity of the tokens of each of 2**32 bits: the places of the odd ones, or, of over SPARSE tokens, 32-bit words of the
+    sketch folded to BITS bits."""
+    place, n = np.unique((mixed(s ^ MIX1) & np.uint64((1 << 32) - 1)).astype(np.uint32), return_counts=True)
+    place = place[n % 2 == 1]
+    return (place if len(s) <= SPARSE else _folded(place)).view(np.int32)
 
 
-def folded(sketch: np.ndarray, words: int) -> np.ndarray:
-    while len(sketch) > words:
-        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
-    return sketch
+def _folded(place: np.ndarray) -> np.ndarray:
+    ones = np.bincount(place & np.uint32(BITS - 1), minlength=BITS) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view("<u4")
+
+
+def distances(x: list[np.ndarray], y: list[np.ndarray], sparse: bool) -> np.ndarray:
+    """Hamming distance of each sketch of ``x`` to each of ``y``, over 2**32 bits or, where any is of a larger set, BITS."""
+    if not sparse:
+        a, b = np.stack(x), np.stack(y)
+        return np.bitwise_count(a[:, None, :] ^ b).sum(axis=2, dtype=np.int64)
+    both = [*x, *y]
+    size = np.array([len(v) for v in both])
+    _, at = np.unique(np.concatenate(both), return_inverse=True)
+    ones = np.zeros((len(both), int(at.max(initial=-1)) + 1), np.float32)
+    ones[np.repeat(np.arange(len(both)), size), at] = 1
+    return size[: len(x), None] + size[len(x) :] - 2 * np.rint(ones[: len(x)] @ ones[len(x) :].T).astype(np.int64)
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -114,49 +126,50 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 part, out = b.slice(lo, 256), []
                 for x in part.column(1).to_pylist():
                     s = np.unique(shingle_hashes(x, WORDS))
-                    deals = [{"info": i, "keys": k} for i, k in postings(s)] if len(s) else []
-                    out.append((*_digest(s), len(s), deals, bit_sketch(s).view(np.int64) if deals else np.zeros(0, np.int64)))
+                    deals = [{"info": i, "most": d, "keys": k} for i, d, k in postings(s)] if len(s) else []
+                    out.append((*_digest(s), len(s), deals, bit_sketch(s) if deals else np.zeros(0, np.int32)))
                 d1, d2, size, deals, sketch = zip(*out, strict=True) if out else ((),) * 5
-                kind = pa.list_(pa.struct([("info", pa.int32()), ("keys", pa.list_(pa.int64()))]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(size, pa.int32()), pa.array(deals, kind), pa.array(sketch, pa.list_(pa.int64()))], names=["id", "d1", "d2", "size", "deals", "sketch"])
+                kind = pa.list_(pa.struct([("info", pa.int32()), ("most", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(size, pa.int32()), pa.array(deals, kind), pa.array(sketch, pa.list_(pa.int32()))], names=["id", "d1", "d2", "size", "deals", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, f"id {kind}, d1 long, d2 long, size int, deals array<struct<info:int,keys:array<long>>>, sketch array<long>")
+    return docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, f"id {kind}, d1 long, d2 long, size int, deals array<struct<info:int,most:int,keys:array<long>>>, sketch array<int>")
+
+
+def _possible(n, t, info):
+    """Whether the sizes allow the similarity, and the pair belongs into the band that it meets in."""
+    return (WHOLE * F.least(n, t) >= PART * F.greatest(n, t)) & (F.pow(F.lit(2.0), F.col(info).bitwiseAND(63)) <= F.greatest(n, t))
 
 
 def _hub_pairs(met: DataFrame, known: DataFrame) -> DataFrame:
-    """At most one pair for each set: with the hub, a segment's first set, that it has most segments in common with. Pairs
-    whose sizes or common segments rule the similarity out are left away."""
+    """At most one pair for each set: with the hub, a segment's first set, that it has most segments in common with."""
     n = met.filter("sid <> hub").groupBy("sid", "size", "info", "hub").agg(F.count(F.lit(1)).alias("n"))
-    t = n.join(known.select(F.col("sid").alias("hub"), F.col("size").alias("hub_size")), "hub")
-    least, most_ = F.least("size", "hub_size"), F.greatest("size", "hub_size")
-    differ = F.floor((F.col("size") + F.col("hub_size")) * (WHOLE - PART) / (WHOLE + PART))
-    own_band = F.pow(F.lit(2.0), F.col("info").bitwiseAND(63)) <= most_
-    likely = t.filter((WHOLE * least >= PART * most_) & own_band & (F.col("n") >= F.greatest(F.floor(F.col("info") / 64) - differ, F.lit(1))))
-    return saved(likely.groupBy("sid").agg(F.max(F.struct("n", "hub")).alias("m")).select(F.col("sid").alias("a"), F.col("m.hub").alias("b")))
+    t = n.join(known.select(F.col("sid").alias("hub"), F.col("size").alias("hub_size")), "hub").filter(_possible("size", "hub_size", "info"))
+    return t.groupBy("sid").agg(F.max(F.struct("n", "hub")).alias("m")).select(F.col("sid").alias("a"), F.col("m.hub").alias("b"))
 
 
 def _cell_pairs(outer: list[dict], inner: list[dict], spanning: bool) -> np.ndarray:
-    """``(a, b, needed)`` of the pairs of two lists of members that are of different components, may be similar by their
-    sizes, and whose bit sketches differ in no more bits than such sets can; if asked, the likeliest of two components only."""
+    """``(a, b)`` of the pairs of two lists of members that are of different components, may be similar by their sizes, and
+    whose bit sketches differ in no more bits than such sets can; if asked, the likeliest of two components only."""
     x, y = ({c: np.array([m[c] for m in side], np.int64) for c in ("sid", "size", "info", "root")} for side in (outer, inner))
-    words = min(len(m["sketch"]) for m in outer + inner)
-    xs, ys = (np.stack([folded(np.array(m["sketch"], np.int64).view(np.uint64), words) for m in side]) for side in (outer, inner))
     n, t = x["size"][:, None], y["size"][None, :]
     ok = (x["root"][:, None] != y["root"]) & (WHOLE * np.minimum(n, t) >= PART * np.maximum(n, t)) & ((1 << (x["info"][:, None] & 63)) <= np.maximum(n, t))
-    i, j = np.nonzero(ok)
-    apart, room = np.bitwise_count(xs[i] ^ ys[j]).sum(axis=1, dtype=np.int64), budget(x["size"][i], y["size"][j])
-    near = apart <= room
-    i, j, apart = i[near], j[near], (apart / np.maximum(room, 1))[near]
+    if not ok.any():
+        return np.zeros((0, 2), np.int64)
+    sparse = max(x["size"].max(), y["size"].max()) <= SPARSE
+    xs, ys = ([np.array(m["sketch"], np.int32).view(np.uint32) for m in side] for side in (outer, inner))
+    if not sparse:
+        xs, ys = ([v if m["size"] > SPARSE else _folded(v) for v, m in zip(vs, side, strict=True)] for vs, side in ((xs, outer), (ys, inner)))
+    apart = distances(xs, ys, sparse)
+    i, j = np.nonzero(ok & (apart <= budget(n, t)))
     if spanning and len(i):
-        p, q = x["root"][i], y["root"][j]
-        order = np.lexsort((apart, np.maximum(p, q), np.minimum(p, q)))
-        p, q = np.minimum(p, q)[order], np.maximum(p, q)[order]
+        p, q = np.minimum(x["root"][i], y["root"][j]), np.maximum(x["root"][i], y["root"][j])
+        order = np.lexsort((apart[i, j] / budget(x["size"][i], y["size"][j]), q, p))
+        p, q = p[order], q[order]
         order = order[np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])])]
         i, j = i[order], j[order]
-    needed = np.maximum(np.maximum(x["info"][i] >> 6, y["info"][j] >> 6) - budget(x["size"][i], y["size"][j]), 1)
     a, b = x["sid"][i], y["sid"][j]
-    return np.stack([np.minimum(a, b), np.maximum(a, b), needed], axis=1)
+    return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -171,7 +184,7 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def _cells(open_: DataFrame, sketches: DataFrame, spanning: bool) -> DataFrame:
-    """``(a, b, needed)``, a row for each segment that both are in: pairs of sets of different components that can be similar
+    """``(a, b)``, a row for each segment that both are in: pairs of sets of different components that can be similar
     by their sizes and bits. The members outside the largest component meet all, in cells of about CELL by CELL."""
     dealt = open_.join(sketches, "sid").select("key", F.struct("sid", "size", "info", "root", "sketch").alias("member"), (F.col("root") != F.col("main")).alias("out"), *(F.ceil(F.col(c) / CELL).cast("int").alias(k) for c, k in (("outer_n", "rows"), ("inner_n", "columns"))))
     turn = F.xxhash64("key", "member.sid")
@@ -183,28 +196,10 @@ def _cells(open_: DataFrame, sketches: DataFrame, spanning: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             found = [_cell_pairs(x, y, spanning) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            p = np.concatenate([np.zeros((0, 3), np.int64), *found])
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, c]) for c in range(3)], names=["a", "b", "needed"])
+            p = np.concatenate([np.zeros((0, 2), np.int64), *found])
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
-    return cells.filter(F.size("x") * F.size("y") > 0).select("x", "y").mapInArrow(run, "a long, b long, needed long")
-
-
-def _small(open_: DataFrame) -> DataFrame:
-    """As :func:`_cells` for segments of up to CELL sets, by their sizes alone: a row of three numbers for each two."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.zeros((0, 3), np.int64)]
-            for v in b.column(0).to_pylist():
-                sid, size, info, root = (np.array([m[c] for m in v], np.int64) for c in ("sid", "size", "info", "root"))
-                n, t = size[:, None], size[None, :]
-                i, j = np.nonzero((sid[:, None] < sid) & (root[:, None] != root) & (WHOLE * np.minimum(n, t) >= PART * np.maximum(n, t)) & ((1 << (info[:, None] & 63)) <= np.maximum(n, t)))
-                needed = np.maximum(np.maximum(info[i] >> 6, info[j] >> 6) - budget(size[i], size[j]), 1)
-                found.append(np.stack([sid[i], sid[j], needed], axis=1))
-            p = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, c]) for c in range(3)], names=["a", "b", "needed"])
-
-    return open_.groupBy("key").agg(F.collect_list(F.struct("sid", "size", "info", "root")).alias("v")).select("v").mapInArrow(run, "a long, b long, needed long")
+    return cells.filter(F.size("x") * F.size("y") > 0).select("x", "y").mapInArrow(run, "a long, b long")
 
 
 def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
@@ -215,22 +210,38 @@ def _likely_pairs(met: DataFrame, roots: DataFrame, sketches: DataFrame) -> Data
     """``(a, b)``: for each two components that meet in the first segments of their sets, a pair that is likely similar. Saved."""
     first = met.groupBy("sid", "size", "info").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST).alias("keys")).select("sid", "size", "info", F.explode("keys").alias("key"))
     open_ = _open(_rooted(first, roots))
-    out = saved(_cells(open_, sketches, True).select("a", "b").distinct())
+    out = saved(_cells(open_, sketches, True).distinct())
     forget(open_)
     return out
 
 
 def _all_pairs(met: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
-    """``(a, b)``: all pairs of sets of different components that share as many segments as similar ones must, and in crowded
-    segments can be similar by their bits. Saved."""
+    """``(a, b)``: all pairs of sets of different components that meet in a segment and can be similar by their bits. Saved."""
     open_ = _open(_rooted(met, roots))
-    large = F.col("inner_n") > CELL
-    pairs = _small(open_.filter(~large)).union(_cells(open_.filter(large), sketches, False))
-    out = saved(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed")).filter("n >= needed").select("a", "b"))
+    out = saved(_cells(open_, sketches, False).distinct())
     forget(open_)
     return out
 
 
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose bit sketches differ in no more bits than those of similar sets can. Saved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            a, c, n, t, x, y = (col.to_pylist() for col in b.columns)
+            keep = []
+            for i in range(b.num_rows):
+                sparse = max(n[i], t[i]) <= SPARSE
+                v = [np.array(s, np.int32).view(np.uint32) for s in (x[i], y[i])]
+                if not sparse:
+                    v = [s if k > SPARSE else _folded(s) for s, k in zip(v, (n[i], t[i]), strict=True)]
+                keep.append(distances(v[:1], v[1:], sparse)[0, 0] <= budget(n[i], t[i]))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = (sketches.select(F.col("sid").alias(i), F.col("size").alias(n), F.col("sketch").alias(s)) for i, n, s in (("a", "n", "x"), ("b", "t", "y")))
+    return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "t", "x", "y").mapInArrow(run, "a long, b long"))
+
+
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``(sid, root)`` after links between the components of ``roots``; sets of no link have no row."""
     side = lambda c: roots.select(F.col("sid").alias(c), F.col("root").alias(f"root_{c}"))
@@ -282,13 +293,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = saved(kinds.withColumn("sid", F.monotonically_increasing_id()))
     each = saved(whole.select("id", "d1", "d2", "size"))
     forget(whole)
-    posts = dealt.select("sid", "size", F.explode("deals").alias("deal")).select("sid", "size", "deal.info", F.explode("deal.keys").alias("key"))
-    shared = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("hub")).filter("n > 1").select("key", "hub"))
-    met = saved(posts.join(shared, "key"))
+    posts = dealt.select("sid", "size", F.explode("deals").alias("deal")).select("sid", "size", "deal.info", (F.size("deal.keys") - F.col("deal.most")).alias("spare"), F.explode("deal.keys").alias("key"))
+    shared = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    own = saved(posts.join(shared, "key"))
     known = saved(dealt.drop("deals"))
     forget(shared, dealt)
-    sketches, roots = known.select("sid", "sketch"), docs.sparkSession.createDataFrame([], "sid long, root long")
-    for pairs in (lambda: _hub_pairs(met, known), lambda: _likely_pairs(met, roots, sketches), lambda: _all_pairs(met, roots, sketches)):
+    # Of its full segments a set keeps most + 1, the rarest (those that no other set has come first): spare - 1 go.
+    by = Window.partitionBy("sid", "info")
+    rare = own.withColumn("after", F.count(F.lit(1)).over(by) - F.row_number().over(by.orderBy("n", "key"))).filter((F.col("after") >= F.col("spare") - 1) | (F.col("spare") < 1)).select("key", "sid", "size", "info")
+    rare = saved(rare)
+    forget(own)
+    again = saved(rare.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("hub")).filter("n > 1").select("key", "hub"))
+    met = saved(rare.join(again, "key"))
+    forget(rare, again)
+    sketches, roots = known.select("sid", "size", "sketch"), docs.sparkSession.createDataFrame([], "sid long, root long")
+    for pairs in (lambda: _likely(_hub_pairs(met, known), sketches), lambda: _likely_pairs(met, roots, sketches.drop("size")), lambda: _all_pairs(met, roots, sketches.drop("size"))):
         links = _checked(pairs(), docs, known, id_col, text_col)
         if not links.isEmpty():
             roots = _joined(roots, links)
