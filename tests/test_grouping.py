@@ -136,4 +136,4 @@ def test_panel_warnings(spark):
     cells = spark.createDataFrame([("T",), ("T",), ("B",), ("M",)], "label string")
     out = spillover.panel_warnings(coverage, pairs, cells, spark.createDataFrame([("M",)], "label string")).collect()
     assert [(r["kind"], r["label"], r["other"], r["n_present"], r["n_cells"]) for r in out] == [("confusable", "B", "T", None, 3), ("coverage", "B", None, 2, 1), ("coverage", "N", None, 0, 0)]
-    assert out[1]["message"] == "B is weakly resolved on this panel (only 2 of 5 canonical markers present)."
+    assert out[1]["message"] == "B: the panel has 2 of its 5 markers, which makes the type uncertain"

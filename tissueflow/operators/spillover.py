@@ -42,12 +42,12 @@ def panel_warnings(coverage: DataFrame, pairs: DataFrame, cells: DataFrame, typa
     n = cells.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     weak = coverage.filter(F.col("light").isin("red", "amber"))
     weak = weak if typable is None else weak.join(typable.select("label").distinct(), "label", "left_anti")
-    how = F.when(F.col("light") == "red", "cannot be resolved").otherwise("is weakly resolved")
-    text = F.format_string("%s %s on this panel (only %d of %d canonical markers present).", F.col("label"), how, F.col("n_present").cast("long"), F.col("n_markers").cast("long"))
+    how = F.when(F.col("light") == "red", "too few to name the type").otherwise("which makes the type uncertain")
+    text = F.format_string("%s: the panel has %d of its %d markers, %s", F.col("label"), F.col("n_present").cast("long"), F.col("n_markers").cast("long"), how)
     none = F.lit(None).cast("long")
     one = weak.join(n, "label", "left").select(F.lit("coverage").alias("kind"), "label", F.lit(None).cast("string").alias("other"), F.col("n_present").cast("long").alias("n_present"), F.col("n_markers").cast("long").alias("n_markers"), F.coalesce("n", F.lit(0)).cast("long").alias("n_cells"), text.alias("message"))
     p = pairs.select(F.least("a", "b").alias("label"), F.greatest("a", "b").alias("other")).filter("label <> other").distinct()
     both = p.join(n, "label", "left").join(n.toDF("other", "m"), "other", "left")
-    said = F.format_string("Panel cannot separate %s vs %s - they share their on-panel markers; reported as the coarser group.", F.col("label"), F.col("other"))
+    said = F.format_string("%s and %s: no gene of the panel marks one of them alone, so take them as one type", F.col("label"), F.col("other"))
     two = both.select(F.lit("confusable"), "label", "other", none, none, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).cast("long"), said)
     return one.union(two).orderBy(F.desc("n_cells"), "kind", "label", "other")

@@ -71,7 +71,29 @@ def weighted_vote(section: Section) -> DataFrame:
     return _rounded(trust.vote(ballot, weights), weight=6, agreement=6)
 
 
+def qc_funnel(section: Section) -> DataFrame:
+    """``(layer, name, metric, value)``: what each layer of quality control says of a section, from tables that are made once."""
+    _kept(section)
+    outliers, pmp = (section.once(STATEMENTS[k]) for k in ("segmentation_outliers", "positive_marker_purity"))
+    near = spatial.coherence(section)
+    layers = [
+        (0, "section", section.once(STATEMENTS["section_qc_summary"])),
+        (1, "segmentation", outliers.agg(F.avg(F.col("area_outlier").cast("double")).alias("share_outlier"))),
+        (2, "count_floor", section.once(STATEMENTS["count_floor"])),
+        (3, "purity", pmp.agg(F.percentile("pmp", F.lit(0.5)).alias("median_pmp"), F.count("pmp").alias("n_judged"))),
+        (5, "confidence", trust.verdict_summary(judged(section)).select("share_pass", "share_warn", "share_fail", "mean_confidence")),
+        (6, "spatial", near.agg(F.avg("coherence").alias("mean_coherence"), F.avg(F.col("apart").cast("double")).alias("share_apart"))),
+    ]
+    out = None
+    for at, name, df in layers:
+        one = df.select(*(F.round(F.col(c).cast("double"), 6).alias(c) for c in df.columns)).unpivot([], df.columns, "metric", "value")
+        one = one.select(F.lit(at).alias("layer"), F.lit(name).alias("name"), "metric", "value")
+        out = one if out is None else out.union(one)
+    return out
+
+
 QUERIES = {
+    "qc_funnel": qc_funnel,
     "confidence": confidence,
     "verdict_summary": lambda s: _rounded(trust.verdict_summary(judged(s)), share_pass=6, share_warn=6, share_fail=6, mean_confidence=6, share_conflict=6),
     "rejection_breakdown": lambda s: _rounded(trust.rejection_breakdown(reasoned(s)).drop("description"), share=6),
@@ -118,8 +140,27 @@ _OWN = f"""b AS ({PROGRAMS}), s AS ({SCORES}), o AS (SELECT b.label AS type, s.c
   u AS (SELECT type, count(*) FILTER (pos) AS n_pos, count(*) FILTER (NOT pos) AS n_neg, sum(r) FILTER (pos) AS rs FROM w GROUP BY type),
   i AS (SELECT type, n_pos, n_neg, (rs - n_pos * (n_pos + 1) / 2.0) / nullif(n_pos * n_neg, 0) AS auc FROM u)"""
 _PAIRED = "j AS (SELECT v.label, t.label AS truth FROM {votes} v JOIN {truth} t ON t.cell = v.cell WHERE v.label IS NOT NULL)"
+
+
+def _unpivot(at: int, name: str, text: str, metrics: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT {at} AS layer, '{name}' AS name, '{k}' AS metric, round(({v})::DOUBLE, 6) AS value FROM ({text}) q" for k, v in metrics.items())
+
+
+def _same(*columns: str) -> dict[str, str]:
+    return {c: c for c in columns}
+
+
+_FUNNEL = " UNION ALL ".join([
+    _unpivot(0, "section", STATEMENTS["section_qc_summary"], _same("n_cells", "median_total", "median_genes", "median_control", "share_empty")),
+    _unpivot(1, "segmentation", STATEMENTS["segmentation_outliers"], {"share_outlier": "avg(area_outlier::INT)"}),
+    _unpivot(2, "count_floor", STATEMENTS["count_floor"], _same("n_panel", "floor", "n_removed")),
+    _unpivot(3, "purity", STATEMENTS["positive_marker_purity"], {"median_pmp": "quantile_cont(pmp, 0.5)", "n_judged": "count(pmp)"}),
+    _unpivot(5, "confidence", "SELECT * FROM f", {**{f"share_{v.lower()}": f"avg((verdict = '{v}')::INT)" for v in ("PASS", "WARN", "FAIL")}, "mean_confidence": "avg(confidence)"}),
+    _unpivot(6, "spatial", spatial.SQL["spatial_coherence"], {"mean_coherence": "avg(coherence)", "share_apart": "avg(apart::INT)"}),
+])
 #: DuckDB's form; plans that fit a curve, or whose ties hang on a hash, have none.
 SQL = {
+    "qc_funnel": f"WITH {_JUDGED} {_FUNNEL}",
     "confidence": f"WITH {_JUDGED} SELECT cell, label, best, impure, round(confidence, 6) AS confidence, verdict, reason, {_FINAL} AS final_label FROM f",
     "verdict_summary": f"""WITH {_JUDGED} SELECT count(*) AS n, round(avg(CASE WHEN verdict = 'PASS' THEN 1.0 ELSE 0.0 END), 6) AS share_pass, round(avg(CASE WHEN verdict = 'WARN' THEN 1.0 ELSE 0.0 END), 6) AS share_warn, round(avg(CASE WHEN verdict = 'FAIL' THEN 1.0 ELSE 0.0 END), 6) AS share_fail,
       round(avg(confidence), 6) AS mean_confidence, 0.0::DOUBLE AS share_conflict, CASE WHEN avg(CASE WHEN verdict = 'FAIL' THEN 1.0 ELSE 0.0 END) > 0.5 THEN 'fail' WHEN avg(CASE WHEN verdict = 'FAIL' THEN 1.0 ELSE 0.0 END) > 0.25 THEN 'warn' ELSE 'ok' END AS usability FROM f""",
