@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tissueflow.sources.section import Section
 
 K, K_LABELS, RADIUS = 6, 15, 400.0
+#: Sizes of squares, as powers of two of a typical distance; cells that it is taken from; cells that are held against all.
+LEVELS, SAMPLE, FEW = tuple(range(-6, 3)), 2000, 1000
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -34,30 +39,72 @@ def within(cells: DataFrame, radius: float, of: DataFrame | None = None) -> Data
     return a.join(b, ["gx", "gy"]).filter("src <> dst").withColumn("d", F.sqrt((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2)).filter(F.col("d") <= radius).select("src", "dst", "d")
 
 
+def _scale(cells: DataFrame, n: int, k: int) -> float:
+    """The distance within which a typical cell has some 2 k others, from the k-th neighbours among SAMPLE cells drawn by hash:
+    the median, so that neither a few far cells nor empty space count."""
+    xy = np.array([(r["x"], r["y"]) for r in cells.select("x", "y", F.xxhash64("cell").alias("o")).orderBy("o").limit(SAMPLE).collect()])
+    at = min(k, len(xy) - 1)
+    far = np.concatenate([np.partition(np.hypot(*(part[:, None, :] - xy).transpose(2, 0, 1)), at, axis=1)[:, at] for part in np.array_split(xy, -(-len(xy) // 256))])
+    far = far[far > 0]
+    return float(np.median(far)) * (2 * len(xy) / n) ** 0.5 if len(far) else 1.0
+
+
+def _nearest_of_few(cells: DataFrame, few: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of all cells to each of up to FEW ones: every task keeps its own best."""
+    asked = few.toPandas()
+    held = cells.sparkSession.sparkContext.broadcast(asked)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = held.value
+        for p in parts:
+            for lo in range(0, len(p), 1024):
+                part = p.iloc[lo : lo + 1024]
+                d = np.hypot(q["x"].to_numpy()[:, None] - part["x"].to_numpy(), q["y"].to_numpy()[:, None] - part["y"].to_numpy())
+                d[q["cell"].to_numpy()[:, None] == part["cell"].to_numpy()] = np.inf
+                at = min(k, len(part)) - 1
+                i, j = np.nonzero((np.round(d, 6) <= np.round(np.partition(d, at, axis=1)[:, at, None], 6)) & np.isfinite(d))
+                yield pd.DataFrame({"src": q["cell"].to_numpy()[i], "dst": part["cell"].to_numpy()[j], "d": d[i, j]})
+
+    kind = dict(cells.dtypes)["cell"]
+    return cells.mapInPandas(run, f"src {kind}, dst {kind}, d double")
+
+
 def neighbours(cells: DataFrame, k: int = K) -> DataFrame:
     """``(src, dst, d)``: the ``k`` nearest other cells of each, or all others where there are fewer. Ties in distance go to
     the smaller id; cells without coordinates have none and are nobody's.
 
-    The first radius holds some 2 k cells at the mean density, so that a square's size follows the data; cells that have
-    fewer than k within it look again at twice the radius, until all have theirs. ``cells`` are read once.
+    Squares follow the local density: of the LEVELS sizes around a typical distance, a cell takes the smallest whose square
+    holds over 2 k cells, and meets the nine squares around it. Cells that have fewer than k within that size look again
+    at twice the size; when up to FEW are left, these are held against all cells. ``cells`` are read once.
     """
     cells = _kept(cells.select("cell", "x", "y").filter("x IS NOT NULL AND y IS NOT NULL"))
-    n, w, h = cells.agg(F.count(F.lit(1)), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    n = cells.count()
     if n < 2:
         return cells.limit(0).select(F.col("cell").alias("src"), F.col("cell").alias("dst"), F.lit(0.0).alias("d"))
-    extent = max(w, h, 1e-9)
-    radius, k_most = max((2 * k * max(w, extent * 1e-3) * max(h, extent * 1e-3) / (3.14159 * n)) ** 0.5, extent * 1e-6), min(k, n - 1)
+    base, k_most = _scale(cells, n, k), min(k, n - 1)
+    size = base * F.pow(F.lit(2.0), F.col("level"))
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.round("d", 6), "dst"))
-    of, found = cells, None
-    while True:
-        near = _kept(within(cells, radius, of).withColumn("place", place).filter(F.col("place") <= k_most).drop("place"))
-        full = near.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k_most).select("src")
-        done = near.join(full, "src", "left_semi")
-        found = done if found is None else found.union(done)
-        of = _kept(of.join(full, of["cell"] == full["src"], "left_anti"))
-        if of.isEmpty():
-            return found
-        radius *= 2
+    square = lambda df: df.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size))
+    at_levels = lambda df, levels: square(df.withColumn("level", F.explode(F.array(*map(F.lit, levels)))))
+    every = at_levels(cells, list(LEVELS))
+    full = every.groupBy("level", "gx", "gy").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 2 * k)
+    own = every.join(full, ["level", "gx", "gy"]).groupBy("cell").agg(F.min("level").alias("level"))
+    of = _kept(cells.join(own, "cell", "left").withColumn("level", F.coalesce("level", F.lit(LEVELS[-1]))))
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    found = None
+    while (left := of.groupBy("level").agg(F.count(F.lit(1)).alias("m")).collect()) and sum(r["m"] for r in left) > FEW:
+        a = square(of).select(F.col("cell").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), "level", "gx", "gy", F.explode(steps).alias("s")).select("src", "ax", "ay", "level", (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy"))
+        b = at_levels(cells, sorted(r["level"] for r in left)).withColumnRenamed("cell", "dst")
+        d = F.sqrt((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2)
+        met = a.join(b, ["level", "gx", "gy"]).filter("src <> dst").withColumn("d", d).filter(F.col("d") <= size).select("src", "dst", "d")
+        near = _kept(met.withColumn("place", place).filter(F.col("place") <= k_most).drop("place"))
+        done = near.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k_most).select("src")
+        found = near.join(done, "src", "left_semi") if found is None else found.union(near.join(done, "src", "left_semi"))
+        of = _kept(of.join(done, of["cell"] == done["src"], "left_anti").withColumn("level", F.col("level") + 1))
+    if left:
+        rest = _nearest_of_few(cells, of.select("cell", "x", "y"), k_most).withColumn("place", place).filter(F.col("place") <= k_most).drop("place")
+        found = rest if found is None else found.union(rest)
+    return found
 
 
 def neighbour_graph(section: Section) -> DataFrame:
