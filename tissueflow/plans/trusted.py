@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tissueflow.operators import calibrate, embedding, grouping, spatial, spillover, trust
 from tissueflow.operators.labels import ABSTAIN, log_odds
+from tissueflow.operators.reconcile import reconcile
 from tissueflow.operators.statements import BALLOT, METRICS, SCORES, STATEMENTS, WINNERS
 from tissueflow.sources.section import Section
 
@@ -71,6 +72,16 @@ def weighted_vote(section: Section) -> DataFrame:
     return _rounded(trust.vote(ballot, weights), weight=6, agreement=6)
 
 
+def reconciled_labels(section: Section) -> DataFrame:
+    """The markers' label of each cluster against the marker set of most counts in it, which stands for a proposal."""
+    _kept(section)
+    counts = section["counts"].join(section["genes"].filter("NOT control").select("gene", "marker_set"), "gene").join(section["cells"].select("cell", F.col("label").alias("cluster")), "cell")
+    most = counts.groupBy("cluster", "marker_set").agg(F.sum("value").alias("n")).groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("order"), "marker_set"))["marker_set"].alias("label"))
+    markers = section.once(PROGRAMS).select(F.col("label").alias("cluster"), F.col("marker_set").alias("label"))
+    cells = section["cells"].select("cell", F.col("label").alias("cluster"))
+    return reconcile(cells, markers, section["genes"].select(F.col("marker_set").alias("label")).distinct(), most).clusters
+
+
 def qc_funnel(section: Section) -> DataFrame:
     """``(layer, name, metric, value)``: what each layer of quality control says of a section, from tables that are made once."""
     _kept(section)
@@ -94,6 +105,7 @@ def qc_funnel(section: Section) -> DataFrame:
 
 QUERIES = {
     "qc_funnel": qc_funnel,
+    "reconciled_labels": reconciled_labels,
     "confidence": confidence,
     "verdict_summary": lambda s: _rounded(trust.verdict_summary(judged(s)), share_pass=6, share_warn=6, share_fail=6, mean_confidence=6, share_conflict=6),
     "rejection_breakdown": lambda s: _rounded(trust.rejection_breakdown(reasoned(s)).drop("description"), share=6),
@@ -161,6 +173,9 @@ _FUNNEL = " UNION ALL ".join([
 #: DuckDB's form; plans that fit a curve, or whose ties hang on a hash, have none.
 SQL = {
     "qc_funnel": f"WITH {_JUDGED} {_FUNNEL}",
+    "reconciled_labels": f"""WITH p AS ({PROGRAMS}), s AS (SELECT c.label AS cluster, g.marker_set, sum(k.value) AS n FROM {{counts}} k JOIN {{genes}} g ON g.gene = k.gene AND NOT g.control JOIN {{cells}} c ON c.cell = k.cell GROUP BY c.label, g.marker_set),
+      m AS (SELECT cluster, marker_set FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, marker_set) AS place FROM s) q WHERE place = 1)
+      SELECT p.label AS cluster, p.marker_set AS marker_label, m.marker_set AS proposed, p.marker_set = m.marker_set AS agreement, p.marker_set <> m.marker_set AS conflict, false AS off_vocabulary, p.marker_set AS final FROM p JOIN m ON m.cluster = p.label""",
     "confidence": f"WITH {_JUDGED} SELECT cell, label, best, impure, round(confidence, 6) AS confidence, verdict, reason, {_FINAL} AS final_label FROM f",
     "verdict_summary": f"""WITH {_JUDGED} SELECT count(*) AS n, round(avg(CASE WHEN verdict = 'PASS' THEN 1.0 ELSE 0.0 END), 6) AS share_pass, round(avg(CASE WHEN verdict = 'WARN' THEN 1.0 ELSE 0.0 END), 6) AS share_warn, round(avg(CASE WHEN verdict = 'FAIL' THEN 1.0 ELSE 0.0 END), 6) AS share_fail,
       round(avg(confidence), 6) AS mean_confidence, 0.0::DOUBLE AS share_conflict, CASE WHEN avg(CASE WHEN verdict = 'FAIL' THEN 1.0 ELSE 0.0 END) > 0.5 THEN 'fail' WHEN avg(CASE WHEN verdict = 'FAIL' THEN 1.0 ELSE 0.0 END) > 0.25 THEN 'warn' ELSE 'ok' END AS usability FROM f""",
