@@ -1,16 +1,15 @@
-"""What the corpus operators share: table access, durable intermediate tables, hashing of byte arrays."""
+"""What the corpus operators share: table access, durable tables (of ``tissueflow.durable``), hashing of byte arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The setting by which Spark deletes a query's shuffle files at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from tissueflow.durable import CLEANUP, forget, saved, shared_dir
+
+__all__ = ["BASE", "CLEANUP", "MIX1", "MIX2", "forget", "mixed", "powers", "run_hashes", "saved", "shared_dir", "shuffle_partitions", "table", "text_bytes"]
+
 #: Odd multiplier of the polynomial hash modulo 2**64, and the finaliser's multipliers.
 BASE, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
@@ -20,45 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which the whole cluster sees.
-
-    Only where that setting is absent and the session runs on one machine (tests) is a local folder chosen and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors.
-
-    The shuffle files of the write go as soon as it is done.
-    """
-    spark = df.sparkSession
-    path, before = shared_dir(spark), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete what :func:`saved` wrote for these frames; nothing that is still to run may read them."""
-    for t in tables:
-        jvm = t.sparkSession._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            if "/llm-" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
-                path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

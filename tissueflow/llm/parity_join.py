@@ -32,9 +32,9 @@ CELL = 64
 #: Segments of a set, the least by hash, in which it first meets others.
 FIRST = 8
 #: Sets of up to so many tokens have a bit sketch of 2**32 bits, as the places of its ones; larger ones fold it to BITS bits.
-SPARSE, BITS = 512, 2048
+SPARSE, BITS = 128, 2048
 #: Whole sets of up to so many bytes in all are broadcast to the pairs that they are checked for.
-SMALL = 24 << 20
+SMALL = 8 << 20
 
 
 def band_of(n: int) -> int:
@@ -74,9 +74,11 @@ def postings(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
         k = np.uint64(segments(band))
         for deal in range(DEALS):
             token = mixed(s + np.uint64((deal + 1) * int(MIX1) & (1 << 64) - 1))
-            segment = ((token >> np.uint64(32)) * k) >> np.uint64(32)
+            segment = (((token >> np.uint64(32)) * k) >> np.uint64(32)).astype(np.uint16 if k < 1 << 16 else np.uint32)
             order = np.argsort(segment, kind="stable")
-            full, first = np.unique(segment[order], return_index=True)
+            dealt = segment[order]
+            first = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]]))
+            full = dealt[first].astype(np.uint64)
             parity = np.bitwise_xor.reduceat(mixed(token)[order], first)
             out.append((deal << 6 | band, differ, mixed(parity ^ mixed(full + np.uint64(1 + (band << 40) + (deal << 48)))).view(np.int64)))
             if len(full) > differ:
@@ -148,18 +150,33 @@ def _hub_pairs(met: DataFrame, known: DataFrame) -> DataFrame:
     return t.groupBy("sid").agg(F.max(F.struct("n", "hub")).alias("m")).select(F.col("sid").alias("a"), F.col("m.hub").alias("b"))
 
 
-def _cell_pairs(outer: list[dict], inner: list[dict], spanning: bool) -> np.ndarray:
-    """``(a, b)`` of the pairs of two lists of members that are of different components, may be similar by their sizes, and
+class Members:
+    """A column of lists of members as arrays, without a Python object for each member."""
+
+    def __init__(self, lists: pa.ListArray):
+        flat = lists.flatten()
+        self.columns = {c: flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sid", "size", "info", "root")}
+        sketch = flat.field("sketch")
+        self.ends = np.concatenate([[0], np.cumsum(sketch.value_lengths().to_numpy(zero_copy_only=False))])
+        self.words = sketch.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+        self.first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+
+    def cell(self, i: int) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+        at = slice(self.first[i], self.first[i + 1])
+        return {c: v[at] for c, v in self.columns.items()}, [self.words[self.ends[k] : self.ends[k + 1]] for k in range(at.start, at.stop)]
+
+
+def _cell_pairs(outer: tuple, inner: tuple, spanning: bool) -> np.ndarray:
+    """``(a, b)`` of the pairs of two cells' members that are of different components, may be similar by their sizes, and
     whose bit sketches differ in no more bits than such sets can; if asked, the likeliest of two components only."""
-    x, y = ({c: np.array([m[c] for m in side], np.int64) for c in ("sid", "size", "info", "root")} for side in (outer, inner))
+    (x, xs), (y, ys) = outer, inner
     n, t = x["size"][:, None], y["size"][None, :]
     ok = (x["root"][:, None] != y["root"]) & (WHOLE * np.minimum(n, t) >= PART * np.maximum(n, t)) & ((1 << (x["info"][:, None] & 63)) <= np.maximum(n, t))
     if not ok.any():
         return np.zeros((0, 2), np.int64)
     sparse = max(x["size"].max(), y["size"].max()) <= SPARSE
-    xs, ys = ([np.array(m["sketch"], np.int32).view(np.uint32) for m in side] for side in (outer, inner))
     if not sparse:
-        xs, ys = ([v if m["size"] > SPARSE else _folded(v) for v, m in zip(vs, side, strict=True)] for vs, side in ((xs, outer), (ys, inner)))
+        xs, ys = ([v if k > SPARSE else _folded(v) for v, k in zip(vs, side["size"], strict=True)] for vs, side in ((xs, x), (ys, y)))
     apart = distances(xs, ys, sparse)
     i, j = np.nonzero(ok & (apart <= budget(n, t)))
     if spanning and len(i):
@@ -195,7 +212,8 @@ def _cells(open_: DataFrame, sketches: DataFrame, spanning: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
-            found = [_cell_pairs(x, y, spanning) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            x, y = Members(b.column(0)), Members(b.column(1))
+            found = [_cell_pairs(x.cell(i), y.cell(i), spanning) for i in range(b.num_rows)]
             p = np.concatenate([np.zeros((0, 2), np.int64), *found])
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
