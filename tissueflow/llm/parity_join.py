@@ -10,6 +10,7 @@ symmetric difference, and those that pass by their whole sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ CELL = 64
 FIRST = 8
 #: Sets of up to so many tokens have a bit sketch of 2**32 bits, as the places of its ones; larger ones fold it to BITS bits.
 SPARSE, BITS = 128, 2048
+#: Distinct sets and their segments are shuffled in so many turns, so that a turn's shuffle files go before the next.
+SLICES = 2
 #: Whole sets of up to so many bytes in all are broadcast to the pairs that they are checked for.
 SMALL = 8 << 20
 
@@ -128,14 +131,35 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 part, out = b.slice(lo, 256), []
                 for x in part.column(1).to_pylist():
                     s = np.unique(shingle_hashes(x, WORDS))
-                    deals = [{"info": i, "most": d, "keys": k} for i, d, k in postings(s)] if len(s) else []
+                    deals = [{"info": i, "spare": len(k) - d, "keys": k} for i, d, k in postings(s)] if len(s) else []
                     out.append((*_digest(s), len(s), deals, bit_sketch(s) if deals else np.zeros(0, np.int32)))
                 d1, d2, size, deals, sketch = zip(*out, strict=True) if out else ((),) * 5
-                kind = pa.list_(pa.struct([("info", pa.int32()), ("most", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+                kind = pa.list_(pa.struct([("info", pa.int32()), ("spare", pa.int32()), ("keys", pa.list_(pa.int64()))]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(size, pa.int32()), pa.array(deals, kind), pa.array(sketch, pa.list_(pa.int32()))], names=["id", "d1", "d2", "size", "deals", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, f"id {kind}, d1 long, d2 long, size int, deals array<struct<info:int,most:int,keys:array<long>>>, sketch array<int>")
+    return docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, f"id {kind}, d1 long, d2 long, size int, deals array<struct<info:int,spare:int,keys:array<long>>>, sketch array<int>")
+
+
+def _union(parts: Iterator[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
+def _kinds(whole: DataFrame) -> DataFrame:
+    """One row for each distinct set that isn't empty, with its least id."""
+    return whole.filter("id IS NOT NULL AND size > 0").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("deals").alias("deals"), F.first("sketch").alias("sketch"))
+
+
+def _shared_segments(dealt: DataFrame, turn: int) -> DataFrame:
+    """``(key, sid, info, n)`` of one turn's segments that several sets have, ``n`` of them. Saved.
+
+    The join moves the same rows at every size: shared keys are distinct and spread evenly, so each task holds its own.
+    """
+    posts = dealt.select("sid", F.explode("deals").alias("deal")).select("sid", "deal.info", F.explode("deal.keys").alias("key")).filter(F.pmod("key", F.lit(SLICES)) == turn)
+    shared = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    out = saved(posts.join(shared.hint("shuffle_hash"), "key"))
+    forget(shared)
+    return out
 
 
 def _possible(n, t, info):
@@ -307,20 +331,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     still apart that meets often enough is checked, so that no link is lost.
     """
     whole = saved(_described(docs, id_col, text_col))
-    kinds = whole.filter("id IS NOT NULL AND size > 0").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("deals").alias("deals"), F.first("sketch").alias("sketch"))
-    dealt = saved(kinds.withColumn("sid", F.monotonically_increasing_id()))
     each = saved(whole.select("id", "d1", "d2", "size"))
+    dealt = _union(saved(_kinds(whole.filter(F.pmod("d1", F.lit(SLICES)) == i)).withColumn("sid", F.monotonically_increasing_id() * SLICES + i)) for i in range(SLICES))
     forget(whole)
-    posts = dealt.select("sid", "size", F.explode("deals").alias("deal")).select("sid", "size", "deal.info", (F.size("deal.keys") - F.col("deal.most")).alias("spare"), F.explode("deal.keys").alias("key"))
-    shared = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    own = saved(posts.join(shared, "key"))
-    known = saved(dealt.drop("deals"))
-    forget(shared, dealt)
+    own = _union(_shared_segments(dealt, i) for i in range(SLICES))
+    known, spare = saved(dealt.drop("deals")), saved(dealt.select("sid", "size", F.explode("deals").alias("deal")).select("sid", "size", "deal.info", "deal.spare"))
+    forget(dealt)
     # Of its full segments a set keeps most + 1, the rarest (those that no other set has come first): spare - 1 go.
     by = Window.partitionBy("sid", "info")
-    rare = own.withColumn("after", F.count(F.lit(1)).over(by) - F.row_number().over(by.orderBy("n", "key"))).filter((F.col("after") >= F.col("spare") - 1) | (F.col("spare") < 1)).select("key", "sid", "size", "info")
+    rare = own.join(spare, ["sid", "info"]).withColumn("after", F.count(F.lit(1)).over(by) - F.row_number().over(by.orderBy("n", "key"))).filter((F.col("after") >= F.col("spare") - 1) | (F.col("spare") < 1)).select("key", "sid", "size", "info")
     rare = saved(rare)
-    forget(own)
+    forget(own, spare)
     again = saved(rare.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("hub")).filter("n > 1").select("key", "hub"))
     met = saved(rare.join(again, "key"))
     forget(rare, again)
