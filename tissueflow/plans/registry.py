@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tissueflow.operators import spatial
 from tissueflow.operators.statements import STATEMENTS
-from tissueflow.plans import references, trusted
+from tissueflow.plans import references, sections, trusted
 from tissueflow.sources.section import DRIVER_TABLES, from_driver_tables
 
 
@@ -30,5 +30,5 @@ def _operator(run: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run(from_driver_tables(spark, sf_dir))
 
 
-QUERIES = {k: _statement(v) for k, v in STATEMENTS.items()} | {k: _operator(v) for k, v in (spatial.OPERATORS | spatial.ITERATIVE | trusted.QUERIES | references.QUERIES).items()}
-ORACLE_SQL = {k: duckdb_sql(v) for k, v in (STATEMENTS | spatial.SQL | trusted.SQL | references.SQL).items()}
+QUERIES = {k: _statement(v) for k, v in STATEMENTS.items()} | {k: _operator(v) for k, v in (spatial.OPERATORS | spatial.ITERATIVE | trusted.QUERIES | references.QUERIES | sections.QUERIES).items()}
+ORACLE_SQL = {k: duckdb_sql(v) for k, v in (STATEMENTS | spatial.SQL | trusted.SQL | references.SQL | sections.SQL).items()}
