@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tissueflow.durable import saved
-from tissueflow.operators import report, sections, selection, trust
+from tissueflow.operators import layers, report, sections, selection, trust
 from tissueflow.operators.labels import ABSTAIN
-from tissueflow.operators.statements import BALLOT, SCORES, STATEMENTS
-from tissueflow.plans import trusted
+from tissueflow.operators.statements import BALLOT, RANKING, SCORES, STATEMENTS
+from tissueflow.plans import references, trusted
 from tissueflow.plans.trusted import _JUDGED, _OWN, _rounded
 from tissueflow.sources.section import Section
 
@@ -58,7 +58,37 @@ def section_report(s: Section) -> DataFrame:
     )
 
 
+def _layers(s: Section) -> DataFrame:
+    trusted._kept(s)
+    return saved(trusted.spillover_removed(s).select("cell", "gene", F.col("value").alias("before"), F.col("corrected").alias("after")))
+
+
+def layer_quality(s: Section) -> DataFrame:
+    compared = _layers(s)
+    markers = s["genes"].filter("NOT control").join(s.once(trusted.PROGRAMS), "marker_set").select("label", "gene")
+    return _rounded(layers.layer_quality(compared, s["cells"].select("cell", "label"), markers), specificity_before=6, specificity_after=6, purity_before=6, purity_after=6, retention=6)
+
+
+def malignant_concordance(s: Section) -> DataFrame:
+    lineage = s["genes"].agg(F.min("marker_set").alias("marker_set"))
+    by_score = trust.malignant_scores(s.once(SCORES).join(lineage, "marker_set").select("cell", "score")).select("cell", F.lit("marker score").alias("caller"), "malignant")
+    by_burden = references.copy_number(s).select("cell", F.lit("copy number").alias("caller"), F.when(F.col("burden").isNotNull(), F.col("malignant")).alias("malignant"))
+    return _rounded(layers.caller_concordance(saved(by_score.union(by_burden))), concordance=6)
+
+
+def merged_markers(s: Section) -> DataFrame:
+    """Small parts of each brand as its curated list, the ranked genes of the labels that look like it as the corpus."""
+    panel = s["genes"].filter("NOT control")
+    ranked = s.once(RANKING).join(s.once(trusted.PROGRAMS).select("label", "marker_set"), "label")
+    curated = panel.filter("position <= 10").select(F.col("marker_set").alias("type"), "gene", "position").withColumnRenamed("position", "place")
+    return layers.merged_markers(curated, ranked.select(F.col("marker_set").alias("type"), "gene", "place"), panel.select(F.col("marker_set").alias("type")))
+
+
 QUERIES = {
+    "layer_quality": layer_quality,
+    "layer_change": lambda s: _rounded(layers.layer_change(_layers(s)), median_total_after=6),
+    "malignant_concordance": malignant_concordance,
+    "merged_markers": merged_markers,
     "sections_cells": lambda s: _rounded(_run(s).cells.select("section", "cell", "total", "n_genes", "kept", "label", "confidence", "verdict", "final_label"), confidence=5),
     "sections_stages": lambda s: _run(s).stages,
     "sections_composition": lambda s: _rounded(_run(s).composition(), share=6, mean_confidence=5),
@@ -98,7 +128,21 @@ _REPORT = " UNION ALL ".join([
     _block("consensus", "v", {"n_cells": "count(*)", "mean_agreement": "avg(agreement)", "share_trusted": "avg((voters >= 3)::INT)"}),
     _block("confidence", "f", {**{f"share_{v.lower()}": f"avg((verdict = '{v}')::INT)" for v in ("PASS", "WARN", "FAIL")}, "mean_confidence": "avg(confidence)"}),
 ])
+_LAYERS = f"ly AS (SELECT cell, gene, value::DOUBLE AS x0, corrected::DOUBLE AS x1 FROM ({trusted.SQL['spillover_removed']}) q)"
+_CNV = references.SQL["copy_number"]
 SQL = {
+    "layer_quality": f"""WITH {_LAYERS}, mr AS (SELECT p.label AS lin, g.gene FROM {{genes}} g JOIN ({trusted.PROGRAMS}) p ON p.marker_set = g.marker_set WHERE NOT g.control AND g.gene IN (SELECT gene FROM ly)),
+      z AS (SELECT ly.*, c.label, ln(1 + 1e4 * x0 / nullif(sum(x0) OVER (PARTITION BY ly.cell), 0)) AS v0, ln(1 + 1e4 * x1 / nullif(sum(x1) OVER (PARTITION BY ly.cell), 0)) AS v1, sum(x0) OVER (PARTITION BY ly.cell) AS t0, sum(x1) OVER (PARTITION BY ly.cell) AS t1 FROM ly JOIN {{cells}} c ON c.cell = ly.cell),
+      n AS (SELECT label, count(*) AS n, sum(count(*)) OVER () - count(*) AS m FROM {{cells}} GROUP BY label),
+      u AS (SELECT mr.lin, sum(v0) FILTER (z.label = lin) / max(n.n) AS a0, sum(v1) FILTER (z.label = lin) / max(n.n) AS a1, sum(v0) FILTER (z.label <> lin) / max(n.m) AS b0, sum(v1) FILTER (z.label <> lin) / max(n.m) AS b1 FROM z JOIN mr ON mr.gene = z.gene JOIN n ON n.label = mr.lin GROUP BY mr.lin),
+      o AS (SELECT z.cell, z.label, sum(x0) AS r0, sum(x1) AS r1, max(t0) AS t0, max(t1) AS t1 FROM z JOIN mr ON mr.gene = z.gene AND mr.lin = z.label GROUP BY z.cell, z.label),
+      w AS (SELECT label, sum(coalesce(r0 / nullif(t0, 0), 0)) AS p0, sum(coalesce(r1 / nullif(t1, 0), 0)) AS p1, avg(least(r1 / r0, 1)) FILTER (r0 > 0) AS ret FROM o GROUP BY label)
+      SELECT n.label, n.n, round(a0 / (a0 + b0 + 1e-12), 6) AS specificity_before, round(a1 / (a1 + b1 + 1e-12), 6) AS specificity_after, round(coalesce(p0, 0) / n.n, 6) AS purity_before, round(coalesce(p1, 0) / n.n, 6) AS purity_after, round(ret, 6) AS retention FROM n LEFT JOIN u ON u.lin = n.label LEFT JOIN w ON w.label = n.label""",
+    "layer_change": f"""WITH {_LAYERS}, pc AS (SELECT cell, sum(x0) AS t0, sum(x1) AS t1, count(*) FILTER (x0 > 0) AS g0, count(*) FILTER (x1 > 0) AS g1 FROM ly GROUP BY cell)
+      SELECT quantile_cont(t0, 0.5) AS median_total_before, round(quantile_cont(t1, 0.5), 6) AS median_total_after, quantile_cont(g0::DOUBLE, 0.5) AS median_genes_before, quantile_cont(g1::DOUBLE, 0.5) AS median_genes_after FROM pc""",
+    "malignant_concordance": f"""WITH ms AS ({trusted.SQL["malignant_scores"]}), cn AS ({_CNV}) SELECT 'copy number' AS a, 'marker score' AS b, count(*) AS n_joint, round(avg((cn.malignant = ms.malignant)::INT), 6) AS concordance FROM cn JOIN ms ON ms.cell = cn.cell WHERE cn.burden IS NOT NULL""",
+    "merged_markers": f"""WITH pg AS ({trusted.PROGRAMS}), x AS (SELECT marker_set AS type, gene::VARCHAR AS gene, position AS p, 0 AS i FROM {{genes}} WHERE NOT control AND position <= 10 UNION ALL SELECT pg.marker_set, r.gene::VARCHAR, r.place, 1 FROM ({RANKING}) r JOIN pg ON pg.label = r.label),
+      y AS (SELECT *, row_number() OVER (PARTITION BY type, gene ORDER BY i, p) AS k FROM x) SELECT type, gene, row_number() OVER (PARTITION BY type ORDER BY i, p, gene) AS place, CASE i WHEN 0 THEN 'curated' ELSE 'corpus' END AS source FROM y WHERE k = 1""",
     "sections_cells": f"WITH {_RUN} SELECT section, cell, total, n_genes, kept, label, round(confidence, 5) AS confidence, verdict, final_label FROM rn",
     "sections_stages": f"""WITH {_RUN}, n AS (SELECT section, count(*) AS a, count(*) FILTER (kept) AS b, count(*) FILTER (kept AND label IS NOT NULL) AS c, count(*) FILTER (verdict = 'PASS') AS d FROM rn GROUP BY section),
       st AS (SELECT section, 'load' AS stage, a AS n_in, a AS n_out FROM n UNION ALL SELECT section, 'quality', a, b FROM n UNION ALL SELECT section, 'annotate', b, c FROM n UNION ALL SELECT section, 'trust', c, d FROM n) SELECT section, stage, {_STATUS}, n_in, n_out FROM st""",
