@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tissueflow.durable import saved
-from tissueflow.operators import layers, report, sections, selection, trust
+from tissueflow.operators import layers, report, sections, selection, signal, spatial, trust
 from tissueflow.operators.labels import ABSTAIN
 from tissueflow.operators.statements import BALLOT, RANKING, SCORES, STATEMENTS
 from tissueflow.plans import references, trusted
@@ -84,7 +84,14 @@ def merged_markers(s: Section) -> DataFrame:
     return layers.merged_markers(curated, ranked.select(F.col("marker_set").alias("type"), "gene", "place"), panel.select(F.col("marker_set").alias("type")))
 
 
+def _signal(s: Section) -> DataFrame:
+    return signal.cell_signal(s["counts"], s["cells"].select("cell", F.col("y").alias("area")), s["genes"])
+
+
 QUERIES = {
+    "cell_signal": lambda s: _rounded(_signal(s), mean_ratio=6, max_ratio=6, sparsity=6, entropy=6, density=6),
+    "signal_summary": lambda s: _rounded(signal.signal_summary(_signal(s)), zero_fraction=6, median_mean_ratio=5, median_max_ratio=5, median_entropy=5, median_density=5),
+    "spatial_signal": lambda s: _rounded(signal.spatial_signal(spatial.spatial_genes(s), s["genes"]), median_gene=5, median_control=5, separation=5, share_above=5),
     "layer_quality": layer_quality,
     "layer_change": lambda s: _rounded(layers.layer_change(_layers(s)), median_total_after=6),
     "malignant_concordance": malignant_concordance,
@@ -130,7 +137,17 @@ _REPORT = " UNION ALL ".join([
 ])
 _LAYERS = f"ly AS (SELECT cell, gene, value::DOUBLE AS x0, corrected::DOUBLE AS x1 FROM ({trusted.SQL['spillover_removed']}) q)"
 _CNV = references.SQL["copy_number"]
+_SIGNAL = """sz AS (SELECT count(*) FILTER (NOT control) AS np, count(*) FILTER (control) AS nc FROM {genes}), k AS (SELECT c.cell, c.value::DOUBLE AS x, g.control FROM {counts} c JOIN {genes} g ON g.gene = c.gene WHERE c.value > 0),
+  a AS (SELECT cell, sum(x) FILTER (NOT control) AS t, max(x) FILTER (NOT control) AS top, count(*) FILTER (NOT control) AS n, sum(x) FILTER (control) AS c FROM k GROUP BY cell),
+  en AS (SELECT k.cell, -sum(x / a.t * ln(x / a.t)) AS h FROM k JOIN a ON a.cell = k.cell WHERE NOT k.control GROUP BY k.cell),
+  sg AS (SELECT d.cell, log2((coalesce(a.t, 0) / sz.np + 0.01) / (coalesce(a.c, 0) / nullif(sz.nc, 0) + 0.01)) AS mean_ratio, log2((coalesce(a.top, 0) + 0.01) / (coalesce(a.c, 0) / nullif(sz.nc, 0) + 0.01)) AS max_ratio,
+    1 - coalesce(a.n, 0) / sz.np AS sparsity, CASE WHEN a.n = 1 THEN 0 WHEN a.n > 1 THEN en.h / ln(a.n) END AS entropy, CASE WHEN d.y > 0 THEN coalesce(a.t, 0) / d.y END AS density FROM {cells} d CROSS JOIN sz LEFT JOIN a ON a.cell = d.cell LEFT JOIN en ON en.cell = d.cell)"""
 SQL = {
+    "cell_signal": f"WITH {_SIGNAL} SELECT cell, round(mean_ratio, 6) AS mean_ratio, round(max_ratio, 6) AS max_ratio, round(sparsity, 6) AS sparsity, round(entropy, 6) AS entropy, round(density, 6) AS density FROM sg",
+    "signal_summary": f"WITH {_SIGNAL} SELECT count(*) AS n_cells, round(avg(sparsity), 6) AS zero_fraction, " + ", ".join(f"round(quantile_cont({c}, 0.5), 5) AS median_{c}" for c in ("mean_ratio", "max_ratio", "entropy", "density")) + " FROM sg",
+    "spatial_signal": f"""WITH mo AS (SELECT m.moran, g.control FROM ({spatial.SQL["spatial_genes"]}) m JOIN {{genes}} g ON g.gene = m.gene WHERE m.moran IS NOT NULL AND NOT isnan(m.moran)), q AS (SELECT quantile_cont(moran, 0.95) FILTER (control) AS lim FROM mo)
+      SELECT count(*) FILTER (NOT control) AS n_genes, count(*) FILTER (control) AS n_controls, round(quantile_cont(moran, 0.5) FILTER (NOT control), 5) AS median_gene, round(quantile_cont(moran, 0.5) FILTER (control), 5) AS median_control,
+      round(avg((moran > q.lim)::INT) FILTER (NOT control), 5) AS share_above, round(quantile_cont(moran, 0.5) FILTER (NOT control) - quantile_cont(moran, 0.5) FILTER (control), 5) AS separation FROM mo CROSS JOIN q""",
     "layer_quality": f"""WITH {_LAYERS}, mr AS (SELECT p.label AS lin, g.gene FROM {{genes}} g JOIN ({trusted.PROGRAMS}) p ON p.marker_set = g.marker_set WHERE NOT g.control AND g.gene IN (SELECT gene FROM ly)),
       z AS (SELECT ly.*, c.label, ln(1 + 1e4 * x0 / nullif(sum(x0) OVER (PARTITION BY ly.cell), 0)) AS v0, ln(1 + 1e4 * x1 / nullif(sum(x1) OVER (PARTITION BY ly.cell), 0)) AS v1, sum(x0) OVER (PARTITION BY ly.cell) AS t0, sum(x1) OVER (PARTITION BY ly.cell) AS t1 FROM ly JOIN {{cells}} c ON c.cell = ly.cell),
       n AS (SELECT label, count(*) AS n, sum(count(*)) OVER () - count(*) AS m FROM {{cells}} GROUP BY label),
