@@ -129,3 +129,13 @@ def test_burden_equals_a_plain_loop(spark):
     assert [got[c].malignant for c in range(59)] == (expected > bar).tolist() and sum(got[c].malignant for c in range(40, 59)) == 19
     with pytest.raises(ValueError, match="position"):
         copynumber.burden(spark.createDataFrame([(1, 1, 1.0)], "cell long, gene long, value double"), spark.createDataFrame([(1, True)], "cell long, normal boolean"), spark.createDataFrame([(1, "1", 1)], "gene long, chromosome string, start long"), spark.createDataFrame([], "src long, dst long"))
+
+
+def test_windows_are_numbered_without_making_empty_ones(spark):
+    w = copynumber.Windows(np.array([3, 45, 20]), 20, 10)
+    assert w.number.tolist() == [1, 3, 1] and w.widths.tolist() == [3, 20, 20, 20, 20]
+    for c, size, begin in ((0, 3, [1]), (1, 45, [1, 11, 21]), (2, 20, [1])):
+        for p in range(1, size + 1):
+            at, window = w.of(np.array([(c << 32) + p]))
+            first = [0, 1, 4][c]
+            assert window.tolist() == [first + i for i, b in enumerate(begin) if b <= p < b + 20] and not at.any()
