@@ -149,3 +149,22 @@ def test_classifier_transfer(spark, reference):
         transfer.classifier_transfer(counts.filter("gene < 4"), reference[0], reference[1])
     with pytest.raises(ValueError, match="two labels"):
         transfer.classifier_transfer(counts, reference[0], reference[1].filter(F.col("label") == "A"))
+
+
+def test_fit_keeps_no_table_of_genes_on_the_driver(spark, reference):
+    counts, _, _ = section(spark)
+    wide = counts.union(counts.select("cell", (F.col("gene") + 1000).alias("gene"), "value"))
+    ref = reference[0].union(reference[0].select("cell", (F.col("gene") + 1000).alias("gene"), "value"))
+    many = spark.range(200_000).select(F.lit(99_999).cast("long").alias("cell"), (F.col("id") + 10_000).alias("gene"), F.lit(1.0).alias("value"))
+    got = {r.cell: r.label for r in transfer.classifier_transfer(wide.union(many), ref.union(many), reference[1]).collect()}
+    assert np.mean([got[c] == TYPES[c % 3] for c in range(60)]) == 1
+
+
+def test_logistic_fit_is_the_optimum():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(40, 6)), rng.integers(0, 3, 40)
+    x = x - x.mean(axis=0)
+    fit = transfer._logistic(lambda a: x @ (x.T @ (a - a.mean(axis=0))), y, 3, 200, 0.05, tolerance=1e-12)
+    w, m = x.T @ fit.a, fit.ga + fit.b
+    p = np.exp(m) / np.exp(m).sum(axis=1, keepdims=True)
+    assert np.allclose(x @ w, fit.ga, atol=1e-9) and np.abs(x.T @ (p - np.eye(3)[y]) / 40 + 0.05 * w).max() < 1e-4
