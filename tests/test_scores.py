@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from tissueflow.operators.scores import weights
 from tissueflow.operators.statements import SCORES, WEIGHTS
 from tissueflow.plans.registry import QUERIES
@@ -20,3 +22,11 @@ def test_no_task_ranks_all_genes(spark, small):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"\bntile\(", plan)
     assert re.search(r"\bntile\(", SCORES)
+
+
+def test_stability_draws_transcripts_in_one_row_a_count(spark, small):
+    from tissueflow.operators import thinning
+
+    s = from_driver_tables(spark, small)
+    t = thinning.thinned_lists(s["counts"], F.lit(0.8), 5)
+    assert t.count() == s["counts"].count() and t.filter("size(left) <> 5").isEmpty()
