@@ -28,11 +28,12 @@ SHARE, ENOUGH = 0.5, 8
 MAX_BROADCAST = 1_000_000
 #: Units that are a placeholder after a number.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "feet", "foot", "miles", "mile", "mg", "g", "kg", "tons", "pounds", "ml", "l", "litres", "liters", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollars", "euros", "percent", "degrees")
-#: A word: letters and digits, joined by single inner points, commas or apostrophes.
-WORD = r"[\p{L}\p{N}]+(?:[.,'’][\p{L}\p{N}]+)*"
-REST = r"[\p{L}\p{N}]*(?:[.,'’][\p{L}\p{N}]+)*"
+#: A word: letters and digits, joined by single inner points, commas or apostrophes. Repeated groups are possessive, which changes no match
+#: here: Java takes other repeated groups by recursion, which long runs end with a full stack.
+WORD = r"[\p{L}\p{N}]+(?:[.,'’][\p{L}\p{N}]+)*+"
+REST = r"[\p{L}\p{N}]*(?:[.,'’][\p{L}\p{N}]+)*+"
 #: Capitalised words inside a sentence, one name each run; a word that begins with a digit; a unit after a number.
-NAME = r"(?<=[\p{L}\p{N},;:]\s)\p{Lu}\p{Ll}" + REST + r"(?:\s\p{Lu}\p{Ll}" + REST + ")*"
+NAME = r"(?<=[\p{L}\p{N},;:]\s)\p{Lu}\p{Ll}" + REST + r"(?:\s\p{Lu}\p{Ll}" + REST + ")*+"
 NUMBER = r"(?<![\p{L}\p{N}])(?<![\p{L}\p{N}][.,'’])[0-9]" + REST
 UNIT = r"(?<=<num>\s)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])(?![.,'’][\p{L}\p{N}])"
 TOKEN = r"<(?:num|name|unit)>|" + WORD
