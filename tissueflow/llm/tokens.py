@@ -20,6 +20,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 0
 #: Pieces and token groups that a worker keeps at most (some 150 bytes each); beyond that the ones met least go.
 PIECES, GROUPS = 900_000, 600_000
+#: The same beside a sort and writers of files, which need memory of their own.
+PIECES_BESIDE, GROUPS_BESIDE = 600_000, 400_000
 #: A single space between other characters always begins a token of its own, so the text may be cut there.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 RUN = re.compile(r"\s\s")
@@ -36,7 +38,7 @@ ALPHABET = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 
-_made: dict[str, Encoder] = {}
+_made: dict[tuple[str, int, int], Encoder] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -119,7 +121,7 @@ class Encoder:
     plain words, by its model. For vocabularies of another kind than byte-level pairs every text is a piece.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = PIECES, groups: int = GROUPS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -131,7 +133,7 @@ class Encoder:
         self.cuts = not says.get("normalizer") and not says.get("post_processor") and BYTE_LEVEL.items() <= level.items() and all(model.get(k) == v for k, v in PLAIN_MODEL.items() if v or model.get(k))
         self.cuts = self.cuts and not any(" " in t["content"] for t in says.get("added_tokens", ()))
         self.size = self.tokenizer.get_vocab_size()
-        self.pieces, self.groups = Table(self._pieces, PIECES), Table(self._groups, GROUPS)
+        self.pieces, self.groups = Table(self._pieces, pieces), Table(self._groups, groups)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         keys, ends = [], []
@@ -203,11 +205,18 @@ class Encoder:
         return np.fromiter((x for f in found for x in f), np.uint32, int(count.sum())), count
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pieces: int = PIECES, groups: int = GROUPS) -> Encoder:
     """One encoder for each worker process, kept between tasks."""
-    if path not in _made:
-        _made[path] = Encoder(path)
-    return _made[path]
+    key = (path, pieces, groups)
+    if key not in _made:
+        _made.clear()
+        _made[key] = Encoder(*key)
+    return _made[key]
+
+
+def drop_encoders() -> None:
+    """Free this worker's tables: a task that only reads ids back doesn't need them."""
+    _made.clear()
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -232,7 +241,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     parts = shuffle_partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, done = encoder(place), TaskContext.get().partitionId(), 0
+        enc, part, done = encoder(place, PIECES_BESIDE, GROUPS_BESIDE), TaskContext.get().partitionId(), 0
         for b in small_batches(batches):
             ids, ends = enc.encode(b.column(1).to_pylist())
             if not len(ends):
@@ -277,6 +286,7 @@ def token_digests(spark, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of each document, read back from its files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         for b in batches:
             lists = b.column(3)
             at, values = np.asarray(lists.offsets), memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).astype("<u4", copy=False)).cast("B")
