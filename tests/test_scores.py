@@ -18,7 +18,7 @@ def test_weights_equal_their_sql(spark, small):
 
 
 def test_no_task_ranks_all_genes(spark, small):
-    for name in ("dominant_states", "top_two_margin", "soft_label_entropy"):
+    for name in ("dominant_states", "top_two_margin", "soft_label_entropy", "positive_marker_purity"):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"\bntile\(", plan)
     assert re.search(r"\bntile\(", SCORES)
