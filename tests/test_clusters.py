@@ -40,6 +40,17 @@ def test_nearest_vectors(vectors):
     assert np.mean([len(set(some[i]) & set(expected[i])) / 15 for i in expected]) >= 0.95
 
 
+def test_vectors_without_clusters_lose_no_neighbour(spark, monkeypatch):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(3).normal(size=(1500, 24)))]
+    df = spark.createDataFrame(rows, "item long, embedding array<float>")
+    expected = brute_neighbours([(i, np.float32(v)) for i, v in rows], 15)
+    assert neighbours_of(graph.nearest_vectors(df)) == expected
+    assert neighbours_of(graph.nearest_vectors(df, lists=1)) == expected
+    monkeypatch.setattr(graph, "BLOCK", 400)  # lists are tried, but need more than all by blocks
+    monkeypatch.setattr(graph, "LIST", 30)
+    assert neighbours_of(graph.nearest_vectors(df)) == expected
+
+
 def test_nearest_vectors_of_copies_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(graph, "CELL", 7)  # many cells to a list
     rng = np.random.default_rng(1)
