@@ -38,3 +38,15 @@ def test_neighbours_by_density(spark, monkeypatch, kind):
     }[kind]
     points = {7 * i % 1009: tuple(map(float, p)) for i, p in enumerate(xy)}
     assert found(spark, points, 6) == brute(points, 6)
+
+
+def test_cells_on_each_other_make_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "FEW", 15)
+    met = []
+    kept = spatial.saved
+    monkeypatch.setattr(spatial, "saved", lambda df: met.append(kept(df)) or met[-1])
+    rng = np.random.default_rng(4)
+    spots = rng.random((40, 2)) * 100
+    points = {3 * i % 2003: tuple(map(float, spots[i % 40])) for i in range(1600)}
+    assert found(spark, points, 6) == brute(points, 6)
+    assert max(df.count() for df in met) <= len(points)  # tables of pairs are those of places

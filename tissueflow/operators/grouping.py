@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissueflow.operators.spatial import _kept
+from tissueflow.durable import saved
 
 # Compartments, in order, and the words of a label that put it there; two words match anywhere, one as a word.
 COMPARTMENT_WORDS = {
@@ -43,13 +43,13 @@ def label_groups(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     nodes = labels.filter("label IS NOT NULL").select("label").distinct()
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    edges = _kept(both.join(nodes.select(F.col("label").alias("a")), "a").join(nodes.select(F.col("label").alias("b")), "b"))
-    at = _kept(nodes.withColumn("root", F.col("label")))
+    edges = saved(both.join(nodes.select(F.col("label").alias("a")), "a").join(nodes.select(F.col("label").alias("b")), "b"))
+    at = saved(nodes.withColumn("root", F.col("label")))
     while True:
         near = edges.join(at.select(F.col("label").alias("b"), "root"), "b").groupBy(F.col("a").alias("label")).agg(F.min("root").alias("near"))
         step = at.join(near, "label", "left").select("label", F.least("root", "near").alias("root"), F.col("root").alias("before"))
         jump = at.select(F.col("label").alias("root"), F.col("root").alias("further"))
-        after = _kept(step.join(jump, "root").select("label", F.least("root", "further").alias("root"), "before"))
+        after = saved(step.join(jump, "root").select("label", F.least("root", "further").alias("root"), "before"))
         if after.filter("root <> before").isEmpty():
             return after.select("label", "root")
         at = after.select("label", "root")
@@ -69,14 +69,14 @@ def _joined(groups: DataFrame) -> DataFrame:
 
 def ancestors(isa: DataFrame) -> DataFrame:
     """``(term, ancestor)``: what each term of ``isa(child, parent)`` is, itself included; circles do no harm."""
-    edges = _kept(isa.filter("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct())
+    edges = saved(isa.filter("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct())
     terms = edges.select("child").union(edges.select("parent")).distinct()
-    known = _kept(terms.select(F.col("child").alias("term"), F.col("child").alias("ancestor")))
+    known = saved(terms.select(F.col("child").alias("term"), F.col("child").alias("ancestor")))
     new = known
     while not new.isEmpty():
         up = new.join(edges, F.col("ancestor") == F.col("child")).select("term", F.col("parent").alias("ancestor")).distinct()
-        new = _kept(up.join(known, ["term", "ancestor"], "left_anti"))
-        known = _kept(known.union(new))
+        new = saved(up.join(known, ["term", "ancestor"], "left_anti"))
+        known = saved(known.union(new))
     return known
 
 

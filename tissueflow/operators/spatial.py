@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tissueflow.durable import saved
 from tissueflow.sources.section import Section
 
 K, K_LABELS, RADIUS = 6, 15, 400.0
@@ -17,16 +17,6 @@ K, K_LABELS, RADIUS = 6, 15, 400.0
 LEVELS, SAMPLE, FEW = tuple(range(-6, 3)), 2000, 1000
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the folder of ``spark.checkpoint.dir``; one machine without that setting takes a temporary one."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
-
 def within(cells: DataFrame, radius: float, of: DataFrame | None = None) -> DataFrame:
     """``(src, dst, d)``: for each cell (of ``of``, if given) all others at most ``radius`` away.
 
@@ -69,44 +59,66 @@ def _nearest_of_few(cells: DataFrame, few: DataFrame, k: int) -> DataFrame:
     return cells.mapInPandas(run, f"src {kind}, dst {kind}, d double")
 
 
-def neighbours(cells: DataFrame, k: int = K) -> DataFrame:
-    """``(src, dst, d)``: the ``k`` nearest other cells of each, or all others where there are fewer. Ties in distance go to
-    the smaller id; cells without coordinates have none and are nobody's.
-
-    Squares follow the local density: of the LEVELS sizes around a typical distance, a cell takes the smallest whose square
-    holds over 2 k cells, and meets the nine squares around it. Cells that have fewer than k within that size look again
-    at twice the size; when up to FEW are left, these are held against all cells. ``cells`` are read once.
-    """
-    cells = _kept(cells.select("cell", "x", "y").filter("x IS NOT NULL AND y IS NOT NULL"))
-    n = cells.count()
-    if n < 2:
-        return cells.limit(0).select(F.col("cell").alias("src"), F.col("cell").alias("dst"), F.lit(0.0).alias("d"))
-    base, k_most = _scale(cells, n, k), min(k, n - 1)
+def _near_places(places: DataFrame, k: int) -> DataFrame:
+    """``(src, dst, d)`` of ``places(place, x, y, least, m)``: the nearest of each, itself among them, until they hold ``k + 1`` cells; of
+    places at one distance (six digits) those of the least cell come first."""
+    n = places.count()
+    base = _scale(places.withColumnRenamed("place", "cell"), n, k)
     size = base * F.pow(F.lit(2.0), F.col("level"))
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.round("d", 6), "dst"))
+    # each place holds a cell, so the first k + 1 cells are in the first k + 1 places
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.round("d", 6), "least"))
     square = lambda df: df.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size))
     at_levels = lambda df, levels: square(df.withColumn("level", F.explode(F.array(*map(F.lit, levels)))))
-    every = at_levels(cells, list(LEVELS))
-    full = every.groupBy("level", "gx", "gy").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 2 * k)
-    own = every.join(full, ["level", "gx", "gy"]).groupBy("cell").agg(F.min("level").alias("level"))
-    of = _kept(cells.join(own, "cell", "left").withColumn("level", F.coalesce("level", F.lit(LEVELS[-1]))))
+    every = at_levels(places.select("place", "x", "y", "m"), list(LEVELS))
+    full = every.groupBy("level", "gx", "gy").agg(F.sum("m").alias("held")).filter(F.col("held") > 2 * k)
+    own = every.join(full, ["level", "gx", "gy"]).groupBy("place").agg(F.min("level").alias("level"))
+    of = saved(places.select("place", "x", "y").join(own, "place", "left").withColumn("level", F.coalesce("level", F.lit(LEVELS[-1]))))
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     found = None
     while (left := of.groupBy("level").agg(F.count(F.lit(1)).alias("m")).collect()) and sum(r["m"] for r in left) > FEW:
-        a = square(of).select(F.col("cell").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), "level", "gx", "gy", F.explode(steps).alias("s")).select("src", "ax", "ay", "level", (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy"))
-        b = at_levels(cells, sorted(r["level"] for r in left)).withColumnRenamed("cell", "dst")
+        a = square(of).select(F.col("place").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), "level", "gx", "gy", F.explode(steps).alias("s")).select("src", "ax", "ay", "level", (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy"))
+        b = at_levels(places, sorted(r["level"] for r in left)).withColumnRenamed("place", "dst")
         d = F.sqrt((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2)
-        met = a.join(b, ["level", "gx", "gy"]).filter("src <> dst").withColumn("d", d).filter(F.col("d") <= size).select("src", "dst", "d")
-        near = _kept(met.withColumn("place", place).filter(F.col("place") <= k_most).drop("place"))
-        done = near.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k_most).select("src")
-        found = near.join(done, "src", "left_semi") if found is None else found.union(near.join(done, "src", "left_semi"))
-        of = _kept(of.join(done, of["cell"] == done["src"], "left_anti").withColumn("level", F.col("level") + 1))
+        met = a.join(b, ["level", "gx", "gy"]).withColumn("d", d).filter(F.col("d") <= size).select("src", "dst", "d", "least", "m")
+        near = saved(met.withColumn("rank", rank).filter(F.col("rank") <= k + 1).drop("rank", "least"))
+        done = near.groupBy("src").agg(F.sum("m").alias("held")).filter(F.col("held") > k).select("src")
+        near = near.join(done, "src", "left_semi").select("src", "dst", "d")
+        found = near if found is None else found.union(near)
+        of = saved(of.join(done, of["place"] == done["src"], "left_anti").withColumn("level", F.col("level") + 1))
     if left:
-        rest = _nearest_of_few(cells, of.select("cell", "x", "y"), k_most).withColumn("place", place).filter(F.col("place") <= k_most).drop("place")
+        few = of.select(F.col("place").alias("cell"), "x", "y")
+        rest = _nearest_of_few(places.select(F.col("place").alias("cell"), "x", "y"), few, k).union(few.select("cell", "cell", F.lit(0.0)))
+        rest = rest.join(places.select(F.col("place").alias("dst"), "least"), "dst").withColumn("rank", rank).filter(F.col("rank") <= k + 1).select("src", "dst", "d")
         found = rest if found is None else found.union(rest)
     return found
 
 
+def neighbours(cells: DataFrame, k: int = K) -> DataFrame:
+    """``(src, dst, d)``: the ``k`` nearest other cells of each, or all others where there are fewer. Ties in distance go to
+    the smaller id; cells without coordinates have none and are nobody's.
+
+    Cells at one place have the same nearest cells, so each place is looked at once, with its ``k + 1`` smallest ids: cells that
+    lie on each other cost no more. Squares follow the local density: of the LEVELS sizes around a typical distance, a place
+    takes the smallest whose square holds over 2 k cells, and meets the nine squares around it. Places that have too few
+    within that size look again at twice the size; when up to FEW are left, these are held against all. ``cells`` are read once.
+    """
+    cells = saved(cells.select("cell", "x", "y").filter("x IS NOT NULL AND y IS NOT NULL"))
+    n = cells.count()
+    if n < 2:
+        return cells.limit(0).select(F.col("cell").alias("src"), F.col("cell").alias("dst"), F.lit(0.0).alias("d"))
+    k = min(k, n - 1)
+    first = F.row_number().over(Window.partitionBy("x", "y").orderBy("cell"))
+    ids = cells.withColumn("at", first).filter(F.col("at") <= k + 1).groupBy("x", "y").agg(F.sort_array(F.collect_list("cell")).alias("ids"))
+    places = saved(ids.select(F.monotonically_increasing_id().alias("place"), "x", "y", "ids", F.col("ids")[0].alias("least"), F.size("ids").alias("m")))
+    near = _near_places(places.drop("ids"), k)
+    named = near.join(places.select(F.col("place").alias("dst"), "ids"), "dst").select("src", "d", F.explode("ids").alias("id"))
+    order = F.row_number().over(Window.partitionBy("src").orderBy(F.round("d", 6), "id"))
+    best = named.withColumn("rank", order).filter(F.col("rank") <= k + 1).groupBy(F.col("src").alias("place")).agg(F.sort_array(F.collect_list(F.struct("rank", "id", "d"))).alias("near"))
+    reached = saved(best.join(places.select("place", "x", "y"), "place").select("x", "y", "near"))
+    own = cells.join(reached, ["x", "y"]).select(F.col("cell").alias("src"), F.slice(F.filter("near", lambda e: e["id"] != F.col("cell")), 1, k).alias("near"))
+    return own.select("src", F.explode("near").alias("e")).select("src", F.col("e.id").alias("dst"), F.col("e.d").alias("d"))
+
+
 def neighbour_graph(section: Section) -> DataFrame:
     return neighbours(section["cells"]).select("src", "dst", F.round("d", 4).alias("d"))
 
@@ -161,7 +173,7 @@ def co_occurrence(section: Section) -> DataFrame:
 def spatial_genes(section: Section) -> DataFrame:
     """Moran's I of each gene on the symmetric neighbour graph; every sum touches non-zero counts only."""
     one = neighbours(section["cells"]).select("src", "dst")
-    edges = _kept(one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    edges = saved(one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     counts = section["counts"].withColumn("value", F.col("value").cast("double"))
     n, s0 = section["cells"].agg(F.count(F.lit(1)).cast("double").alias("n")), edges.agg(F.count(F.lit(1)).cast("double").alias("s0"))
     weight = edges.select(F.col("src").alias("cell")).union(edges.select(F.col("dst").alias("cell"))).groupBy("cell").agg(F.count(F.lit(1)).alias("w"))
@@ -191,7 +203,7 @@ def niches(section: Section, k: int = 8, seed: int = 0) -> DataFrame:
 
     labels = [r["label"] for r in section["cells"].select("label").distinct().orderBy("label").collect()]  # types
     wide = neighbourhood_composition(section).groupBy("cell").pivot("label", labels).agg(F.first("share")).fillna(0.0)
-    rows = _kept(wide.select("cell", array_to_vector(F.array(*(F.col(f"`{x}`").cast("double") for x in labels))).alias("features")))
+    rows = saved(wide.select("cell", array_to_vector(F.array(*(F.col(f"`{x}`").cast("double") for x in labels))).alias("features")))
     return KMeans(k=k, seed=seed).fit(rows).transform(rows).select("cell", F.col("prediction").alias("niche"))
 
 
