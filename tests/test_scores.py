@@ -30,3 +30,28 @@ def test_stability_draws_transcripts_in_one_row_a_count(spark, small):
     s = from_driver_tables(spark, small)
     t = thinning.thinned_lists(s["counts"], F.lit(0.8), 5)
     assert t.count() == s["counts"].count() and t.filter("size(left) <> 5").isEmpty()
+
+
+def test_parts_of_shuffles_follow_the_tables(spark, small, monkeypatch):
+    from tissueflow.plans import registry
+
+    monkeypatch.setattr(registry, "PART", 1024)
+    try:
+        assert QUERIES["top_two_margin"](spark, small).count() > 0
+        assert int(spark.conf.get(registry.PARTS)) > 100
+        spark.conf.set(registry.PARTS, "17")  # a session's own number
+        QUERIES["low_signal"](spark, small)
+        assert spark.conf.get(registry.PARTS) == "17"
+    finally:
+        for key in (registry.PARTS, registry.ADVISORY, registry.SPLIT):
+            spark.conf.unset(key)
+            spark.conf.unset(f"tissueflow.{key}")
+
+
+def test_medians_of_layers_are_not_held_in_one_task(spark):
+    from tissueflow.operators import layers
+
+    df = spark.createDataFrame([(c, g, float(c + g), float(c)) for c in range(9) for g in range(3)] + [(None, 1, 5.0, 5.0)], "cell long, gene long, before double, after double")
+    got = layers.layer_change(df)
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(got.first()) == (15.0, 12.0, 3.0, 3.0)
