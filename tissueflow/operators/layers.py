@@ -3,10 +3,14 @@ marker lists merged."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tissueflow.durable import saved
 from tissueflow.operators.labels import in_tumour
+from tissueflow.operators.ranks import percentiles
 
 #: Counts that a cell is scaled to before logarithms are taken.
 SCALE = 1e4
@@ -49,8 +53,8 @@ def layer_quality(layers: DataFrame, cells: DataFrame, markers: DataFrame) -> Da
 
 def layer_change(layers: DataFrame) -> DataFrame:
     """One row: the median total and median number of genes of a cell in either layer, over cells with any row."""
-    per = _both(layers).groupBy("cell").agg(*(F.sum(c).alias(f"total_{c}") for c in ("before", "after")), *(F.count_if(F.col(c) > 0).alias(f"genes_{c}") for c in ("before", "after")))
-    return per.agg(*(F.percentile(c, F.lit(0.5)).alias(f"median_{c}") for c in ("total_before", "total_after", "genes_before", "genes_after")))
+    per = saved(_both(layers).groupBy("cell").agg(*(F.sum(c).alias(f"total_{c}") for c in ("before", "after")), *(F.count_if(F.col(c) > 0).alias(f"genes_{c}") for c in ("before", "after"))))
+    return reduce(DataFrame.crossJoin, (percentiles(per, c, **{f"median_{c}": 0.5}) for c in ("total_before", "total_after", "genes_before", "genes_after")))  # one row each
 
 
 def caller_shares(calls: DataFrame, n_cells: int) -> DataFrame:
