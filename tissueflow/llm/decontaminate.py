@@ -130,8 +130,9 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     known = windows.select("h").distinct()
     found = _windows(texts.withColumn("tokens", _template(F.col("t"))), ["row"], lengths).join(F.broadcast(known) if n <= MAX_BROADCAST else known, "h", "left_semi")
     hits = saved(found.select("row", "pos", "n", "h").distinct().groupBy("row").agg(F.collect_list(F.struct("pos", "n", "h")).alias("hits")))
-    # Texts with hits alone are read again; a row holds a text once, however many windows were hit.
-    held = saved(texts.join(hits, "row").select("doc_id", "hits", _template(F.col("t")).alias("tokens"), _words(_plain(F.col("t"))).alias("words")))
+    # Texts with hits alone are read again; a row holds a text once, however many windows were hit. Hits grow with the texts, so they
+    # aren't sent to all tasks at any size.
+    held = saved(texts.join(hits.hint("merge"), "row").select("doc_id", "hits", _template(F.col("t")).alias("tokens"), _words(_plain(F.col("t"))).alias("words")))
     slots = F.transform("hits", lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), _slots(F.col("tokens"), F.col("words"), x["pos"], x["n"]).alias("slots")))
     placed = held.select("doc_id", F.explode(slots).alias("x")).select("doc_id", "x.*")
     met = saved(placed.join(windows, "h").filter(~F.col("own") | (F.col("item_slots") == F.col("slots")))).withColumn("shift", F.col("pos") - F.col("item_pos"))
