@@ -55,3 +55,27 @@ def test_medians_of_layers_are_not_held_in_one_task(spark):
     got = layers.layer_change(df)
     assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert tuple(got.first()) == (15.0, 12.0, 3.0, 3.0)
+
+
+def test_a_type_s_scores_are_not_summed_in_one_task(spark):
+    from tissueflow.operators import trust
+
+    scores = [("t", float(i % 7), i % 3 == 0) for i in range(60)] + [("u", float(i), i > 4) for i in range(8)] + [(None, 1.0, True), ("v", 2.0, True)]
+    df = spark.createDataFrame(scores, "type string, score double, positive boolean")
+    got = trust.one_against_rest(df)
+    assert "__range" in got._jdf.queryExecution().optimizedPlan().toString()
+    pairs = lambda t: [(a, b) for k, a, p in scores if k == t and p for l, b, q in scores if l == t and not q]  # noqa: E731,E741
+    want = {t: sum((a > b) + (a == b) / 2 for a, b in pairs(t)) / len(pairs(t)) if pairs(t) else None for t in ("t", "u", "v")}
+    assert {r["type"]: r.auc and round(r.auc, 12) for r in got.collect()} == {t: x and round(x, 12) for t, x in want.items()}
+
+
+def test_a_statement_s_parts_are_made_once(spark, small):
+    from tissueflow.operators.statements import METRICS, NORMALISED, STATEMENTS
+
+    s = from_driver_tables(spark, small)
+    text = STATEMENTS["posterior_confidence"]
+    want = {(r.cell, r.posterior) for r in spark.sql(text.replace(f"({WEIGHTS})", "{w}"), counts=s["counts"], cells=s["cells"], genes=s["genes"], w=weights(from_driver_tables(spark, small))).collect()}
+    assert {(r.cell, r.posterior) for r in s.sql(text).collect()} == want
+    assert SCORES in s.kept and NORMALISED in s.kept
+    s.once(STATEMENTS["section_qc_summary"])
+    assert METRICS in s.kept

@@ -47,7 +47,7 @@ def projected_fields(s: Section) -> DataFrame:
 def section_report(s: Section) -> DataFrame:
     cells = saved(trusted.judged(s))
     votes = trust.vote(s.once(BALLOT))
-    auc = trust.identifiability(s["cells"], s.once(SCORES), s.once(trusted.PROGRAMS).select("label", "marker_set"))
+    auc = trusted.separation(s)
     return report.report(
         report.block("section", s.once(STATEMENTS["section_qc_summary"])),
         report.block("composition", report.composition_head(s["cells"]), "label"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tissueflow.durable import saved
 from tissueflow.operators import calibrate, embedding, grouping, spatial, spillover, trust
 from tissueflow.operators.labels import ABSTAIN, log_odds
 from tissueflow.operators.reconcile import reconcile
@@ -45,10 +46,17 @@ def _verified(section: Section) -> DataFrame:
     return trust.self_verify(section["cells"], section.once(SCORES), section.once(PROGRAMS).select("label", "marker_set"), lights, section.once(STATEMENTS["confusable_pairs"]).filter("confusable"))
 
 
+def separation(section: Section) -> DataFrame:
+    """How well each type's own program separates it, made once."""
+    if "separation" not in section.kept:
+        scores, programs = section.once(SCORES), section.once(PROGRAMS).select("label", "marker_set")
+        section.kept["separation"] = saved(trust.identifiability(section["cells"], scores, programs))
+    return section.kept["separation"]
+
+
 def _typable(section: Section) -> DataFrame:
     coverage = section.once(PROGRAMS).join(section.once(STATEMENTS["panel_coverage"]), "marker_set").select("label", "n_markers", "n_present")
-    auc = trust.identifiability(section["cells"], section.once(SCORES), section.once(PROGRAMS).select("label", "marker_set"))
-    return trust.typability(coverage, auc, sizes=section["cells"].groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    return trust.typability(coverage, separation(section), sizes=section["cells"].groupBy("label").agg(F.count(F.lit(1)).alias("n")))
 
 
 def ledger(section: Section) -> DataFrame:
@@ -113,7 +121,7 @@ QUERIES = {
     "self_verify": lambda s: _rounded(_verified(s).select("label", "n", "agreement", "own_is_top", "auc", "status"), agreement=6, auc=6),
     "typability": lambda s: _typable(s),
     "trust_ledger": ledger,
-    "identifiability": lambda s: _rounded(trust.identifiability(s["cells"], s.once(SCORES), s.once(PROGRAMS).select("label", "marker_set")), auc=6, cohen_d=5),
+    "identifiability": lambda s: _rounded(separation(s), auc=6, cohen_d=5),
     "remediation_plan": lambda s: trust.remediation_plan(_verified(s)),
     "dominant_states": lambda s: _rounded(trust.dominant_state(s.once(SCORES)), z=5),
     "malignant_scores": lambda s: _rounded(trust.malignant_scores(s.once(SCORES).join(s["genes"].agg(F.min("marker_set").alias("marker_set")), "marker_set").select("cell", "score")), malignant_score=5),
