@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, mixed, run_hashes, table, text_bytes
+from .common import BASE, bounded_batches, mixed, run_hashes, table, text_bytes
 from .labelled import SAMPLE, logistic_fit, prior_shift, remainder, sigmoid, training_rows
 
 #: Features are hashed to 2**BITS columns.
@@ -162,6 +162,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE)
 def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns as they were, whose score is REJECT or more; the score is made beside the
     row in one pass, so rows need no key and nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
     model = train(docs, labels, per_class)
     held = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")

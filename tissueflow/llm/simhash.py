@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_bytes
+from .common import bounded_batches, saved, text_bytes
 from .components import components
 from .resemblance import prefix, similar_links
 
@@ -164,6 +164,7 @@ def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
 
     Each distinct set is compared, also where texts of different sets have one fingerprint.
     """
+    bounded_batches(docs.sparkSession)
     fps = saved(fingerprints(docs, words, id_col, text_col, sets=True))
     distinct = saved(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
     least = saved(fps.groupBy("sid").agg(F.min(id_col).alias("least")))
