@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MIX1, forget, mixed, saved, table, text_bytes
+from .common import MIX1, forget, marked, mixed, saved, table, text_bytes
 from .components import components
 from .simhash import shingle_hashes
 from .vectors import slices
@@ -36,8 +36,6 @@ FIRST = 8
 SPARSE, BITS = 128, 2048
 #: Distinct sets and their segments are shuffled in so many turns, so that a turn's shuffle files go before the next.
 SLICES = 2
-#: Whole sets of up to so many bytes in all are broadcast to the pairs that they are checked for.
-SMALL = 8 << 20
 
 
 def band_of(n: int) -> int:
@@ -296,7 +294,7 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def _checked(pairs: DataFrame, docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The ``pairs``, saved ones and then forgotten, whose whole sets are similar. Sets are made from the texts of these pairs
-    alone, and only texts of the right digest count, should several have one id."""
+    alone, and only texts of the right digest count, should several have one id. No other texts are moved, and no sets are broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
@@ -310,10 +308,9 @@ def _checked(pairs: DataFrame, docs: DataFrame, known: DataFrame, id_col: str, t
 
     sides = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = saved(sides.join(known.select("sid", "least", "d1", "d2"), "sid"))
-    texts = docs.select(F.col(id_col).alias("least"), text_bytes(text_col).alias("text")).join(wanted, "least").select("sid", "d1", "d2", "text")
+    texts = marked(docs.select(F.col(id_col).alias("least"), text_bytes(text_col).alias("text")), wanted, "least").join(wanted, "least").select("sid", "d1", "d2", "text")
     held = saved(texts.mapInArrow(run, "sid long, s array<long>"))
-    side = F.broadcast if 8 * (held.agg(F.sum(F.size("s"))).first()[0] or 0) <= SMALL else lambda df: df
-    x, y = (side(held.select(F.col("sid").alias(i), F.col("s").alias(s))) for i, s in (("a", "x"), ("b", "y")))
+    x, y = (held.select(F.col("sid").alias(i), F.col("s").alias(s)) for i, s in (("a", "x"), ("b", "y")))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
     out = saved(both.filter((PART + WHOLE) * F.col("both") >= PART * F.col("sum")).select("a", "b").distinct())
     forget(held, wanted, pairs)
