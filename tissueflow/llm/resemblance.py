@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, saved, text_bytes
+from .common import forget, marked, saved, text_bytes
 from .components import components
 
 #: The similarity, 0.8, as a fraction: comparisons are of whole numbers.
@@ -46,7 +46,9 @@ def prefix(s: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("least"), text_bytes(text_col).alias("text")).join(wanted, "least").select("sid", "text")
+    """``(sid, text)`` of the ``wanted(sid, least)``, a saved table; few other texts are moved."""
+    texts = docs.select(F.col(id_col).alias("least"), text_bytes(text_col).alias("text"))
+    return marked(texts, wanted, "least").join(wanted, "least").select("sid", "text")
 
 
 def _sets(texts: DataFrame, hashes, cut) -> DataFrame:
