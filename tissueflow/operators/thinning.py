@@ -3,10 +3,16 @@ panel can resolve. Thinning is the same in every engine and every run, and rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tissueflow.durable import saved
+from tissueflow.durable import forget, saved
+from tissueflow.operators.draws import drawn
 from tissueflow.operators.ranks import positions, tile
 from tissueflow.operators.scores import BINS, CONTROLS, control_weights
 
@@ -18,25 +24,20 @@ RESOLVABLE, PARTLY = 0.7, 0.4
 SHARED, DEPTH = 25, 50.0
 
 
-def _draw(name: str):
-    return lambda u: F.md5(F.concat_ws("|", F.col("cell").cast("string"), F.col("gene").cast("string"), u.cast("string"), F.lit(name)))
-
-
-def _below(at: int):
-    return lambda h: F.substring(h, at, 4) < F.col("__limit")
-
-
 def thinned_lists(counts: DataFrame, keep: Column, reps: int = 1, seed: int = 0) -> DataFrame:
     """``counts`` with ``left``: for each of ``reps`` repetitions, how many transcripts draw below ``keep``; counts of 1 and more."""
-    limit = F.when(F.coalesce(keep, F.lit(1.0)) >= 1, "g").otherwise(F.lpad(F.lower(F.hex(F.floor(F.greatest(keep, F.lit(0.0)) * 65536).cast("long"))), 4, "0"))
-    n, out = F.col("value").cast("int"), []
-    t = counts.withColumn("__limit", limit)
-    for block in range(0, reps, DRAWS):
-        t = t.withColumn(f"__d{block}", F.transform(F.sequence(F.lit(1), n), _draw(f"{seed}.{block // DRAWS}")))
-        for rep in range(block, min(block + DRAWS, reps)):
-            at = 4 * (rep - block) + 1
-            out.append(F.size(F.filter(f"__d{block}", _below(at))).cast("long"))
-    return t.withColumn("left", F.array(*out)).select(*counts.columns, "left")
+    limit = F.when(F.coalesce(keep, F.lit(1.0)) >= 1, 1 << 16).otherwise(F.floor(F.greatest(keep, F.lit(0.0)) * 65536).cast("int"))
+    key = F.concat_ws("|", F.col("cell").cast("string"), F.col("gene").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, limit = (b.column(c).to_numpy(zero_copy_only=False) for c in ("__n", "__limit"))
+            left = np.concatenate([drawn(b.column("__key"), n, limit, f"{seed}.{at // DRAWS}", min(DRAWS, reps - at)) for at in range(0, reps, DRAWS)], axis=1)
+            at = pa.array(np.arange(len(left) + 1, dtype=np.int32) * reps)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.ListArray.from_arrays(at, pa.array(left.ravel()))], names=[*b.schema.names[:-3], "left"])
+
+    t = counts.select("*", key.alias("__key"), F.col("value").cast("int").cast("long").alias("__n"), limit.alias("__limit"))
+    return t.mapInArrow(run, T.StructType([*counts.schema.fields, T.StructField("left", T.ArrayType(T.LongType()))]))
 
 
 def thinned(counts: DataFrame, keep: Column, reps: int = 1, seed: int = 0) -> DataFrame:
@@ -88,24 +89,36 @@ def resolvability(counts: DataFrame, cells: DataFrame, panel: DataFrame, depth:
     The counts of the panel's genes are thinned to ``depth`` transcripts a cell on average over that cell's own counts.
     Each half of the cells (by hash) is then named by the type whose smoothed mean profile, made from the other half's
     whole counts, makes it likeliest. ``insufficient_overlap``: fewer than ``least`` shared genes; ``too_few_types``: under two.
+
+    Counts are thinned once, to a table. What the types have of a gene is one row with a sum a type (types are few), so that a
+    thinned count meets one row, and not one a type.
     """
-    shared = panel.select("gene").distinct().join(counts.select("gene").distinct(), "gene")
+    known = panel.select("gene").distinct()
+    shared = counts.select("gene").distinct().join(known, "gene")
     typed = cells.filter("label IS NOT NULL").select("cell", "label", (F.substring(F.md5(F.concat_ws("|", F.col("cell").cast("string"), F.lit(f"half{seed}"))), 1, 1) < "8").alias("half"))
-    c = counts.join(shared, "gene").join(typed, "cell").select("cell", "label", "half", "gene", F.floor(F.col("value").cast("double")).cast("long").alias("value")).filter("value > 0")
-    totals = c.groupBy("cell").agg(F.sum("value").alias("total"))
-    profile = c.groupBy("half", F.col("label").alias("type"), "gene").agg(F.sum("value").alias("s"))
-    size = profile.groupBy("half", "type").agg(F.sum("s").alias("whole"))
-    facts = shared.agg(F.count(F.lit(1)).alias("n_shared")).crossJoin(typed.agg(F.count_distinct("label").alias("n_types")))
-    thin = thinned(c.join(totals, "cell"), F.lit(depth) / F.col("total"), 1, seed).join(typed.select("cell", "half"), "cell").select("cell", "gene", F.col("value").alias("c"), (~F.col("half")).alias("half"))
-    hits = thin.join(profile, ["half", "gene"]).groupBy("cell", "type").agg(F.sum(F.col("c") * F.log1p("s")).alias("hit"))
-    depth_of = thin.groupBy("cell", "half").agg(F.sum("c").alias("n"))
-    each = depth_of.join(F.broadcast(size), "half").join(hits, ["cell", "type"], "left").crossJoin(F.broadcast(facts))
-    score = F.round(F.coalesce("hit", F.lit(0.0)) - F.col("n") * F.log(F.col("whole") + F.col("n_shared")), 6)
-    called = each.groupBy("cell").agg(F.min(F.struct((-score).alias("order"), F.col("type").alias("type"))).alias("b")).join(typed.select("cell", "label"), "cell").select("label", F.col("b.type").alias("called"))
-    pairs = called.groupBy("label", "called").agg(F.count(F.lit(1)).alias("m"))
+    kinds = saved(typed.select("label").distinct().withColumn("type", F.row_number().over(Window.orderBy("label")) - 1))  # one row a type
+    n_types = kinds.count()
+    facts = saved(shared.agg(F.count(F.lit(1)).alias("n_shared")).withColumn("n_types", F.lit(n_types)))
+    named = typed.join(F.broadcast(kinds), "label").select("cell", "half", F.col("type").alias("own"))
+    c = counts.join(known, "gene").join(named, "cell").select("cell", "half", "own", "gene", F.floor(F.col("value").cast("double")).cast("long").alias("value")).filter("value > 0")
+    c = c.withColumn("total", F.sum("value").over(Window.partitionBy("cell")))
+    thin = saved(thinned_lists(c, F.lit(depth) / F.col("total"), 1, seed).select("cell", "half", "own", "gene", "value", F.col("left")[0].alias("c")))
+    profile = saved(thin.groupBy("half", "gene", "own").agg(F.sum("value").alias("s")))
+    size = profile.groupBy("half", F.col("own").alias("type")).agg(F.sum("s").alias("whole"))
+    sums = profile.groupBy((~F.col("half")).alias("half"), "gene").agg(F.map_from_entries(F.collect_list(F.struct("own", "s"))).alias("by"))
+    sums = sums.select("half", "gene", F.transform(F.sequence(F.lit(0), F.lit(max(n_types - 1, 0))), lambda t: F.coalesce(F.try_element_at("by", t), F.lit(0).cast("long"))).alias("sums"))
+    met = thin.filter("c > 0").select("cell", "half", "gene", "c").join(sums, ["half", "gene"], "left")
+    met = met.select("cell", (~F.col("half")).alias("half"), "c", F.coalesce("sums", F.array_repeat(F.lit(0).cast("long"), n_types)).alias("sums")).repartition("cell")
+    each = met.select("cell", "half", "c", F.posexplode("sums").alias("type", "s")).groupBy("cell", "half", "type").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log1p("s")).alias("hit"))
+    each = each.join(F.broadcast(size), ["half", "type"]).crossJoin(F.broadcast(facts))
+    score = F.round(F.col("hit") - F.col("n") * F.log(F.col("whole") + F.col("n_shared")), 6)
+    called = each.groupBy("cell").agg(F.min(F.struct((-score).alias("order"), F.col("type").alias("type"))).alias("b")).join(named, "cell").groupBy("own", "b.type").agg(F.count(F.lit(1)).alias("m"))
+    name = lambda c, as_: F.broadcast(kinds.select(F.col("type").alias(c), F.col("label").alias(as_)))
+    pairs = saved(called.join(name("own", "label"), "own").join(name("type", "called"), "type").select("label", "called", "m"))
+    forget(profile, thin)
     n, own, named = (F.col(x).cast("double") for x in ("n", "own", "named"))
     by = pairs.groupBy("label").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("label") == F.col("called"), F.col("m")).otherwise(0)).alias("own"), F.min(F.when(F.col("label") != F.col("called"), F.struct((-F.col("m")).alias("order"), F.col("called").alias("to")))).alias("miss"))
-    t = typed.select("label").distinct().join(by, "label", "left").join(pairs.groupBy(F.col("called").alias("label")).agg(F.sum("m").alias("named")), "label", "left").crossJoin(F.broadcast(facts))
+    t = kinds.select("label").join(by, "label", "left").join(pairs.groupBy(F.col("called").alias("label")).agg(F.sum("m").alias("named")), "label", "left").crossJoin(F.broadcast(facts))
     precision, recall = F.coalesce(own / F.nullif(named, F.lit(0.0)), F.lit(0.0)), F.coalesce(own / F.nullif(n, F.lit(0.0)), F.lit(0.0))
     f1 = F.coalesce(2 * own / (n + F.coalesce(named, F.lit(0.0))), F.lit(0.0))
     tier = F.when(f1 >= RESOLVABLE, "resolvable").when(f1 >= PARTLY, "partly").otherwise("not_resolvable")
