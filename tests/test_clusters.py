@@ -51,6 +51,19 @@ def test_vectors_without_clusters_lose_no_neighbour(spark, monkeypatch):
     assert neighbours_of(graph.nearest_vectors(df)) == expected
 
 
+def test_neighbours_are_exact_beyond_a_block(spark, monkeypatch):
+    """Clustered vectors, more than a block: looking through some lists only would lose neighbours at the clusters' edges."""
+    monkeypatch.setattr(graph, "BLOCK", 100)
+    monkeypatch.setattr(graph, "LIST", 60)
+    rng = np.random.default_rng(5)
+    rows = [(i, (10 * np.eye(8)[i % 8] * (i % 16 < 8) + rng.normal(0, 1.8, 8)).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "item long, embedding array<float>")
+    expected = brute_neighbours([(i, np.float32(v)) for i, v in rows], 15)
+    some = neighbours_of(graph.nearest_vectors(df, lists=0))
+    assert 0.9 <= np.mean([len(set(some[i]) & set(expected[i])) / 15 for i in expected]) < 1
+    assert neighbours_of(graph.nearest_vectors(df)) == expected
+
+
 def test_nearest_vectors_of_copies_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(graph, "CELL", 7)  # many cells to a list
     rng = np.random.default_rng(1)
