@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import forget, marked, saved, text_bytes
 from .components import components
@@ -27,8 +28,8 @@ ORDERS = 4
 #: Rounds that compare the sets of crowded buckets with up to so many sets of the bucket's largest component, before
 #: all pairs that are still apart are looked at.
 ROUNDS, HUBS = 2, 8
-#: Sets of up to so many bytes in all are broadcast to the pairs that they are checked for; more are joined by a shuffle.
-SMALL = 24 << 20
+#: Pairs are checked in cells of two blocks of sets: bytes of a block, and blocks at least, so that a few large groups are shared out.
+BLOCK, BLOCKS = 4 << 20, 4
 
 
 def prefix(s: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
@@ -46,22 +47,22 @@ def prefix(s: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(sid, text)`` of the ``wanted(sid, least)``, a saved table; few other texts are moved."""
+    """``(sid, text)`` of the ``wanted(sid, least)``, a saved table, and its other columns; few other texts are moved."""
     texts = docs.select(F.col(id_col).alias("least"), text_bytes(text_col).alias("text"))
-    return marked(texts, wanted, "least").join(wanted, "least").select("sid", "text")
+    return marked(texts, wanted, "least").join(wanted, "least").select(*(c for c in wanted.columns if c != "least"), "text")
 
 
 def _sets(texts: DataFrame, hashes, cut) -> DataFrame:
-    """``(sid, s)``: of each text the set of its shingles' hashes, passed through ``cut``."""
+    """``(sid, s)``: of each text the set of its shingles' hashes, passed through ``cut``; other columns before the text stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                found = [cut(np.unique(hashes(x))).view(np.int64) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["sid", "s"])
+                found = [cut(np.unique(hashes(x))).view(np.int64) for x in part.columns[-1].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.list_(pa.int64()))], names=[*part.schema.names[:-1], "s"])
 
-    return texts.mapInArrow(run, "sid long, s array<long>")
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields[:-1], T.StructField("s", T.ArrayType(T.LongType()))]))
 
 
 def _prefixes(docs: DataFrame, known: DataFrame, hashes, id_col: str, text_col: str) -> DataFrame:
@@ -70,23 +71,26 @@ def _prefixes(docs: DataFrame, known: DataFrame, hashes, id_col: str, text_col:
     A prefix only changes where a shingle in it is marked anew, as marks move shingles to the end alone.
     """
     posts = saved(known.select("sid", "least", "size", F.explode("prefix").alias("key")))
-    slot, level = F.col("key").bitwiseAND(F.lit(SLOTS - 1).cast("long")).alias("slot"), np.zeros(SLOTS, np.uint8)
+    slot, level = F.col("key").bitwiseAND(F.lit(SLOTS - 1).cast("long")), np.zeros(SLOTS, np.uint8)
     for _ in range(ORDERS):
         many = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET)
-        marks = saved(many.groupBy(slot).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("level")))
-        now = level.copy()
-        for r in marks.collect():  # at most SLOTS rows
-            now[r["slot"]] = max(now[r["slot"]], r["level"])
-        changed = np.packbits(now != level)
+        marks = many.groupBy(slot.cast("int").alias("slot")).agg(F.floor(F.log2(F.max("n"))).cast("tinyint").alias("level")).toArrow()  # at most SLOTS rows of five bytes
+        now, at = level.copy(), marks["slot"].to_numpy()
+        now[at] = np.maximum(now[at], marks["level"].to_numpy())
+        changed = now != level
         if not changed.any():
             break
-        level, held = now, docs.sparkSession.sparkContext.broadcast(now)
-        moved = docs.sparkSession.createDataFrame(pa.table({"slot": pa.array(np.flatnonzero(np.unpackbits(changed)).astype(np.int64))}))
-        touched = saved(posts.withColumn("slot", slot).join(F.broadcast(moved), "slot").select("sid", "least", "size").distinct())
-        anew = saved(_sets(_texts(docs, touched.select("sid", "least"), id_col, text_col), hashes, lambda s, held=held: prefix(s, held.value)))
+        level, held = now, docs.sparkSession.sparkContext.broadcast((now, changed))
+
+        def moved(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(held.value[1][b.column("key").to_numpy() & (SLOTS - 1)]))
+
+        touched = saved(posts.mapInArrow(moved, posts.schema).select("sid", "least", "size").distinct())
+        anew = saved(_sets(_texts(docs, touched.select("sid", "least"), id_col, text_col), hashes, lambda s, held=held: prefix(s, held.value[0])))
         rest = posts.join(touched.select("sid"), "sid", "left_anti").select("sid", "least", "size", "key")
         before, posts = posts, saved(rest.union(anew.join(touched, "sid").select("sid", "least", "size", F.explode("s").alias("key"))))
-        forget(before, anew, touched, marks)
+        forget(before, anew, touched)
     return posts.select("sid", "size", "key")
 
 
@@ -122,18 +126,35 @@ def _pairs(members: DataFrame) -> DataFrame:
     return lists.select("v").mapInArrow(run, "a long, b long, size_a long, size_b long")
 
 
+def _alike(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The pairs ``(a, b)`` whose sets ``(sid, s)`` are similar; sets come in ascending order of their unsigned hashes."""
+    at = {k: i for i, k in enumerate(sets["sid"].to_pylist())}
+    s, s_none = [x.values.to_numpy().view(np.uint64) for x in sets["s"]], np.zeros(0, np.uint64)
+    keep = []
+    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+        x, y = sorted((s[at[c]] if c in at else s_none for c in (a, b)), key=len)
+        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+        keep.append(both > 0 and (PART + WHOLE) * both >= PART * (len(x) + len(y)))
+    return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _checked(pairs: DataFrame, docs: DataFrame, known: DataFrame, hashes, id_col: str, text_col: str) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole sets are similar. Sets are made from the texts of these pairs alone."""
+    """The pairs ``(a, b)`` whose whole sets are similar. Sets are made from the texts of these pairs alone.
+
+    Sets are dealt to blocks, and pairs to the cells of their two blocks. A set goes once to each cell that has a pair of it,
+    and none goes to the driver.
+    """
     pairs = saved(pairs)
-    sides = pairs.select(F.col("a").alias("sid")).distinct().union(pairs.select(F.col("b").alias("sid")).distinct()).distinct()
-    wanted = sides.join(known.select("sid", "least"), "sid")
-    held = saved(_sets(_texts(docs, saved(wanted), id_col, text_col), hashes, lambda s: s))
-    total = held.agg(F.sum(F.size("s"))).first()[0] or 0
-    side = F.broadcast if 8 * total <= SMALL else lambda df: df
-    x, y = (side(held.select(F.col("sid").alias(i), F.col("s").alias(s))) for i, s in (("a", "x"), ("b", "y")))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    out = saved(both.filter((PART + WHOLE) * F.col("both") >= PART * F.col("sum")).select("a", "b"))
-    forget(held, pairs)
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = saved(sides.join(known.select("sid", "least", "size"), "sid"))
+    side = max(BLOCKS, -(-8 * (wanted.agg(F.sum("size")).first()[0] or 0) // BLOCK))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    cells = pairs.select("a", "b", at("a").alias("i"), at("b").alias("j"))
+    needed = cells.select(F.explode(F.array("a", "b")).alias("sid"), "i", "j").groupBy("sid").agg(F.collect_set(F.struct("i", "j")).alias("cells"))
+    placed = saved(wanted.select("sid", "least").join(needed, "sid"))
+    sets = _sets(_texts(docs, placed, id_col, text_col), hashes, lambda s: s).select("sid", F.explode("cells").alias("cell"), "s").select("cell.i", "cell.j", "sid", "s")
+    out = saved(cells.groupBy("i", "j").cogroup(sets.groupBy("i", "j")).applyInArrow(_alike, "a long, b long"))
+    forget(pairs, wanted, placed)
     return out
 
 
