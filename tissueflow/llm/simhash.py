@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, saved, text_bytes
 from .components import components
 from .resemblance import prefix, similar_links
+from .tokens import drop_encoders
 
 SEED = 42
 #: A 64-bit fingerprint as a ring of five segments (offset, width), lowest bits first.
@@ -57,6 +58,8 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     also ``sid`` (64-bit hash), ``size`` and ``prefix``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sets:
+            drop_encoders()  # workers keep those of an earlier packing
         for b in batches:
             fp, own = np.zeros(b.num_rows, np.uint64), []
             for i, x in enumerate(b.column(1).to_pylist()):

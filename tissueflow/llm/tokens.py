@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -216,7 +217,9 @@ def encoder(path: str, pieces: int = PIECES, groups: int = GROUPS) -> Encoder:
 
 def drop_encoders() -> None:
     """Free this worker's tables: a task that only reads ids back doesn't need them."""
-    _made.clear()
+    if _made:
+        _made.clear()
+        gc.collect()  # tables and encoder refer to each other
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
